@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from .plans import matching, points
+
+MODULES: tuple = (points, matching)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
