@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import matching, points
+from .plans import classify, matching, points, raster, spatial
 
-MODULES: tuple = (points, matching)
+MODULES: tuple = (points, matching, spatial, raster, classify)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

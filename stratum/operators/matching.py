@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 from .spatial import knn_join
 
 
@@ -112,7 +114,7 @@ def greedy_assign(candidates: DataFrame, keys=("grp",), max_rounds: int = 60) ->
     """Each f in order of its id takes its best m that is still free (lowest score, then lowest m).
 
     Deferred acceptance with one priority for all: every free f proposes to its best m that has not refused it; every m
-    keeps the lowest f. It settles at the same answer without going one by one; each round is checkpointed."""
+    keeps the lowest f. It settles at the same answer without going one by one; each round is stored."""
     left = candidates.select(*keys, "f", "m", "score")
     held = None
     for _ in range(max_rounds):
@@ -121,5 +123,5 @@ def greedy_assign(candidates: DataFrame, keys=("grp",), max_rounds: int = 60) ->
         refused = proposal.join(held.select(*keys, "f", "m"), [*keys, "f", "m"], "left_anti")
         if refused.isEmpty():
             return held
-        left = left.join(refused.select(*keys, "f", "m"), [*keys, "f", "m"], "left_anti").checkpoint()
+        left = stored(left.join(refused.select(*keys, "f", "m"), [*keys, "f", "m"], "left_anti"))
     raise RuntimeError(f"assignment did not settle within {max_rounds} rounds")

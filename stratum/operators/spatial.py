@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 def distance(x0: str, y0: str, x1: str, y1: str) -> Column:
     return F.sqrt((F.col(x0) - F.col(x1)) ** 2 + (F.col(y0) - F.col(y1)) ** 2)
@@ -52,13 +54,13 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, cell: float, keys=("grp"
     lo_hi = right.agg(F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("m")).first()["m"] or 1.0
     size = float(cell)
     for _ in range(max_rounds):
-        found = knn_within(open_points, right, k, size, keys, other)
+        found = stored(knn_within(open_points, right, k, size, keys, other))
         complete = found.groupBy(*keys, F.col("id_a").alias("id")).agg(F.count("*").alias("_n")).join(open_points, [*keys, "id"]).where(F.col("_n") >= need).select(*keys, "id")
         part = found.join(complete.withColumnRenamed("id", "id_a"), [*keys, "id_a"], "left_semi")
         done = part if done is None else done.unionByName(part)
         if size > 4 * lo_hi:
             break
-        open_points = open_points.join(complete, [*keys, "id"], "left_anti")
+        open_points = stored(open_points.join(complete, [*keys, "id"], "left_anti"))
         if open_points.isEmpty():
             break
         size *= 2
@@ -96,7 +98,7 @@ def ring_distance(x: Column, y: Column, ring: Column) -> Column:
 
 def shape_candidates(points: DataFrame, shapes: DataFrame, cell: float, keys=("grp",), margin: float = 0.0) -> DataFrame:
     """Points and shapes whose bounding boxes (wider by margin) share a bucket: keys, id, x, y, shape_id, ring."""
-    xs, ys = (F.transform("ring", lambda p, c=c: p[c]) for c in ("x", "y"))
+    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
     side = lambda low, high: F.explode(F.sequence(F.floor((low - margin) / cell), F.floor((high + margin) / cell)))
     tiled = shapes.select(*keys, "shape_id", "ring", F.array_min(xs).alias("_x0"), F.array_max(xs).alias("_x1"), F.array_min(ys).alias("_y0"), F.array_max(ys).alias("_y1")).withColumn("_bx", side(F.col("_x0"), F.col("_x1"))).withColumn("_by", side(F.col("_y0"), F.col("_y1")))
     met = with_cell(points, cell).join(tiled, [*keys, "_bx", "_by"])

@@ -70,7 +70,7 @@ VIEWS: dict[str, str] = {
                CASE WHEN (grp + layer) % 3 = 0 THEN 1 ELSE 0 END AS flip_x, CASE WHEN (grp + layer) % 4 = 1 THEN 1 ELSE 0 END AS flip_y
         FROM manifest""",
     "boxes": """
-        SELECT grp, shape_id AS box_id, cx - rx AS x0, cy - ry AS y0, cx + rx AS x1, cy + ry AS y1, rx * ry + shape_id / 1000.0e0 AS score FROM shapes""",
+        SELECT grp, shape_id AS box_id, cx - 3 * rx AS x0, cy - 3 * ry AS y0, cx + 3 * rx AS x1, cy + 3 * ry AS y1, rx * ry + shape_id / 1000.0e0 AS score FROM shapes""",
     "scores": """
         SELECT CAST(0 AS BIGINT) AS pair, CAST(floor(p_partkey / 40) AS BIGINT) AS i, p_partkey % 40 AS j,
                (CAST(round(p_retailprice * 100) AS BIGINT) * 31 + p_partkey * 7919) % 100003 / 100003.0e0 AS score
