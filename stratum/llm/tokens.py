@@ -1,19 +1,31 @@
-"""Token ids of whole texts, with the tokenizers library and a bounded cache of pieces.
+"""Token ids of whole texts, with the tokenizers library and bounded caches.
 
-A text is cut at single spaces. In the two vocabularies used here the library never lets a token cross such a cut (a
-space starts the next token, or is dropped), so ids of pieces, kept as packed bytes, add up to the ids of the text.
-Where that does not hold (white space before the cut, in a byte-level vocabulary) the text is encoded in one call.
+A text is cut at single spaces. In the two kinds of vocabulary known here the library never lets a token cross such a
+cut (a space starts the next token, or is dropped), so ids of pieces, kept as packed bytes, add up to the ids of the
+text. A new piece is parted as the library's own pre-tokenizer parts it, and the parts go to the library's model. Where
+this does not hold (white space before a cut in a byte-level vocabulary, letters beyond Latin, another kind of
+vocabulary) the text or piece goes through the library's whole encoder.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import sys
+from array import array
 
 import numpy as np
+import regex
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 800_000
 _ENCODERS: dict[tuple, "PieceEncoder"] = {}
 
+#: How the two kinds of vocabulary part a text.
+BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+LOWER_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Letters up to Latin Extended-B; the dotted capital I is left out, as its lower case is two characters.
+LATIN = regex.compile(r"[\x00-įı-ɏ]*")
+
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -21,6 +33,29 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_characters() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies: itself, or the next one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)}
+
+
+def _kind(tokenizer) -> str:
+    """"byte", "lower" or "other"."""
+    told = json.loads(tokenizer.to_str())
+    pre, norm = told.get("pre_tokenizer") or {}, told.get("normalizer")
+    if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:
+        return "byte"
+    steps = [x.get("type") for x in pre.get("pretokenizers", [])]
+    folds = [x.get("type") for x in (norm or {}).get("normalizers", [])]
+    if steps == ["Split", "ByteLevel"] and folds == ["NFC", "Replace", "Lowercase"] and pre["pretokenizers"][0]["pattern"].get("Regex") == LOWER_WORDS.pattern:
+        return "lower"
+    return "other"
+
+
+assert array("I").itemsize == 4 and sys.byteorder == "little", "ids are packed as little-endian 32-bit integers"
+
+
 class PieceEncoder:
     def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -28,60 +63,82 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.byte_level = self._ids(" a")[0] != self._ids("a")[0]
-        self.separator = "\n" if self.byte_level else " ~ "
-        self.mark = self._ids("\n" if self.byte_level else "~")
-        self.cache: dict[str, bytes] = {}
+        self.kind, self.model = _kind(self.tokenizer), self.tokenizer.model
+        self.characters = byte_characters()
         self.entries = cache_entries
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.pieces: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self._ids(text), dtype="<u4").tobytes()
-
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of new pieces, encoded in one call where a separator token can part them."""
-        prefix, found = (" " if self.byte_level else ""), {}
-        joinable = [p for p in pieces if p and "~" not in p and not any(map(str.isspace, p))]
-        if joinable:
-            ids = np.array(self._ids(self.separator.join([prefix + p for p in joinable])), dtype="<u4")
-            cuts = np.flatnonzero(ids == self.mark[0]).tolist()
-            if len(self.mark) == 1 and len(cuts) == len(joinable) - 1:
-                raw, start = ids.tobytes(), 0
-                for p, end in zip(joinable, [*cuts, len(ids)]):
-                    found[p] = raw[4 * start : 4 * end]
-                    start = end + 1
-        for p in pieces:
-            if p not in found:
-                found[p] = self._whole(prefix + p)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _modelled(self, shown: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            found = self._modelled(part.encode().decode("latin-1").translate(self.characters))
+            if len(self.parts) < self.entries // 8:
+                self.parts[part] = found
         return found
 
+    def _word(self, piece: str) -> bytes:
+        """Ids of a piece behind a cut. Plain words, and words with one sign behind them, need no pattern."""
+        byte = self.kind == "byte"
+        core = piece if piece.isalpha() else piece[:-1]
+        if piece.isascii() and core.isalpha() and (core is piece or piece[-1] in ",.;:!?"):
+            found = self.pieces.get(core)
+            if found is None:
+                found = self._modelled("\u0120" + core if byte else core.lower())
+            return found if core is piece else found + self._part(piece[-1])
+        return self._new(" " + piece if byte else piece)
+
+    def _new(self, piece: str) -> bytes:
+        """Ids of a stretch of text that starts and ends at a cut."""
+        if not LATIN.fullmatch(piece):
+            return self._whole(piece)
+        if self.kind == "byte":
+            return b"".join(map(self._part, BYTE_LEVEL.findall(piece)))
+        return b"".join(map(self._part, LOWER_WORDS.findall(piece.lower())))
+
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        if self.kind == "other":
+            return self._whole(text)
         pieces, head = text.split(" "), b""
-        if self.byte_level:
-            if "" in pieces or any(map(str.isspace, map(_last, pieces))):
+        if self.kind == "byte":
+            first = pieces[0]
+            if first[-1:].isspace() and len(pieces) > 1:
                 return self._whole(text)
-            head = self._whole(pieces[0]) if len(pieces) > 1 else self._whole(text)
+            head = self.heads.get(first)
+            if head is None:
+                head = self._new(first)
+                if len(self.heads) < self.entries // 8 and len(first) < 64:
+                    self.heads[first] = head
             del pieces[0]
-        values = list(map(self.cache.get, pieces))
+        values = list(map(self.pieces.get, pieces))
         if None in values:
-            found = self._learn({p for p, v in zip(pieces, values) if v is None})
-            values = [found[p] if v is None else v for p, v in zip(pieces, values)]
-            if len(self.cache) < self.entries:
-                self.cache.update(found)
+            byte, known, last = self.kind == "byte", self.pieces, len(pieces) - 1
+            for i, v in enumerate(values):
+                if v is None:
+                    p = pieces[i]
+                    if byte and (not p or p[-1].isspace()):
+                        if i < last or not p:
+                            return self._whole(text)  # white space before a cut
+                        values[i] = self._new(" " + p)
+                        continue
+                    values[i] = v = known.get(p) or self._word(p)
+                    if len(known) < self.entries and len(p) < 64:
+                        known[p] = v
         return head + b"".join(values)
 
 
-def _last(piece: str) -> str:
-    return piece[-1]
-
-
 def encoder(path: str) -> PieceEncoder:
-    """One encoder per Python worker, so that its cache serves all of the worker's tasks."""
+    """One encoder per Python worker, so that its caches serve all of the worker's tasks."""
     if path not in _ENCODERS:
         _ENCODERS[path] = PieceEncoder(path)
     return _ENCODERS[path]
