@@ -4,8 +4,9 @@ Grades come from the labels: 0 low quality, 1 acceptable but toxic, 2 good. The
 feature, shared by all grades, and ordered thresholds: P(grade <= k | x) = sigmoid(threshold_k - w.x). It gives the
 expected grade and the tail probability P(grade >= SELECT_GRADE), which decides.
 
-Features of a text: for each distinct word its lower-cased form and its shape (case, digits, trailing signs), and a mark
-for repeating the word before; a feature's value is the sum over its distinct words of sqrt(share of the text's words).
+Features of a text: for each word its lower-cased form, its first four and five bytes, its shape (case, digits, trailing
+signs), and a mark for repeating the word before; a feature's value is the square root of its share of the text's words.
+Features that fewer than ``MIN_TEXTS`` training texts have get no weight, so words of one text are not learned by heart.
 
 Training reads at most ``sample_rows`` labelled rows per grade (those whose doc_id hashes lowest), weights grades
 equally, and runs a fixed number of full-batch steps, so the model depends on the tables only. Scoring reads whole texts.
@@ -18,6 +19,7 @@ row, or only one grade, is found, all texts with a word are kept with probabilit
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import Counter
 from operator import eq
@@ -28,21 +30,23 @@ from pyspark.sql import functions as F
 
 from .common import map_rows
 
-BITS, SAMPLE_ROWS, STEPS, SELECT_GRADE, KEEP_AT = 16, 4000, 150, 2, 0.5
+BITS, SAMPLE_ROWS, STEPS, MIN_TEXTS, SELECT_GRADE, KEEP_AT = 18, 2500, 250, 3, 2, 0.4
 CACHE_ENTRIES = 300_000
 _SIGNS = re.compile(rb"[^0-9A-Za-z\x80-\xff]+$")
 
 
 def _hash(feature: bytes, bits: int) -> int:
-    return zlib.crc32(feature) * 0x9E3779B1 % (1 << 32) >> (32 - bits)
+    """A bucket from 1 on; bucket 0 stands for no feature."""
+    return (zlib.crc32(feature) * 0x9E3779B1 % (1 << 32) >> (32 - bits)) or 1
 
 
-def word_features(word: bytes, bits: int = BITS) -> tuple[int, int]:
+def word_features(word: bytes, bits: int = BITS) -> tuple[int, int, int, int]:
     tail = _SIGNS.search(word)
     end = tail[0][-1:] * min(len(tail[0]), 3) if tail else b""
     core = word[: tail.start()] if tail else word
     case = b"U" if core.isupper() and len(core) > 1 else b"D" if core.isdigit() else b"M" if any(48 <= c <= 57 for c in core) else b"E" if not core else b"w"
-    return _hash(b"w:" + core.lower(), bits), _hash(b"s:" + case + end, bits)
+    low = core.lower()
+    return _hash(b"w:" + low, bits), _hash(b"s:" + case + end, bits), _hash(b"p:" + low[:4], bits) if len(low) > 4 else 0, _hash(b"p:" + low[:5], bits) if len(low) > 5 else 0
 
 
 class Features:
@@ -58,16 +62,18 @@ class Features:
         counts = Counter(words)
         found = list(map(self.cache.get, counts))
         if None in found:
-            if len(self.cache) > CACHE_ENTRIES:
-                self.cache.clear()
             for i, w in enumerate(counts):
                 if found[i] is None:
-                    found[i] = self.cache[w] = word_features(w, self.bits)
-        at = np.array(found, dtype=np.int32)
-        value = np.sqrt(np.fromiter(counts.values(), dtype=np.float32, count=len(counts)) / len(words))
-        again = sum(map(eq, words, words[1:]))
-        at = np.concatenate((at[:, 0], at[:, 1], [self.repeat])).astype(np.int32)
-        return at, np.concatenate((value, value, [np.sqrt(again / len(words))])).astype(np.float32)
+                    found[i] = struct.pack("<4i", *word_features(w, self.bits))
+                    if len(self.cache) < CACHE_ENTRIES:
+                        self.cache[w] = found[i]
+        tokens = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
+        at, place = np.unique(np.frombuffer(b"".join(found), dtype="<i4"), return_inverse=True)
+        share = np.bincount(place, weights=np.repeat(tokens, 4))
+        at, share = (at[1:], share[1:]) if at[0] == 0 else (at, share)
+        if again := sum(map(eq, words, words[1:])):
+            at, share = np.append(at, self.repeat), np.append(share, again)
+        return at.astype(np.int32), np.sqrt(share / len(words)).astype(np.float32)
 
 
 class OrdinalModel:
@@ -80,11 +86,13 @@ class OrdinalModel:
         return np.diff(np.concatenate(([0.0], below, [1.0])))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int = 3, bits: int = BITS, steps: int = STEPS, decay: float = 1e-4, rate: float = 0.15) -> OrdinalModel:
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int = 3, bits: int = BITS, steps: int = STEPS, min_texts: int = MIN_TEXTS, decay: float = 1e-4, rate: float = 0.15) -> OrdinalModel:
     """Full-batch Adam on the cumulative-link likelihood; thresholds are a first one plus positive gaps."""
     at = np.concatenate([r[0] for r in rows])
-    value = np.concatenate([r[1] for r in rows]).astype(np.float64)
-    owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    value = np.concatenate([r[1] for r in rows])
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
+    common = np.bincount(at, minlength=1 << bits)[at] >= min_texts
+    at, value, owner = at[common], value[common], owner[common]
     share = np.bincount(grades, minlength=n_grades).astype(float)
     weight = 1 / (share[grades] * np.count_nonzero(share))
     free = np.concatenate((np.zeros(1 << bits), [-1.0], np.full(n_grades - 2, 0.5)))
@@ -119,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     for grade in range(3):
         part = rated.where(F.col("grade") == grade).orderBy(F.xxhash64("label_id"), "label_id").limit(sample_rows)
         sample = part if sample is None else sample.unionByName(part)
-    texts = docs.join(F.broadcast(sample), docs["doc_id"] == sample["label_id"]).select(F.col("text").cast("binary").alias("data"), "grade", "label_id")
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("data")).join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("data", "grade", "label_id")
 
     def make():
         features = Features()
