@@ -38,9 +38,10 @@ def band_plan(threshold: float = THRESHOLD, recall: float = RECALL, max_hashes:
     """(bands, rows): the most rows per band, hence fewest chance candidates, that reach the recall within max_hashes."""
     best = (max_hashes, 1)
     for rows in range(1, max_hashes + 1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)) if threshold < 1 else 1
-        if bands * rows <= max_hashes:
-            best = (bands, rows)
+        bands = math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows))) if threshold < 1 else 1
+        if bands * rows > max_hashes:
+            break
+        best = (bands, rows)
     return best
 
 
