@@ -3,7 +3,8 @@
 Texts are encoded and cut into pieces of at most ``capacity`` tokens. Only counts per length (at most ``capacity`` of
 them) reach the driver, where the plan is made:
 
-1. Large lengths are sorted and split into groups of equal cardinality; each is rounded up to its group's largest.
+1. Large lengths are sorted and split into groups of equal cardinality (a length each, if there are few lengths); each
+   is rounded up to its group's largest.
 2. A linear program over the few rounded sizes picks configurations (column generation, knapsack pricing); its whole
    parts say how many sequences use each configuration.
 3. The group's actual lengths take the configuration's slots, which leaves room at least as large as planned.
@@ -96,7 +97,7 @@ def plan_recipes(counts: dict[int, int], capacity: int = CAPACITY, groups: int =
         recipes.append((n, (capacity,)))
     large = {k: v for k, v in left.items() if k * small_share > capacity}
     if large:
-        grouped = linear_groups(large, min(groups, len(large)))
+        grouped = linear_groups(large, groups) if len(large) > groups else [[[k, large[k]]] for k in sorted(large, reverse=True)]
         merged: list[list[list[int]]] = []
         for g in grouped:  # groups that round to one size are one size
             if merged and merged[-1][0][0] == g[0][0]:
