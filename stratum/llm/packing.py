@@ -7,7 +7,8 @@ them) reach the driver, where the plan is made:
    is rounded up to its group's largest.
 2. A linear program over the few rounded sizes picks configurations (column generation, knapsack pricing); its whole
    parts say how many sequences use each configuration.
-3. The group's actual lengths take the configuration's slots, which leaves room at least as large as planned.
+3. The group's actual lengths take the configuration's slots, which leaves room at least as large as planned. Sequences
+   that would leave more than ``SLACK_SHARE`` of their room are given up again, so rounding wastes nothing.
 4. Everything else, in decreasing order, goes to the open sequence with the least sufficient room.
 
 The plan is a list of recipes (lengths in one sequence, number of such sequences); a piece finds its place by its rank
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import stored
 from .tokens import encoder, tokenizer_path
 
-CAPACITY, END_ID, GROUPS, SMALL_SHARE = 2048, 0, 96, 8
+CAPACITY, END_ID, GROUPS, SMALL_SHARE, SLACK_SHARE = 2048, 0, 48, 4, 1 / 128
 
 
 def solve_configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[tuple[int, ...], float]]:
@@ -89,13 +90,13 @@ def linear_groups(counts: dict[int, int], groups: int) -> list[list[list[int]]]:
     return [g for g in out if g]
 
 
-def plan_recipes(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small_share: int = SMALL_SHARE) -> list[tuple[int, tuple[int, ...]]]:
+def plan_recipes(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small_share: int = SMALL_SHARE, slack_share: float = SLACK_SHARE) -> list[tuple[int, tuple[int, ...]]]:
     """(number of sequences, lengths in each) for pieces counted by length. Its size depends on the distinct lengths only."""
     left = {k: v for k, v in counts.items() if v > 0}
     recipes: list[tuple[int, tuple[int, ...]]] = []
     if n := left.pop(capacity, 0):
         recipes.append((n, (capacity,)))
-    large = {k: v for k, v in left.items() if k * small_share > capacity}
+    large, spare, slack = {k: v for k, v in left.items() if k * small_share > capacity}, {}, int(capacity * slack_share)
     if large:
         grouped = linear_groups(large, groups) if len(large) > groups else [[[k, large[k]]] for k in sorted(large, reverse=True)]
         merged: list[list[list[int]]] = []
@@ -123,14 +124,18 @@ def plan_recipes(counts: dict[int, int], capacity: int = CAPACITY, groups: int =
                         merged[i].pop(0)
                 runs.append(taken if len(runs) % 2 == 0 else taken[::-1])
             while runs[0]:
-                n = min(r[0][1] for r in runs)
-                recipes.append((n, tuple(r[0][0] for r in runs)))
+                n, items = min(r[0][1] for r in runs), tuple(r[0][0] for r in runs)
+                if capacity - sum(items) <= slack:
+                    recipes.append((n, items))
+                else:
+                    for length in items:
+                        spare[length] = spare.get(length, 0) + n
                 for r in runs:
                     r[0][1] -= n
                     if not r[0][1]:
                         r.pop(0)
         for k in large:
-            left.pop(k)
+            left[k] = spare.get(k, 0)
         for g in merged:
             for length, n in g:
                 left[length] = left.get(length, 0) + n
