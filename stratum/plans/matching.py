@@ -59,7 +59,7 @@ def _(v):
     return S.cluster_names(rows, texts).select("c_custkey", "c_nationkey", "name")
 
 
-@book.query("s10_feature_table_scan", "SELECT 'cell_' || CAST(vec_id AS VARCHAR) AS cell, vec_id % 17 AS x, floor(vec_id / 17) AS y, round(CAST(embedding[1] AS DOUBLE), 6) AS f0 FROM embeddings")
+@book.query("s10_feature_table_scan", "SELECT 'cell_' || CAST(vec_id AS VARCHAR) AS cell, vec_id % 17 AS x, CAST(floor(vec_id / 17) AS BIGINT) AS y, round(CAST(embedding[1] AS DOUBLE), 6) AS f0 FROM embeddings")
 def _(v):
     raw = v.embeddings.select(F.col("vec_id").alias("id"), F.array(F.floor(F.col("vec_id") / 17), F.col("vec_id") % 17).alias("coords"), F.col("embedding").alias("features"))
     return S.feature_table(raw).select("cell", "x", "y", F.round(F.col("features")[0].cast("double"), 6).alias("f0"))
