@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder, stored
+
+__all__ = ["arrow_schema", "key_id", "map_rows", "shared_folder", "slices", "stored", "table", "word_list"]
+
 #: Rows turned into Python objects at a time, so that a batch of long texts stays small.
 SLICE_ROWS = 256
 
@@ -26,22 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors can reach: below spark.checkpoint.dir, if that is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="stratum-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/stratum-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it again, which cuts the lineage and survives lost executors."""
-    folder = shared_folder(df.sparkSession)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def key_id(column: str = "doc_id"):
     """doc_id for equi-joins: a null id takes the smallest long, which no table uses."""
     return F.coalesce(F.col(column).cast("long"), F.lit(-(2**63)))

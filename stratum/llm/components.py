@@ -1,29 +1,5 @@
-"""Connected components by alternating large-star and small-star steps, each round stored in the shared folder."""
+"""Connected components of links between documents: the package's own large-star and small-star rounds."""
 
-from __future__ import annotations
+from ..operators.regions import connected_components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import stored
-
-MAX_ROUNDS = 40
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, comp): comp is the component's smallest node. edges: src, dst; nodes without an edge do not appear."""
-    pairs = stored(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
-    for _ in range(MAX_ROUNDS):
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        new = stored(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        # a forest of stars: no node points to a node that points on
-        roots = new.select(F.col("v").alias("root")).distinct()
-        done = new.join(roots, new["u"] == roots["root"], "left_semi").isEmpty() and new.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-        pairs = new
-        if done:
-            return pairs.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
-    raise RuntimeError(f"components did not settle within {MAX_ROUNDS} rounds")
+__all__ = ["connected_components"]
