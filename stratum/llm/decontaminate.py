@@ -123,9 +123,13 @@ def _gram_hash(gram) -> int:
     return int.from_bytes(hashlib.blake2b(b" ".join(gram), digest_size=8).digest(), "little", signed=True)
 
 
-def _shuffled(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+def _row_key():
+    return F.xxhash64(key_id(), F.col("text"))
+
+
+def _shuffled_hits(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     """The way beyond the broadcast bound: windows of both sides meet in a join on 64-bit hash and word count, and the
-    joined windows' words confirm the hit."""
+    joined windows' words confirm the hit. One row per row key with a hit: key, spans (i, k) in words, sorted items."""
 
     def bench_make():
         def each(items, texts):
@@ -149,58 +153,70 @@ def _shuffled(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
 
         return each
 
-    keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("data"), F.xxhash64(key_id(), F.col("text")).alias("key"))
-    hits = map_rows(keyed.select("key", "data").distinct(), doc_make, "key long, h long, k int, gram string, i int").join(grams, ["h", "k", "gram"])
-    per_doc = hits.groupBy("key").agg(F.collect_set(F.struct("i", "k")).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+    keyed = docs.select(_row_key().alias("key"), F.col("text").cast("binary").alias("data")).distinct()
+    hits = map_rows(keyed, doc_make, "key long, h long, k int, gram string, i int").join(grams, ["h", "k", "gram"])
+    return hits.groupBy("key").agg(F.collect_set(F.struct("i", "k")).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+
+
+def _mask(n: int, spans) -> np.ndarray:
+    """Which of n words the spans hit."""
+    hit = np.zeros(n, dtype=bool)
+    for x in spans or ():
+        hit[x["i"] : x["i"] + x["k"]] = True
+    return hit
+
+
+def _shuffled(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("data"), _row_key().alias("key"))
+    per_doc = _shuffled_hits(docs, benchmark, window)
 
     def report_make():
         def each(ids, texts, spans, items):
             for doc_id, text, s, found in zip(ids, texts, spans, items):
                 words = word_list(text)
-                hit = np.zeros(len(words), dtype=bool)
-                for x in s or ():
-                    hit[x["i"] : x["i"] + x["k"]] = True
-                yield _report(doc_id, words, hit, set(found or ()))
+                yield _report(doc_id, words, _mask(len(words), s), set(found or ()))
 
         return each
 
     return map_rows(keyed.join(per_doc, "key", "left").select("doc_id", "data", "spans", "items"), report_make, REPORT)
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, mode: str = "span", window: int = WINDOW, max_hit_share: float = 0.5) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, mode: str = "span", window: int = WINDOW, max_hit_share: float = 0.5, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
     """Documents without benchmark passages, with their columns.
 
     mode "span" cuts the hit words out of the text and drops documents of whose words more than ``max_hit_share`` are
     hit; mode "document" drops every document with a hit. n_chars follows the text where it exists. Clean rows pass
-    unchanged, null texts included.
+    unchanged, null texts included. Both ways of finding the hits (see ``broadcast_chars``) give the same rows.
     """
     if mode not in ("span", "document"):
         raise ValueError(f"mode must be span or document, not {mode!r}")
-    if not _small(benchmark, BROADCAST_CHARS):
-        bad = _shuffled(docs, benchmark, window).where("contaminated").select("doc_id").distinct()
-        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
-    index = _broadcast_index(benchmark, window)
-    names = docs.columns
+    names, schema = docs.columns, docs.schema
+    if _small(benchmark, broadcast_chars):
+        index, rows = _broadcast_index(benchmark, window), docs
+    else:
+        hits = _shuffled_hits(docs, benchmark, window).select(F.col("key").alias("_hit_key"), F.col("spans").alias("_hit_spans"))
+        index, rows = None, docs.withColumn("_row_key", _row_key()).join(hits, F.col("_row_key") == F.col("_hit_key"), "left").select(*[docs[c] for c in names], "_hit_spans")
 
     def run(batches):
         import pyarrow as pa
 
-        idx = index.value
+        idx = index.value if index else None
         for batch in batches:
             at, keep, texts = names.index("text"), [], []
-            for text in batch.column(at).to_pylist():
+            found = repeat(None) if idx else batch.column(len(names)).to_pylist()
+            for text, spans in zip(batch.column(at).to_pylist(), found):
                 words = word_list(text.encode()) if text else []
-                hit, _ = idx.scan(words)
+                hit = idx.scan(words)[0] if idx else _mask(len(words), spans)
                 share = hit.mean() if len(words) else 0.0
                 keep.append(not (hit.any() and (mode == "document" or share > max_hit_share)))
                 texts.append(cut_words(text, hit) if hit.any() and keep[-1] else text)
-            columns = list(batch.columns)
+            columns = list(batch.columns)[: len(names)]
             columns[at] = pa.array(texts, type=batch.schema.field(at).type)
-            out = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            out = pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[: len(names)]))
             yield out.filter(pa.array(keep, type=pa.bool_()))
 
-    out = docs.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    out = rows.mapInArrow(run, schema)
+    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars")).cast(schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
 def cut_words(text: str, hit: np.ndarray) -> str:

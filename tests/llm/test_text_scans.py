@@ -79,6 +79,19 @@ def test_removal_keeps_clean_rows_and_cuts_passages(spark):
     assert {r.doc_id for r in decontaminate.remove_contaminated(docs_of(spark, texts), bench, mode="document").collect()} == {1, 4}
 
 
+@pytest.mark.parametrize("mode", ["span", "document"])
+def test_removal_is_the_same_both_ways(spark, mode):
+    passage = " ".join(f"w{i}" for i in range(12))
+    bench = spark.createDataFrame([(1, passage), (2, "short one"), (None, "quick brown fox")], "item_id long, text string")
+    long = f"{'before it '*40}({passage}) after, it"
+    texts = [*ODD, (20, long), (20, "clean row of an id with a hit row"), (None, f"{long} Quick, brown fox!"), (21, passage), (22, "short one"), (23, f"{passage} {passage} and a few"), (24, long), (24, long)]
+    ways = [sorted(map(tuple, decontaminate.remove_contaminated(docs_of(spark, texts), bench, mode=mode, broadcast_chars=b).collect()), key=str) for b in (decontaminate.BROADCAST_CHARS, 0)]
+    assert ways[0] == ways[1]
+    ids = [r[0] for r in ways[1]]
+    assert (ids.count(20), ids.count(None), ids.count(24)) == ((2, 2, 2) if mode == "span" else (1, 1, 0))
+    assert not {21, 22, 23} & set(ids)
+
+
 def brute_license(text):
     words = WORD.findall(lower(text))
     places, base, found = [], set(), {}
