@@ -1,11 +1,13 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-Base: places where a known phrase's words stand consecutively. Method: every block (each line, and each run of
-``BLOCK_LINES`` lines, for hard-wrapped notices) is a set of words, as is each template. A block matches a template if
-it holds at least ``THRESHOLD`` of the template's words. Words are ordered by their document frequency over all
+Base: places where a known phrase's words stand consecutively. Method: every block (each line, each run of
+``BLOCK_LINES`` lines, and for each template every stretch of 1/``THRESHOLD`` times its words, wherever the text's lines
+break) is a set of words, as is each template. A block matches a template if it holds at least ``THRESHOLD`` of the
+template's words. For lines and runs of lines, words are ordered by their document frequency over all
 documents, rarest first; a block can only match if it holds a word of the template's prefix (|T| - needed + 1 rarest
 words), has enough distinct words (length filter) and has enough of both sets left after the first common word
-(positional filter). What passes is counted in full, so the join is exact.
+(positional filter). What passes is counted in full. Stretches are counted word by word wherever the whole text holds
+enough of a template's words, so the join is exact.
 
 The templates are a fixed short list and their vocabulary is broadcast; documents are never shuffled.
 
@@ -70,12 +72,13 @@ class TemplateIndex:
         order = {w: i for i, w in enumerate(sorted(self.vocabulary, key=lambda w: (frequencies.get(w, 0), w)))}
         self.order = order
         self.phrases = [(b" " + p.encode() + b" ", frozenset(p.encode().split()), label) for p, label in phrases.items()]
-        self.templates, self.prefix = [], {}
+        self.templates, self.prefix, self.stretches = [], {}, []
         for label, texts in templates.items():
             for text in texts:
                 tokens = sorted(set(word_list(text.encode())), key=order.get)
                 need = math.ceil(threshold * len(tokens) - 1e-9)
                 self.templates.append((label, tokens, need))
+                self.stretches.append((label, frozenset(tokens), need, math.floor(len(word_list(text.encode())) / threshold + 1e-9)))
                 for i, w in enumerate(tokens[: len(tokens) - need + 1]):
                     self.prefix.setdefault(w, []).append((len(self.templates) - 1, i))
         self.prefix_words = frozenset(self.prefix)
@@ -98,6 +101,26 @@ class TemplateIndex:
                     best[label] = max(best.get(label, 0.0), share)
         return best
 
+    def match_stretches(self, words: list[bytes], seen: set[bytes]) -> dict[str, float]:
+        """Labels whose templates some stretch of the text contains, with the largest containment."""
+        best: dict[str, float] = {}
+        for label, template, need, length in self.stretches:
+            if len(template & seen) < need:
+                continue
+            places, counts, first, most = [i for i, w in enumerate(words) if w in template], {}, 0, 0
+            for place in places:
+                counts[words[place]] = counts.get(words[place], 0) + 1
+                while places[first] <= place - length:
+                    w = words[places[first]]
+                    counts[w] -= 1
+                    if not counts[w]:
+                        del counts[w]
+                    first += 1
+                most = max(most, len(counts))
+            if most >= need:
+                best[label] = max(best.get(label, 0.0), most / len(template))
+        return best
+
     def scan(self, data: bytes | None) -> tuple:
         words = word_list(data)
         seen = self.vocabulary.intersection(words)
@@ -121,6 +144,8 @@ class TemplateIndex:
                         if not self.prefix_words.isdisjoint(block):
                             for label, share in self.match(block).items():
                                 found[label] = max(found.get(label, 0.0), share)
+                for label, share in self.match_stretches(words, seen).items():
+                    found[label] = max(found.get(label, 0.0), share)
         score = max([*found.values(), 1.0 if base else 0.0])
         return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | set(found))), float(score)
 

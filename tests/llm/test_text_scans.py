@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import pytest
 from hypothesis import given, settings
@@ -132,6 +133,26 @@ def test_license_scan_equals_brute_force(spark, sf_dir):
     assert sorted(map(tuple, queries.op8_license_scan(spark, sf_dir).collect())) == sorted((i, *brute_license(t)) for i, t in real)
 
 
+def test_notices_wrapped_over_many_lines_are_found():
+    index = licenses.TemplateIndex({})
+    rng = random.Random(3)
+    for label, templates in licenses.TEMPLATES.items():
+        for t in templates:
+            own = WORD.findall(lower(t))
+            length = int(len(own) / licenses.THRESHOLD + 1e-9)
+            for width in (1, 20, 40):
+                wrapped = textwrap.fill(t, width, break_long_words=False)
+                assert label in index.scan(f"Some words before.\n# {wrapped}\nand some behind".encode())[5].split(",")
+                assert index.scan(wrapped.encode())[6] == 1.0
+            for _ in range(30):
+                words = [w for w in own for w in ([w] if rng.random() < 0.85 else [w, "other"] if rng.random() < 0.5 else [])]
+                words = ["before"] * 5 + words + rng.choices(own, k=3)
+                most = max(len(set(words[i : i + length]) & set(own)) for i in range(len(words)))
+                found = index.match_stretches([w.encode() for w in words], {w.encode() for w in words}).get(label, 0.0)
+                assert most < licenses.THRESHOLD * len(set(own)) - 1e-9 or found >= most / len(set(own))
+                assert len(templates) > 1 or found == (most / len(set(own)) if most >= licenses.THRESHOLD * len(set(own)) - 1e-9 else 0.0)
+
+
 KINDS = (
     ("assign", re.compile(r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), lambda m: len(m[2]) >= 12),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18),
