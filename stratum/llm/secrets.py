@@ -1,13 +1,16 @@
 """Secret scans: fixed patterns, and character Markov models of random strings against ordinary identifiers.
 
 Base patterns are matched leftmost and non-overlapping per kind over the whole text; matches that are too short are
-dropped after matching. The method looks at every other run of ``[A-Za-z0-9+/_.=-]`` with ``MIN_LENGTH`` characters or
-more: two first-order character models, one trained on labelled random strings and one on labelled ordinary
-identifiers, give a log-likelihood ratio per character; runs above the threshold are added as kind ``markov``. The
-threshold lies above all held-out ordinary identifiers by ``MARGIN``.
+dropped after matching. The method looks at every part of a run of ``[A-Za-z0-9+/_.=-]`` that no base span covers and
+that has ``MIN_LENGTH`` characters or more: two first-order character models, one trained on labelled random strings and
+one on labelled ordinary identifiers, give a log-likelihood ratio per character. A part above the threshold is added as
+kind ``markov``; of another part, the stretch between separators that exceeds the threshold most in sum is added, and
+what is left on its two sides is searched again. The threshold lies above the best stretches of a share ``QUANTILE`` of
+the held-out ordinary identifiers by ``MARGIN``.
 
-Training reads at most ``SAMPLE_DOCS`` documents (those whose id hashes lowest), whose words, and identifiers joined
-from them, are the samples labelled ordinary; the samples labelled random come from a seeded generator.
+Training reads the whole texts of at most ``SAMPLE_DOCS`` documents (those whose id hashes lowest); up to
+``SAMPLE_WORDS`` of their words (those that hash lowest), and identifiers joined from them, are the samples labelled
+ordinary; the samples labelled random come from a seeded generator.
 
 Defined cases: null text is empty and has no spans; repeated rows are answered one by one; offsets are code points, end
 exclusive; a markov span never overlaps a base span; other columns are ignored.
@@ -29,12 +32,13 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "markov")
-MIN_LENGTH, MARGIN, SAMPLE_DOCS, SAMPLE_WORDS, SEED = 16, 0.15, 400, 40_000, 7
+MIN_LENGTH, MARGIN, QUANTILE, SAMPLE_DOCS, SAMPLE_WORDS, SEED = 16, 0.15, 0.995, 400, 40_000, 7
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 _CODE = np.full(256, -1, dtype=np.int64)
 _CODE[np.frombuffer(ALPHABET.encode(), dtype=np.uint8)] = np.arange(len(ALPHABET))
 _RUNS = bytes(b if _CODE[b] >= 0 else 32 for b in range(256))
 _EDGES = b"+/_.=-"
+_PIECE = re.compile(rb"[^+/_.=-]+")
 
 REPORT = "doc_id long, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string"
 
@@ -58,12 +62,43 @@ class RandomnessModel:
     def __init__(self, random_strings: list[str], ordinary: list[str], margin: float = MARGIN):
         held = [s for i, s in enumerate(ordinary) if i % 5 == 0]
         self.ratio = MarkovModel(random_strings).log - MarkovModel([s for i, s in enumerate(ordinary) if i % 5]).log
-        self.threshold = max([0.25, *(self.score(s.encode()) + margin for s in held if len(s) >= MIN_LENGTH)])
+        best = [self.best_stretch(s.encode()) for s in held if len(s) >= MIN_LENGTH]
+        self.threshold = max(0.25, float(np.quantile(best, QUANTILE)) + margin if best else 0.25)
 
     def score(self, run: bytes) -> float:
         codes = _CODE[np.frombuffer(run, dtype=np.uint8)]
         return float(self.ratio[codes[:-1], codes[1:]].mean()) if len(codes) > 1 else -np.inf
 
+    def best_stretch(self, run: bytes) -> float:
+        """The highest score of a stretch of whole pieces with MIN_LENGTH characters or more."""
+        ends = [m.span() for m in _PIECE.finditer(run)]
+        return max((self.score(run[a:b]) for i, (a, _) in enumerate(ends) for _, b in ends[i:] if b - a >= MIN_LENGTH), default=-np.inf)
+
+    def stretches(self, run: bytes) -> list[tuple[int, int]]:
+        """The stretches above the threshold: the whole run, or those of its pieces, the largest excess first."""
+        if len(run) < MIN_LENGTH:
+            return []
+        if self.score(run) > self.threshold:
+            return [(0, len(run))]
+        codes = _CODE[np.frombuffer(run, dtype=np.uint8)]
+        total = np.concatenate(([0.0, 0.0], np.cumsum(self.ratio[codes[:-1], codes[1:]] - self.threshold)))  # up to a character
+        total, pieces, out = total[1:], [m.span() for m in _PIECE.finditer(run)], []
+        todo = [(0, len(pieces))]
+        while todo:
+            low, high = todo.pop()
+            first, start, found = low, None, (0.0, None, None)
+            for j in range(low, high):
+                while first <= j and pieces[j][1] - pieces[first][0] >= MIN_LENGTH:
+                    if start is None or total[pieces[first][0]] < total[pieces[start][0]]:
+                        start = first
+                    first += 1
+                if start is not None and total[pieces[j][1] - 1] - total[pieces[start][0]] > found[0]:
+                    found = (total[pieces[j][1] - 1] - total[pieces[start][0]], start, j)
+            if found[1] is not None:
+                out.append((pieces[found[1]][0], pieces[found[2]][1]))
+                todo += [(low, found[1]), (found[2] + 1, high)]
+        return sorted(out)
+
 
 def random_samples(n: int = 6000, seed: int = SEED) -> list[str]:
     """Strings labelled random: base-62, base-64, upper-case keys and hex digits, 16 to 64 characters."""
@@ -72,14 +107,18 @@ def random_samples(n: int = 6000, seed: int = SEED) -> list[str]:
     return ["".join(rng.choices(sets[i % 4], k=rng.randint(16, 64))) for i in range(n)]
 
 
-def ordinary_samples(texts: list[bytes], limit: int = SAMPLE_WORDS, seed: int = SEED) -> list[str]:
-    """Strings labelled ordinary: words of the texts, and identifiers, paths and file names joined from them."""
-    words = sorted({w for t in texts for w in t.translate(_RUNS).split() if len(w) > 3 and w.isalpha()})
+def words_of(text: bytes) -> set[bytes]:
+    return {w for w in text.translate(_RUNS).split() if len(w) > 3 and w.isalpha()}
+
+
+def ordinary_samples(found: list[bytes], seed: int = SEED) -> list[str]:
+    """Strings labelled ordinary: the words, and identifiers, paths and file names joined from them."""
     rng = random.Random(seed)
+    words = [w.decode() for w in sorted(found)]
     rng.shuffle(words)
-    words = [w.decode() for w in words[:limit]] or ["ordinary", "words", "when", "there", "none"]
+    words = words or ["ordinary", "words", "when", "there", "none"]
     joined = []
-    for i in range(min(limit, 4 * len(words))):
+    for i in range(min(SAMPLE_WORDS, 4 * len(words))):
         parts = rng.choices(words, k=rng.randint(2, 4))
         joined.append((lambda p: ("_".join(p), "-".join(p).lower(), p[0].lower() + "".join(x.capitalize() for x in p[1:]), "/".join(p) + ".txt", "_".join(p).upper(), ".".join(p))[i % 6])(parts))
     return words + joined
@@ -87,8 +126,17 @@ def ordinary_samples(texts: list[bytes], limit: int = SAMPLE_WORDS, seed: int =
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> RandomnessModel:
     ids = docs.select(F.col("doc_id").alias("sample_id")).where("sample_id is not null").distinct().orderBy(F.xxhash64("sample_id"), "sample_id").limit(sample_docs)
-    rows = docs.join(F.broadcast(ids), docs["doc_id"] == ids["sample_id"]).select(F.substring("text", 1, 20_000).cast("binary").alias("data")).limit(sample_docs).collect()  # a bounded training sample
-    return RandomnessModel(random_samples(), ordinary_samples([bytes(r.data) for r in rows if r.data]))
+
+    def make():
+        def each(texts):
+            for text in texts:
+                yield from ((w,) for w in words_of(text or b""))
+
+        return each
+
+    texts = docs.join(F.broadcast(ids), docs["doc_id"] == ids["sample_id"]).select(F.col("text").cast("binary").alias("data"))
+    words = map_rows(texts, make, "word binary").distinct().orderBy(F.xxhash64("word"), "word").limit(SAMPLE_WORDS)
+    return RandomnessModel(random_samples(), ordinary_samples([bytes(r.word) for r in words.collect()]))  # a bounded training sample
 
 
 def long_runs(data: bytes) -> list[tuple[int, bytes]]:
@@ -102,6 +150,16 @@ def long_runs(data: bytes) -> list[tuple[int, bytes]]:
     return out
 
 
+def _uncovered(start: int, end: int, base: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of [start, end) outside the base spans, which are sorted by start."""
+    parts = []
+    for low, high in base:
+        if high > start and low < end:
+            parts.append((start, low))
+            start = max(start, high)
+    return [(low, high) for low, high in (*parts, (start, end)) if high - low >= MIN_LENGTH]
+
+
 def find_spans(data: bytes | None, model: RandomnessModel | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all spans in code points, by start, then kind."""
     if not data:
@@ -110,7 +168,7 @@ def find_spans(data: bytes | None, model: RandomnessModel | None) -> list[tuple[
     text = data.decode()
     if b"=" in data or b":" in data:
         spans += [(*m.span(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
-    extra: list[tuple[int, int, bytes]] = []
+    runs: list[tuple[int, bytes]] = []
     plain = len(text) == len(data)
     for at, run in long_runs(data):
         start = at if plain else len(data[:at].decode())
@@ -118,13 +176,15 @@ def find_spans(data: bytes | None, model: RandomnessModel | None) -> list[tuple[
         if "AKIA" in inner:
             spans += [(start + m.start(), start + m.end(), "access") for m in ACCESS.finditer(inner) if len(m[0]) >= 18]
         spans += [(start + m.start(), start + m.end(), "hex") for m in HEX.finditer(inner) if len(m[0]) >= 16]
-        core = run.strip(_EDGES)
-        if model is not None and len(core) >= MIN_LENGTH:
-            skip = len(run) - len(run.lstrip(_EDGES))
-            extra.append((start + skip, start + skip + len(core), core))
-    for start, end, core in extra:
-        if not any(s < end and start < e for s, e, _ in spans) and model.score(core) > model.threshold:
-            spans.append((start, end, "markov"))
+        runs.append((start, run))
+    if model is not None:
+        base = sorted(x[:2] for x in spans)
+        for start, run in runs:
+            for low, high in _uncovered(start, start + len(run), base):
+                part = run[low - start : high - start]
+                core = part.strip(_EDGES)
+                low += len(part) - len(part.lstrip(_EDGES))
+                spans += [(low + a, low + b, "markov") for a, b in model.stretches(core)]
     return sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 

@@ -194,6 +194,25 @@ def test_secret_scan(spark, sf_dir):
     assert secrets.secret_scan(docs_of(spark, []), model).count() == 0
 
 
+def test_keys_within_longer_runs_are_found(spark, sf_dir):
+    rng = random.Random(4)
+    plain = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = secrets.train(plain)
+    befores = ("srv/app/config/production/", "long_setting_name=", "0123456789abcdef-", "https.example.com/some/longer/path/of/words/")
+    found = 0
+    for i in range(200):
+        key, before = "".join(rng.choices(secrets.ALPHABET[:62], k=40)), befores[i % 4]
+        spans = [x for x in secrets.find_spans(f"see {before}{key}/tail/of/ordinary/names here".encode(), model) if x[2] == "markov"]
+        found += any(s <= 4 + len(before) and e >= 4 + len(before) + 40 for s, e, _ in spans)
+    assert found >= 190
+    words = secrets.ordinary_samples(sorted(set().union(*(secrets.words_of((r.text or "").encode()) for r in plain.collect()))), seed=8)
+    flagged = sum(any(x[2] == "markov" for x in secrets.find_spans(w.encode(), model)) for w in words)
+    assert flagged <= 0.005 * len(words)
+    odd = "".join(rng.choices(secrets.ALPHABET[:52], k=40))
+    thresholds = [secrets.RandomnessModel(secrets.random_samples(), [*([odd] if extra else ["ordinary"]), *words]).threshold for extra in (False, True)]
+    assert abs(thresholds[1] - thresholds[0]) < 0.02
+
+
 def test_redaction(spark):
     texts = [(1, "keep this"), (2, "a token: abcdefghijkl0123456789abcdef0123456789abcdef b"), (3, None)]
     out = {r.doc_id: r for r in secrets.redact_secrets(docs_of(spark, texts), secrets.RandomnessModel(secrets.random_samples(400), ["ordinary", "words"] * 20)).collect()}
