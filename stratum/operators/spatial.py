@@ -43,22 +43,24 @@ def knn_within(left: DataFrame, right: DataFrame, k: int, radius: float, keys=("
     return near.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
 
 
-def knn_join(left: DataFrame, right: DataFrame, k: int, cell: float, keys=("grp",), other: bool = False, max_rounds: int = 12) -> DataFrame:
+def knn_join(left: DataFrame, right: DataFrame, k: int, cell: float, keys=("grp",), other: bool = False) -> DataFrame:
     """The k nearest right points of each left point, any distance. Searches rings of buckets: a point is settled when its
-    k-th distance is within the searched border; the others go on with twice the bucket size. A last round joins what is
-    left with all points of its keys, which only groups with fewer than k points reach."""
+    k-th distance is within the searched border; the others go on with twice the bucket size until none is open, at the
+    latest when the border spans both sides' extent. Points without finite coordinates have no neighbours."""
+    finite = lambda c: F.abs(F.col(c)) < float("inf")
+    left, right = left.where(finite("x") & finite("y")), right.where(finite("x") & finite("y"))
     open_points, done = left.select(*keys, "id", "x", "y"), None
     need = F.least(F.lit(k), F.col("_have") - (1 if other else 0))
     sizes = right.groupBy(*keys).agg(F.count("*").alias("_have"))
-    open_points = open_points.join(sizes, list(keys))
-    lo_hi = right.agg(F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("m")).first()["m"] or 1.0
+    open_points = open_points.join(sizes, list(keys)).where(need > 0)
+    reach = [points.agg(F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("m")).first()["m"] or 1.0 for points in (left, right)]
     size = float(cell)
-    for _ in range(max_rounds):
+    while True:
         found = stored(knn_within(open_points, right, k, size, keys, other))
         complete = found.groupBy(*keys, F.col("id_a").alias("id")).agg(F.count("*").alias("_n")).join(open_points, [*keys, "id"]).where(F.col("_n") >= need).select(*keys, "id")
         part = found.join(complete.withColumnRenamed("id", "id_a"), [*keys, "id_a"], "left_semi")
         done = part if done is None else done.unionByName(part)
-        if size > 4 * lo_hi:
+        if size > 4 * max(reach):
             break
         open_points = stored(open_points.join(complete, [*keys, "id"], "left_anti"))
         if open_points.isEmpty():
