@@ -4,18 +4,20 @@ Every byte that a LENGTH-byte string covers which also starts anywhere else is f
 
 Sampling. Of each string of LENGTH bytes one suffix is kept: the one that starts at its anchor, the place with the least
 hash of the next 8 bytes among the string's first ``WIDTH`` places (the last such place on ties). Equal strings have
-their anchors at equal places, so they meet at suffixes that share at least REACH = LENGTH - WIDTH + 1 bytes. A suffix
-whose first REACH bytes occur once is dropped after one shuffle of 64-bit hashes.
+their anchors at equal places, so they meet at suffixes that share at least REACH = LENGTH - WIDTH + 1 bytes. Hashes of
+the first REACH bytes are counted with partial sums, and suffixes whose hash stands once are dropped.
 
-Transforms. A remaining suffix is a row of its shard's transform: what follows it, and what precedes it (the symbol of
-the Burrows-Wheeler transform, here all bytes up to the start of the first string that the anchor serves). Rows of all
-shards that share the first REACH bytes meet in one bucket, as concatenated runs.
+Shard transforms. A shard is a batch of documents. Its remaining suffixes are sorted once, by their first REACH bytes'
+hash and by what follows, and once by what precedes them, last byte first (in place of the Burrows-Wheeler transform's
+one preceding symbol: all bytes up to the start of the first string that the anchor serves). A row carries its shard,
+its rank in both orders, and the common prefix with the row before it in both.
 
-Merge. ``refine_interleave`` merges a bucket's runs: the interleave starts as one interval, each round splits every
-interval by its rows' next symbol (eight bytes), keeping the order of runs, and rows alone in an interval are final. The
-round and byte at which neighbours part is their longest common prefix, so no suffix is sorted again. The same is done
-for the preceding bytes. A string with l bytes before its anchor is repeated if another row lies in the same interval of
-common prefixes of LENGTH - REACH - l more bytes and of common preceding strings of l bytes.
+Merge. Rows of all shards with one hash meet in a bucket as runs in shard order. ``merge_interleave`` starts with the
+runs one after the other as one interval; each round splits every interval by the next symbol (eight bytes). A run's own
+common prefixes say where its symbol changes, so only the heads of equal stretches are compared and whole stretches are
+moved; no suffix is sorted again. The round and byte at which neighbours part is their common prefix. A string with l
+bytes before its anchor is repeated if another row lies in the same interval of common prefixes of LENGTH - REACH - l
+more bytes and of common preceding strings of l bytes.
 
 Buckets of more than ``HOT_ROWS`` rows are not gathered: their strings are hashed (128 bits) one by one and counted in
 an aggregation with partial sums, which finds the same. Rows of one document with the same bytes on both sides prove
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, key_id, map_rows, stored
 
 LENGTH, WIDTH, HOT_ROWS = 400, 192, 20_000
-BATCH_ROWS, CHUNK = 8192, 4 << 20
+BATCH_ROWS, SHARD_ROWS, CHUNK = 8192, 16_384, 4 << 20
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MUL2 = np.uint64(0xD6E8FEB86659FD93)
 _POS = (1 << 24) - 1
@@ -122,64 +124,76 @@ def sampled_suffixes(texts: DataFrame, length: int, width: int) -> DataFrame:
     return texts.mapInArrow(run, ANCHORS)
 
 
-def repeated_only(suffixes: DataFrame, partitions: int) -> DataFrame:
-    """The suffixes whose hash stands twice or more; sorted rows are compared with their neighbours only."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
+def repeated_only(suffixes: DataFrame) -> DataFrame:
+    """The suffixes whose hash stands twice or more, with that number n. Counting combines on the map side, and the join
+    has one row per hash on its right side, so Spark can split a hash that stands very often."""
+    often = suffixes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    return suffixes.join(often, "h").select("h", "did", "fp", "place", "n")
 
-    def run(batches):
-        held = None  # the last row so far and whether it equals the one before
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            same_first = False
-            if held is not None:
-                same_first = held[1]
-                table = pa.concat_tables([held[0], table])
-            h = table.column("h").to_numpy()
-            equal = h[1:] == h[:-1]
-            before, after = np.concatenate(([same_first], equal)), np.concatenate((equal, [False]))
-            out = table.slice(0, table.num_rows - 1).filter(pa.array((before | after)[:-1]))
-            held = (table.slice(table.num_rows - 1), bool(before[-1]))
-            yield from out.combine_chunks().to_batches()
-        if held is not None and held[1]:
-            yield from held[0].combine_chunks().to_batches()
 
-    del pc
-    return suffixes.repartition(partitions, "h").sortWithinPartitions("h").mapInArrow(run, ANCHORS)
+ROWS = "h long, did long, fp long, place long, ahead binary, behind binary, start long, stop long, shard long, rank_a int, rank_b int, common_a int, common_b int"
 
 
-ROWS = "h long, did long, fp long, place long, ahead binary, behind binary, start long, stop long"
+def shard_order(hashes: np.ndarray, strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """A shard's transform: the rank of each row by (hash, string), and its common prefix with the row before (-1: none
+    with this hash)."""
+    order = np.array(sorted(range(len(strings)), key=list(zip(hashes.tolist(), strings)).__getitem__), dtype=np.int64)
+    symbols = _symbols([strings[i] for i in order.tolist()], width)
+    common = np.full(len(order), -1, dtype=np.int32)
+    differ = symbols[1:] != symbols[:-1]
+    column = np.where(differ.any(axis=1), differ.argmax(axis=1), symbols.shape[1] - 1)
+    rows = np.arange(len(column))
+    shared = 8 * column + np.where(differ.any(axis=1), _equal_bytes(symbols[1:][rows, column] ^ symbols[:-1][rows, column]), 8)
+    common[1:] = np.where(hashes[order][1:] == hashes[order][:-1], shared, -1)
+    rank, own = np.empty(len(order), dtype=np.int32), np.empty(len(order), dtype=np.int32)
+    rank[order], own[order] = np.arange(len(order)), common
+    return rank, own
 
 
 def transform_rows(texts: DataFrame, suffixes: DataFrame, length: int, width: int) -> DataFrame:
-    """Rows of the transforms: per suffix the bytes after its first reach, and the bytes before it, last first. Rows with
-    start and stop are repeats already proven inside one document."""
+    """Rows of the shards' transforms: per suffix the bytes after its first reach, and the bytes before it, last first.
+    Rows with start and stop are repeats already proven inside one document; they have no shard."""
     import pyarrow as pa
 
     reach, schema = length - width + 1, arrow_schema(ROWS)
     per_doc = suffixes.groupBy("did", "fp").agg(F.collect_list("h").alias("hs"), F.collect_list("place").alias("places"))
     joined = texts.join(per_doc, ["did", "fp"]).select("did", "fp", "data", "hs", "places")
 
+    def document(row, rows, proven):
+        did, fp, text, hs, places = (c.as_py() for c in row)
+        seen: dict[tuple, int] = {}
+        for h, place in zip(hs, places):
+            anchor, low, high = _unpack(place)
+            key = (h, text[anchor + reach : high + length], text[low:anchor][::-1], anchor - high)
+            if key in seen:
+                for p in {seen[key], place}:
+                    _, lo, hi = _unpack(p)
+                    proven.append((h, did, fp, p, None, None, lo, hi + length, None, None, None, None, None))
+            else:
+                rows.append((h, did, fp, place, key[1], key[2], None, None))
+            seen[key] = place
+
+    def shard(number, rows, proven):
+        columns = [pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], type=f.type) for f in list(schema)[:8]]
+        if rows:
+            hashes = columns[0].to_numpy()
+            (rank_a, common_a), (rank_b, common_b) = (shard_order(hashes, [r[k] for r in rows], width - 1) for k in (4, 5))
+            columns += [pa.array(np.full(len(rows), number)), *map(pa.array, (rank_a, rank_b, common_a, common_b))]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        if proven:
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*proven), schema)], schema=schema)
+
     def run(batches):
+        from pyspark import TaskContext
+
+        number, rows, proven = TaskContext.get().partitionId() << 32, [], []
         for batch in batches:
             for i in range(batch.num_rows):
-                did, fp, text, hs, places = (batch.column(k)[i].as_py() for k in range(5))
-                seen: dict[tuple, list] = {}
-                out = []
-                for h, place in zip(hs, places):
-                    anchor, low, high = _unpack(place)
-                    key = (h, text[anchor + reach : high + length], text[low:anchor][::-1], anchor - high)
-                    if key in seen:
-                        for p in {seen[key][-1], place}:
-                            a, lo, hi = _unpack(p)
-                            out.append((h, did, fp, p, None, None, lo, hi + length))
-                        seen[key][-1] = place
-                    else:
-                        seen[key] = [place]
-                        out.append((h, did, fp, place, key[1], key[2], None, None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                document([batch.column(k)[i] for k in range(5)], rows, proven)
+                if len(rows) + len(proven) >= SHARD_ROWS:
+                    yield from shard(number, rows, proven)
+                    number, rows, proven = number + 1, [], []
+        yield from shard(number, rows, proven)
 
     return joined.mapInArrow(run, ROWS)
 
@@ -191,43 +205,50 @@ def _symbols(strings: list[bytes], width: int) -> np.ndarray:
     return np.frombuffer(joined, dtype=">u8").reshape(len(strings), columns).astype(np.uint64)
 
 
-def refine_interleave(bucket: np.ndarray, strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merges runs of rows: (order, common) with common[i] the common prefix of rows order[i - 1] and order[i], -1 across
-    buckets. Each round splits the intervals still open by the next symbol and freezes intervals of one row."""
+def _equal_bytes(differ: np.ndarray) -> np.ndarray:
+    """How many first bytes are zero in each symbol that is not zero."""
+    top = np.floor(np.log2(np.maximum((differ >> np.uint64(32)).astype(np.float64) * 2.0**32 + (differ & np.uint64(0xFFFFFFFF)).astype(np.float64), 1)))
+    return np.clip(7 - top.astype(np.int64) // 8, 0, 7)
+
+
+def merge_interleave(bucket: np.ndarray, shard: np.ndarray, rank: np.ndarray, common: np.ndarray, strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Merges the shards' runs of each bucket: (order, prefix) with prefix[i] the common prefix of rows order[i - 1] and
+    order[i], -1 across buckets. rank and common: place in the run, and common prefix with the row before in the run."""
     n = len(bucket)
     symbols = _symbols(strings, width)
     lengths = np.fromiter(map(len, strings), dtype=np.int64, count=n)
-    order = np.argsort(bucket, kind="stable")
-    common = np.full(n, width, dtype=np.int64)
-    common[0] = -1
-    split = np.concatenate(([True], bucket[order][1:] != bucket[order][:-1]))
-    common[split] = -1
+    order = np.lexsort((rank, shard, bucket))  # the runs, one after the other
+    prefix, split = np.full(n, width, dtype=np.int64), np.concatenate(([True], bucket[order][1:] != bucket[order][:-1]))
+    prefix[split] = -1
     for k in range(symbols.shape[1]):
         interval = np.cumsum(split) - 1
-        open_rows = np.flatnonzero(np.bincount(interval)[interval] > 1)
-        if not len(open_rows):
+        places = np.flatnonzero(np.bincount(interval)[interval] > 1)
+        if not len(places):
             break
-        own = order[open_rows]
-        moved = np.lexsort((symbols[own, k], interval[open_rows]))  # stable inside an interval
-        order[open_rows] = own[moved]
-        left, right = order[open_rows[:-1]], order[open_rows[1:]]
-        parts = (interval[open_rows[1:]] == interval[open_rows[:-1]]) & (symbols[left, k] != symbols[right, k])
-        at = open_rows[1:][parts]
-        differ = symbols[left[parts], k] ^ symbols[right[parts], k]
-        zeros = 7 - np.floor(np.log2((differ >> np.uint64(32)).astype(np.float64) * 2.0**32 + (differ & np.uint64(0xFFFFFFFF)).astype(np.float64))).astype(np.int64) // 8
-        common[at] = 8 * k + np.clip(zeros, 0, 7)
+        rows, own = order[places], interval[places]
+        head = np.concatenate(([True], (own[1:] != own[:-1]) | (shard[rows[1:]] != shard[rows[:-1]]) | (common[rows[1:]] < 8 * k + 8)))
+        first = np.flatnonzero(head)
+        sizes = np.diff(np.append(first, len(rows)))
+        symbol = symbols[rows[first], k]
+        moved = np.lexsort((symbol, own[first]))  # heads of stretches only; stable, so runs keep their order
+        stops = np.cumsum(sizes[moved])
+        order[places] = rows[np.repeat(first[moved] - stops + sizes[moved], sizes[moved]) + np.arange(len(rows))]
+        symbol, inside = symbol[moved], own[first][moved]
+        parts = np.flatnonzero((inside[1:] == inside[:-1]) & (symbol[1:] != symbol[:-1])) + 1
+        at = places[stops[parts - 1]]
+        prefix[at] = 8 * k + _equal_bytes(symbol[parts] ^ symbol[parts - 1])
         split[at] = True
     shorter = np.minimum(lengths[order], np.concatenate(([0], lengths[order][:-1])))
-    return order, np.where(common < 0, -1, np.minimum(common, shorter))
+    return order, np.where(prefix < 0, -1, np.minimum(prefix, shorter))
 
 
-def repeated_strings(bucket: np.ndarray, ahead: list[bytes], behind: list[bytes], near: np.ndarray, length: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated_strings(bucket: np.ndarray, shard: np.ndarray, ahead: tuple, behind: tuple, near: np.ndarray, length: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Per row the least and greatest number of bytes before the anchor with which a string is repeated (-1: none).
-    near: the least number for which the row has a string."""
+    ahead, behind: (strings, ranks, common prefixes) of the shards; near: the least number for which the row has a string."""
     n, rest = len(bucket), width - 1
-    far = np.fromiter(map(len, behind), dtype=np.int64, count=n)
-    a_order, a_common = refine_interleave(bucket, ahead, rest)
-    b_order, b_common = refine_interleave(bucket, behind, rest)
+    far = np.fromiter(map(len, behind[0]), dtype=np.int64, count=n)
+    a_order, a_common = merge_interleave(bucket, shard, ahead[1], ahead[2], ahead[0], rest)
+    b_order, b_common = merge_interleave(bucket, shard, behind[1], behind[2], behind[0], rest)
     most_a, most_b = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
     most_a[a_order] = np.maximum(a_common, np.append(a_common[1:], -1))
     most_b[b_order] = np.maximum(b_common, np.append(b_common[1:], -1))
@@ -263,7 +284,8 @@ def merged_spans(rows: DataFrame, length: int, width: int, partitions: int) -> D
         out = [np.stack([known.column(c).to_numpy() for c in ("did", "fp", "start", "stop")])]
         if table.num_rows:
             anchor, low, high = _unpack(table.column("place").to_numpy())
-            least, most = repeated_strings(table.column("h").to_numpy(), table.column("ahead").to_pylist(), table.column("behind").to_pylist(), anchor - high, length, width)
+            ahead, behind = ((table.column(name).to_pylist(), table.column(f"rank_{k}").to_numpy(), table.column(f"common_{k}").to_numpy()) for name, k in (("ahead", "a"), ("behind", "b")))
+            least, most = repeated_strings(table.column("h").to_numpy(), table.column("shard").to_numpy(), ahead, behind, anchor - high, length, width)
             own = np.flatnonzero(most >= 0)
             out.append(np.stack([table.column("did").to_numpy()[own], table.column("fp").to_numpy()[own], anchor[own] - most[own], anchor[own] - least[own] + length]))
         spans = np.concatenate(out, axis=1).astype(np.int64)
@@ -317,12 +339,10 @@ def counted_spans(texts: DataFrame, suffixes: DataFrame, length: int) -> DataFra
 def repeated_spans(texts: DataFrame, length: int = LENGTH, width: int = WIDTH, hot_rows: int = HOT_ROWS) -> DataFrame:
     """did, fp, start, stop of repeated strings; spans of a document may overlap. texts: did, fp, data."""
     partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    suffixes = stored(repeated_only(sampled_suffixes(texts, length, width), partitions))
-    hot = stored(suffixes.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("h"))
-    if hot.isEmpty():
-        return merged_spans(transform_rows(texts, suffixes, length, width), length, width, partitions)
-    merged = merged_spans(transform_rows(texts, suffixes.join(hot, "h", "left_anti").select("h", "did", "fp", "place"), length, width), length, width, partitions)
-    return merged.unionByName(counted_spans(texts, suffixes.join(hot, "h", "left_semi"), length))
+    suffixes = stored(repeated_only(stored(sampled_suffixes(texts, length, width))))
+    cold = merged_spans(transform_rows(texts, suffixes.where(F.col("n") <= hot_rows), length, width), length, width, partitions)
+    hot = suffixes.where(F.col("n") > hot_rows)
+    return cold if hot.isEmpty() else cold.unionByName(counted_spans(texts, hot, length))
 
 
 def merge_intervals(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -340,26 +360,51 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
     return docs.select(key_id().alias("did"), F.xxhash64(text).alias("fp"), text.cast("binary").alias("data"))
 
 
-DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-
-
-def dedup_digests(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """One row per document row: bytes, removed bytes, maximal removed runs, digest of what is left."""
+def _texts_and_spans(docs: DataFrame, length: int, width: int, hot_rows: int) -> DataFrame:
+    """did, data, spans of each document row."""
     if width + 7 > length or not 8 <= width <= 1000:
         raise ValueError("width must be 8 to 1000 and at most length - 7")
     texts = keyed_texts(docs)
     spans = repeated_spans(texts, length, width, hot_rows).groupBy("did", "fp").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    return texts.join(spans, ["did", "fp"], "left").select("did", "data", "spans")
+
+
+def _kept(data: bytes, spans) -> tuple[bytes, list[tuple[int, int]]]:
+    """What is left of a text, and the removed runs."""
+    runs, kept, last = merge_intervals([(s["start"], s["stop"]) for s in spans or ()]), [], 0
+    for a, b in runs:
+        kept.append(data[last:a])
+        last = b
+    return b"".join([*kept, data[last:]]), runs
+
+
+def dedup_texts(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """One row per document row: doc_id, the bytes that are left (a cut may fall inside a character), and removed runs."""
+
+    def make():
+        def each(dids, datas, spans):
+            for did, data, own in zip(dids, datas, spans):
+                kept, runs = _kept(data, own)
+                yield (None if did == -(2**63) else did), kept, [a for a, _ in runs], [b for _, b in runs]
+
+        return each
+
+    return map_rows(_texts_and_spans(docs, length, width, hot_rows), make, "doc_id long, kept binary, starts array<long>, stops array<long>")
+
+
+DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long, repeated boolean"
+
+
+def dedup_digests(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """One row per document row: bytes, removed bytes, maximal removed runs, digest and number of bytes of what is left,
+    and whether anything was removed."""
 
     def make():
         def each(dids, datas, spans):
             for did, data, own in zip(dids, datas, spans):
-                runs, kept, last = merge_intervals([(s["start"], s["stop"]) for s in own or ()]), [], 0
-                for a, b in runs:
-                    kept.append(data[last:a])
-                    last = b
-                kept.append(data[last:])
-                yield (None if did == -(2**63) else did), len(data), sum(b - a for a, b in runs), len(runs), hashlib.sha256(b"".join(kept)).hexdigest()
+                kept, runs = _kept(data, own)
+                yield (None if did == -(2**63) else did), len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), len(kept), bool(runs)
 
         return each
 
-    return map_rows(texts.join(spans, ["did", "fp"], "left").select("did", "data", "spans"), make, DIGESTS)
+    return map_rows(_texts_and_spans(docs, length, width, hot_rows), make, DIGESTS)
