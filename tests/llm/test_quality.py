@@ -112,13 +112,26 @@ def reckoned(docs):
     for own in pools.values():
         x = np.array([stats[i][1] for i in own])
         q = np.percentile(x, [25, 50, 75], axis=0)
-        mean, inverse = q[1], np.diag(1 / np.sqrt(((q[2] - q[0]) / 1.349) ** 2 + floors**2))
+        spread = np.sqrt(((q[2] - q[0]) / 1.349) ** 2 + floors**2)
+
+        def factored(mean, cov):
+            lower = np.linalg.cholesky(cov + np.diag(floors**2))
+            return 2 * np.log(np.diag(lower)).sum(), mean, np.linalg.inv(lower)
+
         distance = lambda m, inv: (((x - m) @ inv.T) ** 2).sum(axis=1)
-        for _ in range(rules.C_STEPS):
-            log = np.round(np.log(distance(mean, inverse) + 1e-6), 2)
+
+        def step(estimate):
+            log = np.round(np.log(distance(*estimate[1:]) + 1e-6), 2)
             chosen = x[log <= np.percentile(log, 75)]
-            mean = chosen.mean(axis=0)
-            inverse = np.linalg.inv(np.linalg.cholesky(np.cov(chosen.T, bias=True) + np.diag(floors**2)))
+            return factored(chosen.mean(axis=0), np.cov(chosen.T, bias=True))
+
+        starts = [factored(q[1], np.diag(spread**2 - floors**2)), factored(x.mean(axis=0), np.cov(x.T, bias=True)), factored(q[1], np.cov(np.tanh((x - q[1]) / spread).T, bias=True) * np.outer(spread, spread))]
+        for _ in range(rules.FIRST_STEPS):
+            starts = [step(e) for e in starts]
+        best, before = min(starts, key=lambda e: e[0]), math.inf
+        while before - best[0] > rules.TOLERANCE:
+            before, best = best[0], min((step(best), best), key=lambda e: e[0])
+        _, mean, inverse = best
         d = distance(mean, inverse)
         scale = min(1.0, rules.CHI_H / math.exp(np.percentile(np.round(np.log(d + 1e-6), 2), 75)))
         d2 |= dict(zip(own, d * scale))
