@@ -25,13 +25,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.regions import connected_components
 from .common import map_rows, stored, word_list
-from .components import connected_components
 
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.9999
 BLOCK_CLASSES, BLOCK_GRAMS = 512, 150_000
-#: Up to so many ids of removed documents (eight bytes each) are broadcast, so that texts need no shuffle.
-BROADCAST_IDS = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -238,10 +236,9 @@ def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The documents without near duplicates: of each group the one with the smallest doc_id stays, once."""
     joined = stored(jaccard_join(docs, **options))
-    losers = stored(joined.where("doc_id <> class_id").select(F.col("doc_id").alias("_loser")).distinct())
-    if losers.count() <= BROADCAST_IDS:  # beyond it, Spark shuffles both sides
-        losers = F.broadcast(losers)
-    kept = docs.join(losers, docs["doc_id"] == losers["_loser"], "left_anti")
+    losers = joined.where("doc_id <> class_id").select(F.col("doc_id").alias("_loser")).distinct()
+    # their number grows with the corpus, so they are never broadcast: one plan at every size
+    kept = docs.join(losers.hint("merge"), docs["doc_id"] == losers["_loser"], "left_anti")
     twice = joined.groupBy("doc_id").agg(F.count("*").alias("_rows")).where("_rows > 1").select(F.col("doc_id").alias("_twice"))
     if twice.isEmpty():
         return kept
