@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -44,12 +45,18 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors can reach: below spark.checkpoint.dir, if that is set."""
+    """A new folder that the driver and all executors can reach, below spark.checkpoint.dir; it goes when the application
+    ends. Only a local session may leave that setting out."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="stratum-shared-")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="stratum-shared-")  # one process, one machine
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/stratum-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/stratum-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def stored(df: DataFrame) -> DataFrame:
