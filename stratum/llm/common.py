@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_folder, stored
+from ..session import shared_folder, ship_package, stored
 
-__all__ = ["arrow_schema", "key_id", "map_rows", "shared_folder", "slices", "stored", "table", "word_list"]
+__all__ = ["arrow_schema", "key_id", "map_batches", "map_rows", "shared_folder", "slices", "stored", "table", "word_list"]
 
 #: Rows turned into Python objects at a time, so that a batch of long texts stays small.
 SLICE_ROWS = 256
@@ -44,6 +44,12 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (part.strip().split() for part in ddl.split(","))])
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow, with this package on the workers' path."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable], ddl: str) -> DataFrame:
     """Runs ``make()`` once per task; the function it returns takes a slice's columns as lists and yields output rows."""
     schema = arrow_schema(ddl)
@@ -56,4 +62,4 @@ def map_rows(df: DataFrame, make: Callable[[], Callable], ddl: str) -> DataFrame
                 columns = list(zip(*rows)) if rows else [[] for _ in schema]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    return df.mapInArrow(run, ddl)
+    return map_batches(df, run, ddl)

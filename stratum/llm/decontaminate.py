@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_id, map_rows, stored, word_list
+from .common import key_id, map_batches, map_rows, stored, word_list
 
 WINDOW = 10
 BROADCAST_CHARS = 64 << 20
@@ -215,7 +215,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, mode: str = "span
             out = pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[: len(names)]))
             yield out.filter(pa.array(keep, type=pa.bool_()))
 
-    out = rows.mapInArrow(run, schema)
+    out = map_batches(rows, run, schema)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars")).cast(schema["n_chars"].dataType)) if "n_chars" in names else out
 
 

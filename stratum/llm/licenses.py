@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, word_list
+from .common import map_batches, map_rows, word_list
 
 #: Phrases and their labels.
 PHRASES = {
@@ -109,7 +109,7 @@ def word_frequencies(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int
                     counts[w] = counts.get(w, 0) + 1
         yield pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.binary()), "n": pa.array(list(counts.values()), pa.int64())})
 
-    found = docs.select(F.col("text").cast("binary")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = map_batches(docs.select(F.col("text").cast("binary")), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return {bytes(r.word): r.n for r in found.collect()}  # at most one row per vocabulary word
 
 

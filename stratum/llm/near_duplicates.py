@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.regions import connected_components
-from .common import map_rows, stored, word_list
+from .common import map_batches, map_rows, stored, word_list
 
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.9999
 BLOCK_CLASSES, BLOCK_GRAMS = 512, 150_000
@@ -161,7 +161,7 @@ def verified_links(docs: DataFrame, members: DataFrame, n: int, threshold: float
         columns = list(zip(*out)) if out else [[]] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=["rid", "hub", "class_links", "doc_links"])
 
-    return sent.mapInArrow(verify, "rid long, hub long, class_links long, doc_links long")
+    return map_batches(sent, verify, "rid long, hub long, class_links long, doc_links long")
 
 
 def _linked(key, rows: list[tuple], threshold: float) -> list[tuple]:

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_batches, map_rows
 
 BITS, SAMPLE_ROWS, STEPS, MIN_TEXTS, SELECT_GRADE, KEEP_AT = 18, 2500, 250, 3, 2, 0.5
 CACHE_ENTRIES = 300_000
@@ -190,4 +190,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, samp
             kept = [_judge(known, features, t.as_py().encode() if t.is_valid else None, keep_at)[2] for t in batch.column(names.index("text"))]
             yield batch.filter(pa.array(kept, type=pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, key_id, map_rows, stored
+from .common import arrow_schema, key_id, map_batches, map_rows, stored
 
 LENGTH, WIDTH, HOT_ROWS = 400, 192, 20_000
 BATCH_ROWS, SHARD_ROWS, CHUNK = 8192, 16_384, 4 << 20
@@ -121,7 +121,7 @@ def sampled_suffixes(texts: DataFrame, length: int, width: int) -> DataFrame:
             if h:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (did, fp, place))], names=["h", "did", "fp", "place"])
 
-    return texts.mapInArrow(run, ANCHORS)
+    return map_batches(texts, run, ANCHORS)
 
 
 def repeated_only(suffixes: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def transform_rows(texts: DataFrame, suffixes: DataFrame, length: int, width: in
                     number, rows, proven = number + 1, [], []
         yield from shard(number, rows, proven)
 
-    return joined.mapInArrow(run, ROWS)
+    return map_batches(joined, run, ROWS)
 
 
 def _symbols(strings: list[bytes], width: int) -> np.ndarray:
@@ -313,7 +313,7 @@ def merged_spans(rows: DataFrame, length: int, width: int, partitions: int) -> D
         if n:
             yield solve(held)
 
-    return rows.repartition(partitions, "h").sortWithinPartitions("h").mapInArrow(run, SPANS)
+    return map_batches(rows.repartition(partitions, "h").sortWithinPartitions("h"), run, SPANS)
 
 
 def counted_spans(texts: DataFrame, suffixes: DataFrame, length: int) -> DataFrame:
