@@ -7,9 +7,9 @@ them) reach the driver, where the plan is made:
    is rounded up to its group's largest.
 2. A linear program over the few rounded sizes picks configurations (column generation, knapsack pricing); its whole
    parts say how many sequences use each configuration.
-3. The group's actual lengths take the configuration's slots, which leaves room at least as large as planned. Sequences
-   that would leave more than ``SLACK_SHARE`` of their room are given up again, so rounding wastes nothing.
-4. Everything else, in decreasing order, goes to the open sequence with the least sufficient room.
+3. The group's actual lengths take the configuration's slots, which leaves room at least as large as planned.
+4. Everything else (small pieces, and what the whole parts left over), in decreasing order, goes to the open sequence
+   with the least sufficient room.
 
 The plan is a list of recipes (lengths in one sequence, number of such sequences); a piece finds its place by its rank
 among the pieces of its length, which tasks compute from counts per (task, length). Nothing is grouped by length.
@@ -20,7 +20,6 @@ full pieces and a rest; null and repeated doc_ids are packed row by row; other c
 
 from __future__ import annotations
 
-import struct
 import zlib
 from bisect import bisect_left, insort
 
@@ -29,48 +28,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import map_batches, stored
 from .tokens import encoder, tokenizer_path
 
-CAPACITY, END_ID, GROUPS, SMALL_SHARE, SLACK_SHARE = 2048, 0, 48, 4, 1 / 128
+CAPACITY, END_ID, GROUPS, SMALL_SHARE = 2048, 0, 160, 4
+
+
+def best_configuration(sizes: list[int], values: np.ndarray, capacity: int) -> tuple[float, list[int]]:
+    """The most valuable configuration (counts per size): a knapsack, one item more per layer."""
+    best, layers = np.zeros(capacity + 1), []
+    for _ in range(capacity // min(sizes)):
+        more, item = best.copy(), np.full(capacity + 1, -1)
+        for i, (size, value) in enumerate(zip(sizes, values)):
+            if value > 1e-12:
+                better = best[:-size] + value > more[size:] + 1e-12
+                more[size:][better] = best[:-size][better] + value
+                item[size:][better] = i
+        if (item < 0).all():
+            break
+        layers.append(item)
+        best = more
+    column, room = [0] * len(sizes), capacity
+    for item in reversed(layers):  # an item of -1: this layer adds nothing here
+        if item[room] >= 0:
+            column[item[room]] += 1
+            room -= sizes[item[room]]
+    return float(best[capacity]), column
 
 
 def solve_configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[tuple[int, ...], float]]:
     """The linear program: configurations (counts per size) and how often each is used, least total."""
     k = len(sizes)
-    columns = [tuple(min(capacity // s, 10**9) if i == j else 0 for j in range(k)) for i, s in enumerate(sizes)]
-    basis = np.array(columns, dtype=float).T
-    d = np.array(demand, dtype=float)
-    for _ in range(40 * k):
-        inverse = np.linalg.inv(basis)
-        x, y = inverse @ d, inverse.sum(axis=0)
-        best, take = np.zeros(capacity + 1), []
-        for s, value in zip(sizes, y):
-            counts = np.zeros(capacity + 1, dtype=np.int16)
-            if value > 1e-12:
-                for copies in range(1, capacity // s + 1):  # room for one more of this size
-                    better = best[:-s] + value
-                    gain = better > best[s:] + 1e-12
-                    gain &= counts[:-s] == copies - 1
-                    if not gain.any():
-                        break
-                    new, more = best.copy(), counts.copy()
-                    new[s:][gain], more[s:][gain] = better[gain], copies
-                    best, counts = new, more
-            take.append(counts)
-        column, room = [0] * k, int(np.argmax(best))
-        if best[room] <= 1 + 1e-7:
+    columns = [tuple(capacity // s if i == j else 0 for j in range(k)) for i, s in enumerate(sizes)]
+    inverse, x = np.diag([1.0 / c[i] for i, c in enumerate(columns)]), np.array([d / c[i] for i, (c, d) in enumerate(zip(columns, demand))])
+    for turn in range(40 * k):
+        value, column = best_configuration(sizes, inverse.sum(axis=0), capacity)
+        if value <= 1 + 1e-7:
             break
-        for i in range(k - 1, -1, -1):
-            column[i] = int(take[i][room])
-            room -= column[i] * sizes[i]
         direction = inverse @ np.array(column, dtype=float)
         ratios = np.where(direction > 1e-9, x / np.where(direction > 1e-9, direction, 1), np.inf)
         leaves = int(np.argmin(ratios))
         if not np.isfinite(ratios[leaves]):
             break
-        basis[:, leaves], columns[leaves] = column, tuple(column)
-    return [(c, float(v)) for c, v in zip(columns, np.linalg.inv(basis) @ d) if v > 1e-9]
+        columns[leaves] = tuple(column)
+        if turn % 50 == 49:  # rounding errors of the updates do not add up
+            inverse = np.linalg.inv(np.array(columns, dtype=float).T)
+            x = np.maximum(inverse @ np.array(demand, dtype=float), 0)
+        else:
+            row, step = inverse[leaves] / direction[leaves], x[leaves] / direction[leaves]
+            inverse -= np.outer(direction, row)
+            inverse[leaves] = row
+            x = np.maximum(x - direction * step, 0)
+            x[leaves] = step
+    x = np.linalg.inv(np.array(columns, dtype=float).T) @ np.array(demand, dtype=float)
+    return [(c, float(v)) for c, v in zip(columns, x) if v > 1e-9]
 
 
 def linear_groups(counts: dict[int, int], groups: int) -> list[list[list[int]]]:
@@ -90,59 +101,62 @@ def linear_groups(counts: dict[int, int], groups: int) -> list[list[list[int]]]:
     return [g for g in out if g]
 
 
-def plan_recipes(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small_share: int = SMALL_SHARE, slack_share: float = SLACK_SHARE) -> list[tuple[int, tuple[int, ...]]]:
-    """(number of sequences, lengths in each) for pieces counted by length. Its size depends on the distinct lengths only."""
+Recipes = list[tuple[int, tuple[int, ...]]]
+
+
+def configured(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small_share: int = SMALL_SHARE) -> tuple[Recipes, dict[int, int]]:
+    """(recipes of the full and of the configured sequences, counts of the pieces left over)."""
     left = {k: v for k, v in counts.items() if v > 0}
-    recipes: list[tuple[int, tuple[int, ...]]] = []
+    recipes: Recipes = []
     if n := left.pop(capacity, 0):
         recipes.append((n, (capacity,)))
-    large, spare, slack = {k: v for k, v in left.items() if k * small_share > capacity}, {}, int(capacity * slack_share)
-    if large:
-        grouped = linear_groups(large, groups) if len(large) > groups else [[[k, large[k]]] for k in sorted(large, reverse=True)]
-        merged: list[list[list[int]]] = []
-        for g in grouped:  # groups that round to one size are one size
-            if merged and merged[-1][0][0] == g[0][0]:
-                merged[-1] += g
-            else:
-                merged.append(g)
-        sizes, demand = [g[0][0] for g in merged], [sum(n for _, n in g) for g in merged]
-        for column, used in solve_configurations(sizes, demand, capacity):
-            times = int(used + 1e-9)
-            slots = [i for i, c in enumerate(column) for _ in range(c)]
-            times = min([times, *(sum(n for _, n in merged[i]) // c for i, c in enumerate(column) if c)])
-            if not times or not slots:
-                continue
-            runs = []
-            for i in slots:  # the group's actual lengths, largest first
-                taken, need = [], times
-                while need:
-                    n = min(need, merged[i][0][1])
-                    taken.append([merged[i][0][0], n])
-                    merged[i][0][1] -= n
-                    need -= n
-                    if not merged[i][0][1]:
-                        merged[i].pop(0)
-                runs.append(taken if len(runs) % 2 == 0 else taken[::-1])
-            while runs[0]:
-                n, items = min(r[0][1] for r in runs), tuple(r[0][0] for r in runs)
-                if capacity - sum(items) <= slack:
-                    recipes.append((n, items))
-                else:
-                    for length in items:
-                        spare[length] = spare.get(length, 0) + n
-                for r in runs:
-                    r[0][1] -= n
-                    if not r[0][1]:
-                        r.pop(0)
-        for k in large:
-            left[k] = spare.get(k, 0)
-        for g in merged:
-            for length, n in g:
-                left[length] = left.get(length, 0) + n
+    large = {k: left.pop(k) for k in [k for k in left if k * small_share > capacity]}
+    if not large:
+        return recipes, left
+    grouped = linear_groups(large, groups) if len(large) > groups else [[[k, large[k]]] for k in sorted(large, reverse=True)]
+    merged: list[list[list[int]]] = []
+    for g in grouped:  # groups that round to one size are one size
+        if merged and merged[-1][0][0] == g[0][0]:
+            merged[-1] += g
+        else:
+            merged.append(g)
+    sizes, demand = [g[0][0] for g in merged], [sum(n for _, n in g) for g in merged]
+    for column, used in solve_configurations(sizes, demand, capacity):
+        slots = [i for i, c in enumerate(column) for _ in range(c)]
+        times = min([int(used + 1e-9), *(sum(n for _, n in merged[i]) // c for i, c in enumerate(column) if c)])
+        if not times or not slots:
+            continue
+        runs = []
+        for i in slots:  # the group's actual lengths, largest first
+            taken, need = [], times
+            while need:
+                n = min(need, merged[i][0][1])
+                taken.append([merged[i][0][0], n])
+                merged[i][0][1] -= n
+                need -= n
+                if not merged[i][0][1]:
+                    merged[i].pop(0)
+            runs.append(taken)
+        while runs[0]:
+            n = min(r[0][1] for r in runs)
+            recipes.append((n, tuple(r[0][0] for r in runs)))
+            for r in runs:
+                r[0][1] -= n
+                if not r[0][1]:
+                    r.pop(0)
+    for g in merged:
+        for length, n in g:
+            left[length] = left.get(length, 0) + n
+    return recipes, left
+
+
+def plan_recipes(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small_share: int = SMALL_SHARE) -> Recipes:
+    """(number of sequences, lengths in each) for pieces counted by length. Its size depends on the distinct lengths only."""
+    recipes, left = configured(counts, capacity, groups, small_share)
     return best_fit(left, recipes, capacity)
 
 
-def best_fit(counts: dict[int, int], open_recipes: list[tuple[int, tuple[int, ...]]], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+def best_fit(counts: dict[int, int], open_recipes: Recipes, capacity: int) -> Recipes:
     """Decreasing best fit over counted lengths: equal sequences are handled together and split only where needed."""
     by_room: dict[int, list[list]] = {}
     rooms: list[int] = []
@@ -182,7 +196,7 @@ def best_fit(counts: dict[int, int], open_recipes: list[tuple[int, tuple[int, ..
     return [(n, items) for room in sorted(by_room) for n, items in by_room[room]]
 
 
-def placements(recipes: list[tuple[int, tuple[int, ...]]]) -> dict[int, np.ndarray]:
+def placements(recipes: Recipes) -> dict[int, np.ndarray]:
     """Per length: rows (first rank, first sequence, offset), by rank; the r-th piece of a length goes to the last row at or below r."""
     rows: dict[int, list[tuple[int, int, int]]] = {}
     rank: dict[int, int] = {}
@@ -205,26 +219,35 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     """One row per piece, with its task and its rank among that task's pieces of the same length."""
     import pyarrow as pa
 
-    path, end = path or tokenizer_path("word_bpe_49k.json"), struct.pack("<I", end_id)
+    path = path or tokenizer_path("word_bpe_49k.json")
 
     def run(batches):
         from pyspark import TaskContext
 
-        enc, part, seen = encoder(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        enc, part, seen = encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), (x.as_py() for x in batch.column(1))):
-                data = enc.encode(text) + end
-                for i, at in enumerate(range(0, len(data), 4 * capacity)):
-                    own = data[at : at + 4 * capacity]
-                    n = len(own) // 4
-                    rows.append((doc_id, i, at // 4, n, zlib.crc32(own), part, seen[n]))
-                    seen[n] += 1
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            columns = list(zip(*rows)) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in PIECES.split(", ")])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+            at = 0
+            for n, ids, bounds in enc.encode(batch.column(1), end_id):
+                sizes = np.diff(bounds)
+                counts = -(-sizes // capacity)
+                owner = np.repeat(np.arange(n), counts)
+                piece = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+                start = piece * capacity
+                length = np.minimum(capacity, sizes[owner] - start)
+                first = bounds[owner] + start
+                raw = memoryview(ids).cast("B")
+                crc = np.fromiter((zlib.crc32(raw[4 * a : 4 * (a + k)]) for a, k in zip(first.tolist(), length.tolist())), dtype=np.int64, count=len(first))
+                order = np.argsort(length, kind="stable")  # ranks among the pieces of a length
+                ordered = length[order]
+                inside = np.arange(len(order)) - np.searchsorted(ordered, ordered)
+                rank = np.empty(len(order), dtype=np.int64)
+                rank[order] = inside + seen[ordered]
+                seen += np.bincount(length, minlength=capacity + 1)
+                doc_ids = batch.column(0).slice(at, n).take(pa.array(owner))
+                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc), pa.array(np.full(len(owner), part, dtype=np.int32)), pa.array(rank)], names=[x.split()[0] for x in PIECES.split(", ")])
+                at += n
+
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, PIECES)
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, groups: int = GROUPS) -> DataFrame:
@@ -251,4 +274,4 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     ranked = cut.join(first, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("task_rank") + F.col("local_rank")).alias("rank"))
-    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return map_batches(ranked, run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

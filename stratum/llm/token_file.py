@@ -6,15 +6,17 @@ bits) gives an id's place there, so any token is read from a few bytes without d
 
 Layout of a segment: magic, number of ids, number of levels, then per level: bits, entries, packed chunks, bitmap, rank
 directory. Documents lie in ascending doc_id order: rows are range-partitioned by doc_id, sorted, and written as rows
-(part, seq, documents, token counts, codes) of a Parquet dataset, which any store that Spark reaches can hold. A
-segment ends after ``segment_tokens`` ids at a document's end, so only a single document can make a larger one.
+(part, seq, ids before it in its part, documents, token counts, codes) of a Parquet dataset, which any store that Spark
+reaches can hold. A segment ends after ``segment_tokens`` ids at a document's end, so only a single document can make a
+larger one. There are as many parts as ``PART_BYTES`` of text need; a reader adds up one number per part.
 
 Defined cases: null text is empty and gets only the end id; null doc_ids come first; rows with the same doc_id are
-ordered by text; other columns are ignored.
+ordered by a hash of the text, then by the text, and may lie in several parts; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 
@@ -23,13 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_batches
 from .tokens import encoder, tokenizer_path
 
 MAGIC = b"DAC1"
 CHUNK_BITS, BLOCK_BITS = 8, 512
-SEGMENT_TOKENS = 1 << 20
+SEGMENT_TOKENS, PART_BYTES = 1 << 18, 48 << 20
 END_ID = 2
+SEGMENTS = "part int, seq int, base long, doc_ids array<long>, lengths array<long>, codes binary"
 
 
 def encode_codes(ids: np.ndarray, chunk_bits: int = CHUNK_BITS) -> bytes:
@@ -114,53 +117,59 @@ def write_token_file(docs: DataFrame, folder: str, path: str | None = None, end_
 
     spark = docs.sparkSession
     path = path or tokenizer_path("byte_bpe_50k.json")
-    partitions = partitions or max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
-    end = struct.pack("<I", end_id)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if partitions is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        partitions = max(2 * spark.sparkContext.defaultParallelism, math.ceil(size / PART_BYTES))
+    ordered = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(partitions, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
 
     def run(batches):
         from pyspark import TaskContext
 
-        enc, part, seq = encoder(path), TaskContext.get().partitionId(), 0
-        ids, lengths, codes, total = [], [], [], 0
+        enc, part, seq, base = encoder(path), TaskContext.get().partitionId(), 0, 0
+        held, total = [], 0  # (doc_ids, lengths, ids) of stretches of documents
 
         def segment():
-            tokens = np.frombuffer(b"".join(codes), dtype="<u4")
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([encode_codes(tokens, chunk_bits)], pa.binary())], names=["part", "seq", "doc_ids", "lengths", "codes"])
+            tokens, doc_ids, lengths = np.concatenate([h[2] for h in held]), pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            bounds = pa.array([0, len(lengths)], pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([base], pa.int64()), pa.ListArray.from_arrays(bounds, doc_ids), pa.ListArray.from_arrays(bounds, pa.array(lengths)), pa.array([encode_codes(tokens, chunk_bits)], pa.binary())], names=["part", "seq", "base", "doc_ids", "lengths", "codes"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), (x.as_py() for x in batch.column(1))):
-                data = enc.encode(text) + end
-                ids.append(doc_id)
-                lengths.append(len(data) // 4)
-                codes.append(data)
-                total += len(data) // 4
-                if total >= segment_tokens:
-                    yield segment()
-                    ids, lengths, codes, total, seq = [], [], [], 0, seq + 1
-        if ids:
+            at = 0
+            for n, ids, bounds in enc.encode(batch.column(1), end_id):
+                first = 0
+                while first < n:
+                    last = min(n, max(first + 1, int(np.searchsorted(bounds, bounds[first] + segment_tokens - total))))
+                    held.append((batch.column(0).slice(at + first, last - first), np.diff(bounds[first : last + 1]), ids[bounds[first] : bounds[last]]))
+                    total += int(bounds[last] - bounds[first])
+                    if total >= segment_tokens:
+                        yield segment()
+                        held, total, seq, base = [], 0, seq + 1, base + total
+                    first = last
+                at += n
+        if held:
             yield segment()
 
-    ordered.mapInArrow(run, "part int, seq int, doc_ids array<long>, lengths array<long>, codes binary").write.parquet(folder)
+    map_batches(ordered, run, SEGMENTS).write.parquet(folder)
 
 
 def read_token_file(spark: SparkSession, folder: str) -> DataFrame:
     """One row per document, decoded from the segments: doc_id, start, n_tokens, ids_crc32 (of the ids as written)."""
-    segments = spark.read.schema("part int, seq int, doc_ids array<long>, lengths array<long>, codes binary").parquet(folder)
-    sizes = segments.select("part", "seq", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
-    parts = sizes.groupBy("part").agg(F.sum("n").alias("n"))  # a row per written partition
-    before = parts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("part_start"))
-    starts = sizes.join(before, "part").select("part", "seq", (F.col("part_start") + F.sum("n").over(W.partitionBy("part").orderBy("seq")) - F.col("n")).alias("base"))
-
-    def make():
-        def each(bases, ids, lengths, codes):
-            for base, docs, counts, data in zip(bases, ids, lengths, codes):
-                raw, at = CodeReader(data).decode().astype("<u4").tobytes(), 0
-                for doc_id, n in zip(docs, counts):
-                    yield doc_id, base + at, n, zlib.crc32(raw[4 * at : 4 * (at + n)])
-                    at += n
-
-        return each
-
-    joined = segments.join(starts, ["part", "seq"]).select("base", "doc_ids", "lengths", "codes")
-    return map_rows(joined, make, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    segments = spark.read.schema(SEGMENTS).parquet(folder)
+    size = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
+    parts = segments.groupBy(F.col("part").alias("of_part")).agg(F.max(F.col("base") + size).alias("n"))  # a row per written partition
+    before = parts.select("of_part", (F.sum("n").over(W.orderBy("of_part")) - F.col("n")).alias("part_start"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(batch.num_rows):  # a segment at a time
+                ids, lengths = batch.column(1)[i].values, batch.column(2)[i].values.to_numpy()
+                tokens = memoryview(CodeReader(batch.column(3)[i].as_py()).decode().astype("<u4", copy=False)).cast("B")
+                bounds = np.concatenate(([0], np.cumsum(lengths)))
+                crc = [zlib.crc32(tokens[4 * a : 4 * b]) for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(batch.column(0)[i].as_py() + bounds[:-1]), pa.array(lengths), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    joined = segments.join(F.broadcast(before), F.col("part") == F.col("of_part")).select(F.col("part_start") + F.col("base"), "doc_ids", "lengths", "codes")
+    return map_batches(joined, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
