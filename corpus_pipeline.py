@@ -1,4 +1,10 @@
-"""A pipeline over ``documents``: five stages of the text operators, each stored before the next one reads it."""
+"""A pipeline over ``documents``: five stages of the text operators, each stored before the next one reads it.
+
+Defined cases: a null, empty or wordless text is rejected by the first stage, unless there are no labels to learn from,
+when only texts with a word stay; a null doc_id is no member of a group of near duplicates and stays; rows with the same
+doc_id that the duplicates stage keeps stay once; empty tables give empty results; columns beyond those of documents
+pass through all stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -6,36 +12,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stratum.llm import decontaminate, near_duplicates, packing, quality, secrets
 from stratum.llm.common import shared_folder, table
-from stratum.session import ship_package
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    ship_package(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    ship_package(spark)
     return near_duplicates.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages: the passage goes, or the document if most of it is one."""
-    ship_package(spark)
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with secrets replaced by a mark."""
-    ship_package(spark)
     return secrets.redact_secrets(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences: one row per piece of a document."""
-    ship_package(spark)
     return packing.pack(docs)
 
 
