@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, decontaminate, licenses, near_duplicates, packing, quality, rules, secrets, suffix_dedup, token_file
 from .common import shared_folder, table
+from .sql import ORACLES
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
