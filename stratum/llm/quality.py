@@ -141,8 +141,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
         return each
 
-    rows = map_rows(texts, make, "at binary, value binary, grade int, label_id long").limit(4 * sample_rows).collect()  # a bounded training sample
-    rows.sort(key=lambda r: (r.label_id, bytes(r.at)))
+    found = map_rows(texts, make, "at binary, value binary, grade int, label_id long")
+    first = found.orderBy(F.xxhash64("label_id"), "label_id", F.xxhash64("at", "value")).limit(4 * sample_rows)  # more only if ids repeat
+    rows = sorted(first.collect(), key=lambda r: (r.label_id, bytes(r.at)))
     grades = np.array([r.grade for r in rows], dtype=np.int64)
     if len(set(grades.tolist())) < 2:
         return None

@@ -8,9 +8,10 @@ kind ``markov``; of another part, the stretch between separators that exceeds th
 what is left on its two sides is searched again. The threshold lies above the best stretches of a share ``QUANTILE`` of
 the held-out ordinary identifiers by ``MARGIN``.
 
-Training reads the whole texts of at most ``SAMPLE_DOCS`` documents (those whose id hashes lowest); up to
-``SAMPLE_WORDS`` of their words (those that hash lowest), and identifiers joined from them, are the samples labelled
-ordinary; the samples labelled random come from a seeded generator.
+Training takes labelled samples from a table (sample, is_random), at most ``SAMPLE_WORDS`` of each label (those that hash
+lowest). Without such a table it reads the whole texts of at most ``SAMPLE_DOCS`` documents (those whose id hashes
+lowest): up to ``SAMPLE_WORDS`` of their words (those that hash lowest), and identifiers joined from them, are the samples
+labelled ordinary, and the samples labelled random come from a seeded generator.
 
 Defined cases: null text is empty and has no spans; repeated rows are answered one by one; offsets are code points, end
 exclusive; a markov span never overlaps a base span; other columns are ignored.
@@ -124,7 +125,16 @@ def ordinary_samples(found: list[bytes], seed: int = SEED) -> list[str]:
     return words + joined
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> RandomnessModel:
+def labelled_samples(samples: DataFrame) -> RandomnessModel:
+    """The model of a table of labelled samples: sample string, is_random boolean. Nulls are not used."""
+    told = [samples.where(F.col("is_random") == flag).where("sample is not null").select("sample").distinct().orderBy(F.xxhash64("sample"), "sample").limit(SAMPLE_WORDS).collect() for flag in (True, False)]
+    kept = [["".join(c for c in r.sample if c in ALPHABET) for r in rows] for rows in told]  # bounded training samples
+    return RandomnessModel(*kept)
+
+
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, samples: DataFrame | None = None) -> RandomnessModel:
+    if samples is not None:
+        return labelled_samples(samples)
     ids = docs.select(F.col("doc_id").alias("sample_id")).where("sample_id is not null").distinct().orderBy(F.xxhash64("sample_id"), "sample_id").limit(sample_docs)
 
     def make():

@@ -218,3 +218,11 @@ def test_redaction(spark):
     out = {r.doc_id: r for r in secrets.redact_secrets(docs_of(spark, texts), secrets.RandomnessModel(secrets.random_samples(400), ["ordinary", "words"] * 20)).collect()}
     assert out[1].text == "keep this" and out[3].text is None
     assert out[2].text == "a <SECRET> b" and out[2].n_chars == len("a <SECRET> b")
+
+
+def test_secret_model_of_labelled_samples(spark):
+    rows = [(x, True) for x in secrets.random_samples(800)] + [(w, False) for w in secrets.ordinary_samples([b"compute", b"running", b"average", b"values", b"source", b"table"])] + [(None, True), ("nobody says", None)]
+    samples = spark.createDataFrame(rows, "sample string, is_random boolean")
+    model = secrets.train(docs_of(spark, []), samples=samples)
+    assert sum(model.score(x.encode()) > model.threshold for x in secrets.random_samples(200, seed=99)) >= 190
+    assert not model.stretches(b"compute_running_average_values")
