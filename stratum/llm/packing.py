@@ -213,13 +213,16 @@ def placements(recipes: Recipes) -> dict[int, np.ndarray]:
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
+PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """One row per piece, with its task and its rank among that task's pieces of the same length."""
+def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+    """One row per piece, with its task and its rank among that task's pieces of the same length; with_ids adds ids binary
+    (little-endian unsigned 32-bit integers)."""
     import pyarrow as pa
 
-    path = path or tokenizer_path("word_bpe_49k.json")
+    path, schema = path or tokenizer_path("word_bpe_49k.json"), PIECES + (", ids binary" if with_ids else "")
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         from pyspark import TaskContext
@@ -244,17 +247,20 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
                 rank[order] = inside + seen[ordered]
                 seen += np.bincount(length, minlength=capacity + 1)
                 doc_ids = batch.column(0).slice(at, n).take(pa.array(owner))
-                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc), pa.array(np.full(len(owner), part, dtype=np.int32)), pa.array(rank)], names=[x.split()[0] for x in PIECES.split(", ")])
+                columns = [doc_ids, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc), pa.array(np.full(len(owner), part, dtype=np.int32)), pa.array(rank)]
+                if with_ids:
+                    columns.append(pa.array([raw[4 * a : 4 * (a + k)].tobytes() for a, k in zip(first.tolist(), length.tolist())], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
                 at += n
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, PIECES)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, groups: int = GROUPS) -> DataFrame:
-    """One row per piece with the sequence that holds it and its place there."""
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, groups: int = GROUPS, with_ids: bool = False) -> DataFrame:
+    """One row per piece with the sequence that holds it and its place there, and its ids if asked for."""
     import pyarrow as pa
 
-    cut = stored(pieces(docs, path, capacity, end_id))
+    cut = stored(pieces(docs, path, capacity, end_id, with_ids))
     by_task = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
     counts = {r.length: r.n for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     places = docs.sparkSession.sparkContext.broadcast(placements(plan_recipes(counts, capacity, groups)))
@@ -271,7 +277,16 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
                 at = np.searchsorted(rows[:, 0], rank[own], side="right") - 1
                 sequence[own] = rows[at, 1] + rank[own] - rows[at, 0]
                 offset[own] = rows[at, 2]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own_columns[:5]), pa.array(sequence), pa.array(offset), *(batch.column(c) for c in own_columns[5:])], names=[*own_columns[:5], "sequence_id", "offset", *own_columns[5:]])
 
-    ranked = cut.join(first, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("task_rank") + F.col("local_rank")).alias("rank"))
-    return map_batches(ranked, run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    own_columns = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
+    ranked = cut.join(first, ["part", "length"]).select(*own_columns, (F.col("task_rank") + F.col("local_rank")).alias("rank"))
+    return map_batches(ranked, run, PLACED + (", ids binary" if with_ids else ""))
+
+
+def packed_sequences(docs: DataFrame, **options) -> DataFrame:
+    """One row per sequence: sequence_id, its number of tokens, their ids (little-endian unsigned 32-bit integers), and the
+    documents and lengths of its pieces in order. A sequence is bounded by the capacity. Options are those of ``pack``."""
+    placed = pack(docs, with_ids=True, **options)
+    rows = placed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "doc_id", "length", "ids"))).alias("p"))
+    return rows.select("sequence_id", F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["length"]).alias("n_tokens"), F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"), F.transform("p", lambda x: x["doc_id"]).alias("doc_ids"), F.transform("p", lambda x: x["length"]).alias("lengths"))

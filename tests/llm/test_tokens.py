@@ -112,6 +112,14 @@ def check_packing(rows, texts, capacity=2048):
 def test_packing_of_odd_rows(spark):
     check_packing(packing.pack(docs_of(spark, ODD)).collect(), ODD)
     assert packing.pack(docs_of(spark, [])).count() == 0
+    placed = {(r.sequence_id, r.offset): r for r in packing.pack(docs_of(spark, ODD), with_ids=True).collect()}
+    for r in packing.packed_sequences(docs_of(spark, ODD)).collect():
+        at, ids = 0, bytes(r.ids)
+        assert len(ids) == 4 * r.n_tokens == 4 * sum(r.lengths)
+        for doc_id, length in zip(r.doc_ids, r.lengths):
+            assert placed[r.sequence_id, at].length == length
+            assert zlib.crc32(ids[4 * at : 4 * (at + length)]) in {p.ids_crc32 for p in placed.values() if p.doc_id == doc_id and p.length == length}
+            at += length
 
 
 def test_packing_query(spark, sf_dir):
