@@ -90,9 +90,19 @@ def percentile_keep(rows: DataFrame, value: str, p: float, keys: list[str]) -> D
     return rows.join(limit, keys).where(F.col(value) <= F.col("_limit")).drop("_limit")
 
 
+def type_layer_lists(manifest: DataFrame, key: str = "grp") -> DataFrame:
+    """The layers of each type, in order."""
+    return manifest.groupBy(key, "type").agg(F.sort_array(F.collect_list("layer")).alias("layers"))
+
+
+def shared_keypoints(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Adds the keypoints that two lists share, and their number."""
+    return rows.withColumn("both", F.array_intersect(a, b)).withColumn("shared", F.size("both").cast("long"))
+
+
 def stratified_sample(rows: DataFrame, n: int, label: str, ident: str, seed: int = 0) -> DataFrame:
     """Up to n rows per label, in the order of a seeded hash."""
-    return top_k(rows.withColumn("_h", F.xxhash64(F.lit(seed), F.col(ident))), n, [label], ["_h", ident]).drop("_h")
+    return top_k(rows.withColumn("_h", F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(ident).cast("string")).cast("binary"))), n, [label], ["_h", ident]).drop("_h")
 
 
 def crop_around(rows: DataFrame, size: int, width: int, height: int) -> DataFrame:
@@ -110,18 +120,17 @@ def cell_match_candidates(fixed: DataFrame, moving: DataFrame, kpts: DataFrame,
     return met.where(F.col("shared") >= share * k)
 
 
-def greedy_assign(candidates: DataFrame, keys=("grp",), max_rounds: int = 60) -> DataFrame:
+def greedy_assign(candidates: DataFrame, keys=("grp",)) -> DataFrame:
     """Each f in order of its id takes its best m that is still free (lowest score, then lowest m).
 
     Deferred acceptance with one priority for all: every free f proposes to its best m that has not refused it; every m
-    keeps the lowest f. It settles at the same answer without going one by one; each round is stored."""
+    keeps the lowest f. It settles at the same answer without going one by one; each round is stored and takes at least
+    one candidate away, so it ends."""
     left = candidates.select(*keys, "f", "m", "score")
-    held = None
-    for _ in range(max_rounds):
+    while True:
         proposal = left.withColumn("_r", F.row_number().over(W.partitionBy(*keys, "f").orderBy("score", "m"))).where("_r = 1").drop("_r")
         held = proposal.withColumn("_r", F.row_number().over(W.partitionBy(*keys, "m").orderBy("f"))).where("_r = 1").drop("_r")
         refused = proposal.join(held.select(*keys, "f", "m"), [*keys, "f", "m"], "left_anti")
         if refused.isEmpty():
             return held
         left = stored(left.join(refused.select(*keys, "f", "m"), [*keys, "f", "m"], "left_anti"))
-    raise RuntimeError(f"assignment did not settle within {max_rounds} rounds")

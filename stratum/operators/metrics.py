@@ -37,6 +37,15 @@ def pairwise_tre_global(points: DataFrame, key: str = "grp") -> DataFrame:
     return nxt.where("_l = layer + 1").select(key, "layer", "kpt_id", F.sqrt((F.col("x") - F.col("_x")) ** 2 + (F.col("y") - F.col("_y")) ** 2).alias("tre"))
 
 
+def pairwise_tre(pairs: DataFrame, pixel: float = 1.0, more_points: bool = False, key: str = "grp") -> DataFrame:
+    """Distance inside each row of a pair of layers, in units of pixel; more_points leaves each group's last pair out."""
+    told = pairs.select(key, "layer_f", "kpt_id", (pair_distance() * pixel).alias("tre"))
+    if not more_points:
+        return told
+    last = pairs.groupBy(key).agg(F.max("layer_f").alias("_last"))
+    return told.join(last, key).where(F.col("layer_f") < F.col("_last")).drop("_last")
+
+
 def accumulated_tre(pairs: DataFrame, key: str = "grp") -> DataFrame:
     """Mean error vector per pair of layers (NaN left out), its running sum over pairs, and the sum's norm."""
     ok = lambda c: F.nanvl(c, F.lit(None).cast("double"))
@@ -53,11 +62,18 @@ def linearfit_tre(points: DataFrame, z_scale: float, key: str = "grp") -> DataFr
     return points.join(fits, [key, "kpt_id"]).select(key, "layer", "kpt_id", d.alias("fit_tre"))
 
 
-def registration_report(pairs: DataFrame, pixel: float = 0.46, key: str = "grp") -> DataFrame:
-    """Mean, largest and population deviation of pairwise and accumulated errors, in micrometres."""
-    um = pairs.withColumns({c: F.col(c) * pixel for c in ("xf", "yf", "xm", "ym")})
-    per_pair = um.groupBy(key, "layer_f").agg(F.avg(pair_distance()).alias("v"))
+def registration_report(fiducials: DataFrame, pixel: float = 0.46, thickness: float = 5.0, key: str = "grp") -> DataFrame:
+    """Mean, largest and population deviation of pairwise and accumulated errors, in micrometres.
+
+    The kind of fiducials decides on the errors. Pairwise ones (a row has xf, yf, xm, ym) give the mean distance per pair
+    of layers, and its running sum as accumulated error; global ones (a row has x, y: the same points on every layer)
+    give all distances to the next layer, and the distances to lines fitted over depth."""
     tell = lambda df, c, name: df.groupBy(key).agg(F.avg(c).alias(f"mean_{name}"), F.max(c).alias(f"max_{name}"), F.stddev_pop(c).alias(f"std_{name}"))
+    if "xf" not in fiducials.columns:
+        um = fiducials.withColumns({c: F.col(c) * pixel for c in "xy"})
+        return tell(pairwise_tre_global(um, key), "tre", "pairwise").join(tell(linearfit_tre(um, thickness, key), "fit_tre", "accumulated"), key)
+    um = fiducials.withColumns({c: F.col(c) * pixel for c in ("xf", "yf", "xm", "ym")})
+    per_pair = um.groupBy(key, "layer_f").agg(F.avg(pair_distance()).alias("v"))
     return tell(per_pair, "v", "pairwise").join(tell(accumulated_tre(um, key), "atre", "accumulated"), key)
 
 
@@ -68,6 +84,12 @@ def keypoint_l1(pairs: DataFrame, alpha: float = 0.0, key: str = "grp") -> DataF
     return lists.groupBy(key).agg((F.avg("l1") + alpha * F.avg(F.sqrt(F.col("ex") ** 2 + F.col("ey") ** 2))).alias("loss"))
 
 
+def keypoint_l1_weighted(pairs: DataFrame, lamb: float = 0.1, attr: str = "attr", key: str = "grp") -> DataFrame:
+    """Mean of attr times the L1 of both coordinates, plus lamb times what attr lacks of 1 on average."""
+    l1 = (F.abs(F.col("xf") - F.col("xm")) + F.abs(F.col("yf") - F.col("ym"))) / 2
+    return pairs.groupBy(key).agg((F.avg(F.col(attr) * l1) + lamb * (1 - F.avg(attr))).alias("loss"))
+
+
 def image_pairs(pixels: DataFrame, lag: int = 1) -> DataFrame:
     """Pixels of image i with those of image i + lag: image_id, channel, y, x, a, b."""
     b = pixels.select((F.col("image_id") - lag).alias("image_id"), "channel", "y", "x", F.col("v").alias("b"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA
+from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -48,24 +48,51 @@ def kmeans_labels(rows: DataFrame, ks: list[int], features: str = "features", se
     return df.drop("_v")
 
 
+def standardized(rows: DataFrame, features: str = "features") -> DataFrame:
+    """Each feature less its mean, by its deviation (0 stays 0)."""
+    scaler = StandardScaler(inputCol="_v", outputCol="_s", withMean=True, withStd=True)
+    vectors = rows.withColumn("_v", array_to_vector(F.transform(features, lambda v: v.cast("double"))))
+    return scaler.fit(vectors).transform(vectors).withColumn(features, vector_to_array("_s")).drop("_v", "_s")
+
+
 def graph_communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """Label propagation over an undirected graph (src, dst): each node takes its neighbours' most common label (smallest
-    on ties), counting its own; rounds are stored."""
+    on ties), counting its own. It ends when no label changes, or after ``rounds`` rounds, as two labels can change places
+    for ever; rounds are stored."""
     both = stored(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     labels = both.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
     for _ in range(rounds):
         seen = both.join(labels, both["dst"] == labels["node"]).select(F.col("src").alias("node"), "label").unionByName(labels.select("node", "label"))
         counts = seen.groupBy("node", "label").agg(F.count("*").alias("n"))
-        labels = stored(counts.groupBy("node").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("label")))
+        new = stored(counts.groupBy("node").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("label")))
+        settled = new.join(labels.withColumnRenamed("label", "_old"), "node").where("label <> _old").isEmpty()
+        labels = new
+        if settled:
+            break
     return labels
 
 
-def knn_graph(rows: DataFrame, k: int, features: str = "features") -> DataFrame:
-    """Edges from each row to its k most similar others (cosine); rows: id, features."""
+def knn_graph(rows: DataFrame, k: int, features: str = "features", probes: int = 8, seed: int = 0) -> DataFrame:
+    """Edges from each row to its k most similar others (cosine); rows: id, features.
+
+    Rows are clustered into about half the square root of their number of cells; a row is compared, in blocks, with the
+    rows of the ``probes`` cells whose centres are nearest to it. With so few rows that there are no more cells than
+    probes the graph is exact; else tests hold its recall."""
     from .matching import descriptor_scores
 
-    side = rows.select(F.lit(0).alias("pair"), "id", features)
-    scores = descriptor_scores(side, side).where("i <> j")
+    norm = F.sqrt(F.aggregate(features, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
+    unit = rows.select("id", F.transform(features, lambda v: v.cast("double") / norm).alias("features")).withColumn("_v", array_to_vector("features"))
+    cells = max(1, round(rows.count() ** 0.5 / 2))
+    model = KMeans(k=cells, seed=seed, featuresCol="_v", predictionCol="cell", maxIter=10).fit(unit) if cells > 1 else None
+    held = stored((model.transform(unit) if model else unit.withColumn("cell", F.lit(0))).select("id", "features", "cell"))
+    if cells <= probes:
+        asked = held.select("id", "features", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
+    else:
+        centres = F.array(*[F.struct(F.lit(i).alias("cell"), F.array(*[F.lit(float(x)) for x in c]).alias("c")) for i, c in enumerate(model.clusterCenters())])
+        far = lambda c: F.aggregate(F.zip_with("features", c["c"], lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
+        nearest = F.slice(F.array_sort(F.transform(centres, lambda c: F.struct(far(c).alias("d"), c["cell"].alias("cell")))), 1, probes)
+        asked = held.select("id", "features", F.explode(F.transform(nearest, lambda c: c["cell"])).alias("cell"))
+    scores = descriptor_scores(asked, held, keys=("cell",)).where("i <> j")
     best = F.row_number().over(W.partitionBy("i").orderBy(F.desc("score"), "j"))
     return scores.withColumn("_r", best).where(F.col("_r") <= k).select(F.col("i").alias("src"), F.col("j").alias("dst"))
 

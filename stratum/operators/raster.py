@@ -60,6 +60,19 @@ def _along(df: DataFrame, axis: str, weights: list[float], keys, value: str) ->
     return sent.groupBy(*keys, "y", "x").agg(F.sum(value).alias(value))
 
 
+def gaussian_smooth_volume(volume: DataFrame, depth: int, height: int, width: int, size: int = 3, sigma: float = 1.0, value: str = "v") -> DataFrame:
+    """Separable normalised Gaussian over z, y and x of one volume per key, edges repeated outwards. volume: image_id, z,
+    y, x, value."""
+    w, half, now = gaussian_kernel(size, sigma), size // 2, volume.select("image_id", "z", "y", "x", value)
+    for axis, n in (("z", depth), ("y", height), ("x", width)):
+        at, rest = F.col(axis).cast("int"), [c for c in ("image_id", "z", "y", "x") if c != axis]
+        ends = F.sequence(F.when(at == 0, F.lit(-half)).otherwise(at), F.when(at == n - 1, F.lit(n - 1 + half)).otherwise(at))
+        steps = F.explode(F.array(*[F.struct(F.lit(i - half).alias("d"), F.lit(k).alias("w")) for i, k in enumerate(w)]))
+        sent = now.withColumn("_p", F.explode(ends)).withColumn("_s", steps).select(*rest, (F.col("_p") + F.col("_s.d")).cast("long").alias(axis), (F.col(value) * F.col("_s.w")).alias(value))
+        now = sent.where(F.col(axis).between(0, n - 1)).groupBy("image_id", "z", "y", "x").agg(F.sum(value).alias(value))
+    return now
+
+
 def gaussian_smooth(pixels: DataFrame, size: int = 3, sigma: float = 1.0, keys=KEYS, value: str = "v") -> DataFrame:
     """Separable normalised Gaussian with zero padding; only places of the input come back."""
     w = gaussian_kernel(size, sigma)
@@ -83,10 +96,13 @@ def _corners(places: DataFrame, sy: Column, sx: Column, keep: list[str]) -> Data
     return df.withColumn("_c", four).select(*keep, F.col("_c.y").alias("y"), F.col("_c.x").alias("x"), F.col("_c.w").alias("w"))
 
 
-def sample_at(pixels: DataFrame, places: DataFrame, height: int, width: int, border: bool = False, fill: float = 0.0, keys=KEYS) -> DataFrame:
-    """Bilinear values at source positions (sy, sx) of target places (keys, ty, tx): a join of four corners. Outside the
-    image the value is 0, or the border's."""
-    corners = _corners(places, F.col("sy"), F.col("sx"), [*keys, "ty", "tx"])
+def sample_at(pixels: DataFrame, places: DataFrame, height: int, width: int, border: bool = False, fill: float = 0.0, keys=KEYS, mode: str = "bilinear") -> DataFrame:
+    """Values at source positions (sy, sx) of target places (keys, ty, tx): a join of four corners ("bilinear"), or of the
+    nearest pixel (half to even). Outside the image the value is 0, or the border's."""
+    if mode == "nearest":
+        corners = places.select(*keys, "ty", "tx", F.rint("sy").cast("long").alias("y"), F.rint("sx").cast("long").alias("x"), F.lit(1.0).alias("w"))
+    else:
+        corners = _corners(places, F.col("sy"), F.col("sx"), [*keys, "ty", "tx"])
     if border:
         corners = corners.withColumns({"y": F.greatest(F.lit(0), F.least("y", F.lit(height - 1))), "x": F.greatest(F.lit(0), F.least("x", F.lit(width - 1)))})
     met = corners.where("w > 0").join(pixels.select(*keys, "y", "x", "v"), [*keys, "y", "x"])
@@ -94,9 +110,14 @@ def sample_at(pixels: DataFrame, places: DataFrame, height: int, width: int, bor
     return places.select(*keys, "ty", "tx").join(found, [*keys, "ty", "tx"], "left").na.fill(fill, ["v"]).withColumnsRenamed({"ty": "y", "tx": "x"})
 
 
-def canvas(pixels: DataFrame, height: int, width: int, keys=KEYS) -> DataFrame:
-    line = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
-    return pixels.select(*keys).distinct().withColumn("ty", line(height)).withColumn("tx", line(width))
+def canvas(pixels: DataFrame, height: int, width: int, keys=KEYS, tile: int = 256) -> DataFrame:
+    """Every place of every image. Tiles are dealt out first, so that a large image is not one task's work."""
+    tiles = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(tile)).cast("array<bigint>"))
+    line = lambda c, n: F.explode(F.sequence(F.col(c), F.least(F.col(c) + tile, F.lit(n)) - 1))
+    placed = pixels.select(*keys).distinct().withColumn("_y", tiles(height)).withColumn("_x", tiles(width))
+    if height > tile or width > tile:
+        placed = placed.repartition(int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_y", "_x")
+    return placed.withColumn("ty", line("_y", height)).withColumn("tx", line("_x", width)).drop("_y", "_x")
 
 
 def resample(pixels: DataFrame, height: int, width: int, new_h: int, new_w: int, mode: str = "bilinear", align_corners: bool = False) -> DataFrame:
@@ -125,16 +146,16 @@ def sampling_positions(field: DataFrame, height: int, width: int, align_corners:
     return field.select("image_id", F.col("i").alias("ty"), F.col("j").alias("tx"), at("gy", height).alias("sy"), at("gx", width).alias("sx"))
 
 
-def grid_sample(pixels: DataFrame, grid: DataFrame, height: int, width: int, align_corners: bool = False, border: bool = False) -> DataFrame:
+def grid_sample(pixels: DataFrame, grid: DataFrame, height: int, width: int, align_corners: bool = False, border: bool = False, mode: str = "bilinear") -> DataFrame:
     """Values of every channel at the grid's positions. The shuffle by place is the parallelism; no blocks are needed."""
     channels = pixels.select(*KEYS).distinct()
-    return sample_at(pixels, sampling_positions(grid, height, width, align_corners).join(channels, "image_id").select(*KEYS, "ty", "tx", "sy", "sx"), height, width, border)
+    return sample_at(pixels, sampling_positions(grid, height, width, align_corners).join(channels, "image_id").select(*KEYS, "ty", "tx", "sy", "sx"), height, width, border, mode=mode)
 
 
-def warp_displacement(pixels: DataFrame, displacement: DataFrame, height: int, width: int, border: bool = False) -> DataFrame:
-    """Identity grid plus displacement (normalised), then grid_sample. displacement: image_id, i, j, gx, gy."""
+def warp_displacement(pixels: DataFrame, displacement: DataFrame, height: int, width: int, border: bool = False, mode: str = "bilinear") -> DataFrame:
+    """Identity grid plus displacement (normalised), then grid_sample ("bilinear" or "nearest"). displacement: image_id, i, j, gx, gy."""
     grid = displacement.withColumns({"gx": (2 * F.col("j") + 1) / width - 1 + F.col("gx"), "gy": (2 * F.col("i") + 1) / height - 1 + F.col("gy")})
-    return grid_sample(pixels, grid, height, width, border=border)
+    return grid_sample(pixels, grid, height, width, border=border, mode=mode)
 
 
 def grid_to_displacement(field: DataFrame, height: int, width: int, inverse: bool = False) -> DataFrame:
@@ -185,8 +206,8 @@ def zscore(pixels: DataFrame, reference: int) -> DataFrame:
     return met.withColumn("v", F.floor(F.least(F.greatest((F.col("v") - F.col("m")) / F.col("s") * F.col("rs") + F.col("rm"), F.lit(0.0)), F.lit(255.0)))).select(*pixels.columns)
 
 
-def crop_margins(mask: DataFrame, threshold: float, least: int) -> DataFrame:
-    """Strongest run of row means and of column means of a mask, per image: y0, y1, x0, x1."""
+def strongest_window(mask: DataFrame, threshold: float, least: int) -> DataFrame:
+    """Strongest run of row means and of column means of a mask, per image: y0, y1, x0, x1 (inclusive)."""
     from .windows import strongest_run
 
     out = None
@@ -197,6 +218,36 @@ def crop_margins(mask: DataFrame, threshold: float, least: int) -> DataFrame:
     return out
 
 
+def crop_margins(mask: DataFrame, threshold: float, least: int, height: int, width: int, extend: float = 0.1) -> DataFrame:
+    """The window left by cutting twice to the strongest runs (y0, y1, x0, x1, inclusive), and its sides as fractions of
+    the image, moved outwards by extend and clamped: top, left, bottom, right."""
+    first = strongest_window(mask, threshold, least)
+    cut = mask.join(first, "image_id").where("y between y0 and y1 and x between x0 and x1").select(*mask.columns)
+    low = lambda c, n: F.greatest(F.lit(0.0), F.col(c) / n - extend)
+    high = lambda c, n: F.least(F.lit(1.0), (F.col(c) + 1) / n + extend)
+    return strongest_window(cut, threshold, least).withColumns({"top": low("y0", height), "left": low("x0", width), "bottom": high("y1", height), "right": high("x1", width)})
+
+
+def layer_stack(pixels: DataFrame, layers: list[int] | None = None, y: tuple[int, int] | None = None, x: tuple[int, int] | None = None, manifest: DataFrame | None = None, types: list[str] | None = None) -> DataFrame:
+    """The sub-volume of the chosen layers (image_id), half-open ranges of y and x, and layer types (by the manifest's
+    layer and type). All are filters that reach the scan."""
+    out = pixels if layers is None else pixels.where(F.col("image_id").isin(layers))
+    for axis, span in (("y", y), ("x", x)):
+        out = out if span is None else out.where((F.col(axis) >= span[0]) & (F.col(axis) < span[1]))
+    if types is not None:
+        out = out.join(manifest.where(F.col("type").isin(types)).select(F.col("layer").alias("image_id")).distinct(), "image_id", "left_semi")
+    return out
+
+
+def coords_pivot(rows: DataFrame, ys: list[int], value: str = "v", colours: DataFrame | None = None) -> DataFrame:
+    """An x by y table of mean values (y0, y1, ...). colours (label, colour) replaces rounded means; others are white."""
+    cells = rows.where(F.col("y").isin(ys)).groupBy("x", "y").agg(F.avg(value).alias("v"))
+    if colours is not None:
+        met = cells.join(colours, F.round("v") == F.col("label"), "left")
+        cells = met.select("x", "y", F.coalesce("colour", F.lit("#ffffff")).alias("v"))
+    return cells.groupBy("x").pivot("y", ys).agg(F.first("v")).withColumnsRenamed({str(y): f"y{y}" for y in ys})
+
+
 def ncc_local(met: DataFrame, window: int) -> DataFrame:
     """Negative mean of windowed squared correlation (zero padded). met: image_id, channel, y, x, a, b."""
     half = window // 2
@@ -209,14 +260,16 @@ def ncc_local(met: DataFrame, window: int) -> DataFrame:
     return df.withColumn("cc", cross * cross / (var("sa", "saa") * var("sb", "sbb") + 1e-5)).groupBy("image_id").agg((-F.avg("cc")).alias("loss"))
 
 
-def bspline_field(control: DataFrame, spacing: float, height: int, width: int) -> DataFrame:
-    """Dense displacement from cubic B-spline control points (image_id, ci, cj, dx, dy): 16 neighbours per pixel."""
+def bspline_field(control: DataFrame, spacing: float, height: int, width: int, kind: str = "cubic") -> DataFrame:
+    """Dense displacement from B-spline control points (image_id, ci, cj, dx, dy): 16 neighbours per pixel, 4 if linear."""
     places = canvas(control, height, width, ("image_id",))
     base = {"by": F.floor(F.col("ty") / spacing), "bx": F.floor(F.col("tx") / spacing)}
     df = places.withColumns(base).withColumns({"u": F.col("ty") / spacing - F.col("by"), "w": F.col("tx") / spacing - F.col("bx")})
     weight = lambda t: [(1 - t) ** 3 / 6, (3 * t**3 - 6 * t**2 + 4) / 6, (-3 * t**3 + 3 * t**2 + 3 * t + 1) / 6, t**3 / 6]
-    wy, wx = weight(F.col("u")), weight(F.col("w"))
-    near = F.explode(F.array(*[F.struct((F.col("by") + a - 1).alias("ci"), (F.col("bx") + b - 1).alias("cj"), (wy[a] * wx[b]).alias("k")) for a in range(4) for b in range(4)]))
+    if kind == "linear":
+        weight = lambda t: [1 - t, t]
+    wy, wx, first = weight(F.col("u")), weight(F.col("w")), 0 if kind == "linear" else -1
+    near = F.explode(F.array(*[F.struct((F.col("by") + a + first).alias("ci"), (F.col("bx") + b + first).alias("cj"), (wy[a] * wx[b]).alias("k")) for a in range(len(wy)) for b in range(len(wx))]))
     met = df.withColumn("n", near).select("image_id", "ty", "tx", "n.*").join(control, ["image_id", "ci", "cj"], "left")
     return met.groupBy("image_id", F.col("ty").alias("y"), F.col("tx").alias("x")).agg(F.sum(F.col("k") * F.coalesce(F.nanvl("dx", F.lit(0.0)), F.lit(0.0))).alias("dx"), F.sum(F.col("k") * F.coalesce(F.nanvl("dy", F.lit(0.0)), F.lit(0.0))).alias("dy"))
 
@@ -247,14 +300,16 @@ def unmix(pixels: DataFrame, coefficients: DataFrame, source: int) -> DataFrame:
     return met.select(*KEYS, "y", "x", F.floor(F.greatest(F.lit(0.0), F.col("v") - F.greatest(F.lit(0.0), F.col("s") - F.col("background")) * F.col("alpha"))).alias("v"))
 
 
-def colinear_removal(pixels: DataFrame, source: int, delta: float = 0.05, cutoff: float = 0.3, max_rounds: int = 8) -> DataFrame:
+def colinear_removal(pixels: DataFrame, source: int, delta: float = 0.05, cutoff: float = 0.3) -> DataFrame:
     """Repeatedly takes the least-squares share of the source channel out of the others (fit and rest kept in 0..255),
     until the correlation falls by less than delta or below cutoff; the stopping round's rest is not used. Each round is
-    checkpointed."""
+    stored; as the correlation falls by delta in each, there are at most 1 / delta rounds."""
     src = pixels.where(F.col("channel") == source).select("image_id", "y", "x", F.col("v").alias("s"))
     now = pixels.where(F.col("channel") != source).withColumn("open", F.lit(True)).withColumn("last", F.lit(None).cast("double"))
     clamp = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(255.0))
-    for _ in range(max_rounds):
+    if delta <= 0:
+        raise ValueError("delta must be above 0")
+    while True:
         met = now.join(src, ["image_id", "y", "x"])
         fits = met.groupBy(*KEYS).agg(F.regr_slope("v", "s").alias("k"), F.regr_intercept("v", "s").alias("c"), F.corr("v", "s").alias("r"))
         go = F.col("open") & F.col("r").isNotNull() & ~F.isnan("r") & (F.col("r") >= cutoff) & (F.col("last").isNull() | (F.col("last") - F.col("r") >= delta))

@@ -42,11 +42,11 @@ def label_mean_features(pixels: DataFrame, labels: DataFrame, dense: int | None
     return every.join(means, ["image_id", "label"], "left").na.fill(0.0)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(node, comp) with comp the smallest node of its component, by large-star and small-star rounds, each checkpointed.
-    edges: src, dst, undirected."""
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, comp) with comp the smallest node of its component, by large-star and small-star rounds, each stored, until
+    all pairs are stars. edges: src, dst, undirected."""
     pairs = stored(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
-    for _ in range(max_rounds):
+    while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -56,7 +56,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         chained = pairs.join(pairs.select(F.col("v").alias("root")).distinct(), F.col("u") == F.col("root"), "left_semi")
         if chained.isEmpty() and pairs.groupBy("u").count().where("count > 1").isEmpty():
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
-    raise RuntimeError(f"components did not settle within {max_rounds} rounds")
 
 
 def raster_components(mask: DataFrame, eight: bool = False, width: int = 1 << 20) -> DataFrame:
@@ -78,6 +77,34 @@ def component_filter(components: DataFrame, least: int = 0, largest: bool = Fals
     return components.join(sizes.where(F.col("n") >= least).select("image_id", "comp"), ["image_id", "comp"], "left_semi")
 
 
+def inner_holes(mask: DataFrame, height: int, width: int) -> DataFrame:
+    """Background pixels whose 4-connected component does not reach the image's border: image_id, y, x, comp."""
+    ground = raster_components(mask.withColumn("v", 1 - F.col("v")))
+    open_ground = ground.where((F.col("y") == 0) | (F.col("x") == 0) | (F.col("y") == height - 1) | (F.col("x") == width - 1)).select("image_id", "comp").distinct()
+    return ground.join(open_ground, ["image_id", "comp"], "left_anti")
+
+
+def region_signal(pixels: DataFrame, shapes: DataFrame, scale: float, height: int, width: int, cell: float = 64.0, least_area: float = 1.0, keys=("grp",)) -> DataFrame:
+    """Mean of each channel over the pixels (keys, channel, y, x, v) whose centre lies strictly inside a shape that was
+    shrunk by scale; the last shape of a pixel does not win here, every shape counts its own pixels.
+
+    A shape gives no mean but a reason if it lies outside the image, has less than least_area pixels of area after the
+    shrinking, or covers no centre. area (of the shape as given) is null in groups where a shape was left out."""
+    from .spatial import inside_ring, ring_distance, ring_edges, shape_candidates
+
+    low, high = lambda c: F.array_min(F.transform("ring", lambda p: p[c])) / scale, lambda c: F.array_max(F.transform("ring", lambda p: p[c])) / scale
+    area = F.abs(F.aggregate(ring_edges(F.col("ring")), F.lit(0.0), lambda s, e: s + e["x0"] * e["y1"] - e["x1"] * e["y0"])) / 2
+    outside = (high("x") <= 0) | (high("y") <= 0) | (low("x") >= width) | (low("y") >= height)
+    judged = shapes.withColumn("area", area).withColumn("reason", F.when(outside, "outside").when(F.col("area") / (scale * scale) < least_area, "small"))
+    centres = pixels.select(*keys, "y", "x").distinct().select(*keys, F.struct("y", "x").alias("at"), ((F.col("y") + 0.5) * scale).alias("y"), ((F.col("x") + 0.5) * scale).alias("x"))
+    met = shape_candidates(centres, judged.where("reason is null").select(*keys, "shape_id", "ring"), cell, keys)
+    inside = met.where(inside_ring(F.col("x"), F.col("y"), F.col("ring")) & (ring_distance(F.col("x"), F.col("y"), F.col("ring")) > 0)).select(*keys, "shape_id", F.col("at.y").alias("y"), F.col("at.x").alias("x"))
+    means = inside.join(pixels, [*keys, "y", "x"]).groupBy(*keys, "shape_id", "channel").agg(F.avg("v").alias("mean"))
+    told = judged.select(*keys, "shape_id", "area", "reason").join(means, [*keys, "shape_id"], "left").withColumn("reason", F.when(F.col("mean").isNull(), F.coalesce("reason", F.lit("empty"))))
+    whole = told.groupBy(*keys).agg(F.count("reason").alias("_left_out"))
+    return told.join(whole, list(keys)).withColumn("area", F.when(F.col("_left_out") == 0, F.col("area"))).drop("_left_out")
+
+
 def region_rows(components: DataFrame, least_area: int) -> DataFrame:
     """Area, box and centroid of components with least_area pixels or more."""
     return components.groupBy("image_id", "comp").agg(F.count("*").alias("area"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.avg("x").alias("cx"), F.avg("y").alias("cy")).where(F.col("area") >= least_area)
@@ -156,3 +183,17 @@ def background_mask(vectors: DataFrame, height: int, width: int, margin: int, st
     met = vectors.join(mean, "image_id").withColumn("cosine", dot("features", "bg") / F.sqrt(dot("features", "features") * dot("bg", "bg")))
     edge = (y < margin) | (y >= height - margin) | (x < margin) | (x >= width - margin)
     return met.select("image_id", "y", "x", "cosine", ((F.col("cosine") > cutoff) | edge).cast("int").alias("v"))
+
+
+def keep_largest_foreground(mask: DataFrame) -> DataFrame:
+    """A background mask (1 is background) in which only each image's largest 8-connected foreground stays."""
+    ground = raster_components(mask.withColumn("v", 1 - F.col("v")), eight=True)
+    kept = component_filter(ground, largest=True).select("image_id", "y", "x", F.lit(0).alias("_kept"))
+    return mask.join(kept, ["image_id", "y", "x"], "left").withColumn("v", F.coalesce("_kept", F.lit(1))).drop("_kept")
+
+
+def apply_background(vectors: DataFrame, mask: DataFrame) -> DataFrame:
+    """Patch vectors (image_id, y, x, features) with zeros where the mask is 1."""
+    met = vectors.join(mask.select("image_id", "y", "x", F.col("v").alias("_v")), ["image_id", "y", "x"])
+    zero = vectors.schema["features"].dataType.elementType
+    return met.withColumn("features", F.when(F.col("_v") == 1, F.transform("features", lambda f: F.lit(0).cast(zero))).otherwise(F.col("features"))).drop("_v")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -108,15 +108,50 @@ def shape_candidates(points: DataFrame, shapes: DataFrame, cell: float, keys=("g
     return met.where(within).drop("_bx", "_by", "_x0", "_x1", "_y0", "_y1")
 
 
-def point_in_polygon(points: DataFrame, shapes: DataFrame, cell: float, keys=("grp",)) -> DataFrame:
-    """Points strictly inside shapes, one row per point; the last shape (by shape_id) wins."""
-    met = shape_candidates(points, shapes, cell, keys).where(inside_ring(F.col("x"), F.col("y"), F.col("ring")) & (ring_distance(F.col("x"), F.col("y"), F.col("ring")) > 0))
+def point_in_polygon(points: DataFrame, shapes: DataFrame, cell: float, keys=("grp",), predicate: str = "within") -> DataFrame:
+    """Points inside shapes ("within": strictly; "intersects": or on the edge), one row per point; the last shape (by
+    shape_id) wins."""
+    inside, edge = inside_ring(F.col("x"), F.col("y"), F.col("ring")), ring_distance(F.col("x"), F.col("y"), F.col("ring"))
+    if predicate not in ("within", "intersects"):
+        raise ValueError(f"predicate must be within or intersects, not {predicate!r}")
+    met = shape_candidates(points, shapes, cell, keys).where(inside & (edge > 0) if predicate == "within" else inside | (edge == 0))
     return met.groupBy(*keys, "id").agg(F.max("shape_id").alias("shape_id"))
 
 
-def ring_join(points: DataFrame, shapes: DataFrame, thickness: float, cell: float, keys=("grp",)) -> DataFrame:
-    """Points in the outer band (outside, within thickness of the edge) or inner band (inside, within thickness)."""
-    met = shape_candidates(points, shapes, cell, keys, thickness)
+def simplified(shapes: DataFrame, tolerance: float) -> DataFrame:
+    """Rings without the corners that lie within tolerance of the line that replaces them (the farthest corner of a
+    stretch stays, and splits it); the first corner always stays. A ring that would have fewer than three stays whole."""
+
+    @F.pandas_udf(shapes.schema["ring"].dataType)
+    def thin(rings: pd.Series) -> pd.Series:
+        out = []
+        for ring in rings:
+            xy = np.array([(p["x"], p["y"]) for p in ring] + [(ring[0]["x"], ring[0]["y"])], dtype=float)
+            keep, todo = {0, len(ring)}, [(0, len(ring))]
+            while todo:
+                a, b = todo.pop()
+                if b - a < 2:
+                    continue
+                d, rest = xy[b] - xy[a], xy[a + 1 : b] - xy[a]
+                long = float(d @ d)
+                t = np.clip(rest @ d / long, 0, 1) if long else np.zeros(len(rest))
+                far = np.hypot(*(rest - t[:, None] * d).T)
+                i = int(far.argmax())
+                if far[i] > tolerance:
+                    keep.add(a + 1 + i)
+                    todo += [(a, a + 1 + i), (a + 1 + i, b)]
+            kept = sorted(keep - {len(ring)})
+            out.append([ring[i] for i in kept] if len(kept) > 2 else list(ring))
+        return pd.Series(out)
+
+    return shapes.withColumn("ring", thin("ring"))
+
+
+def ring_join(points: DataFrame, shapes: DataFrame, thickness: float, cell: float, keys=("grp",), tolerance: float | None = None, keep=()) -> DataFrame:
+    """Points in the outer band (outside, within thickness of the edge) or inner band (inside, within thickness), with the
+    shape's columns in keep. tolerance simplifies the rings first."""
+    met = shape_candidates(points, shapes if tolerance is None else simplified(shapes, tolerance), cell, keys, thickness)
+    met = met.join(shapes.select(*keys, "shape_id", *keep), [*keys, "shape_id"]) if keep else met
     banded = met.withColumns({"_in": inside_ring(F.col("x"), F.col("y"), F.col("ring")), "edge_distance": ring_distance(F.col("x"), F.col("y"), F.col("ring"))})
     return banded.where(F.col("edge_distance") <= thickness).withColumn("band", F.when(F.col("_in"), "inner").otherwise("outer")).drop("_in", "ring")
 
@@ -165,11 +200,6 @@ def knn_density(cells: DataFrame, k: int = 10, cell: float = 60.0, cap: float =
     return near.groupBy(*keys, F.col("id_a").alias("id")).agg(F.least(F.avg("distance"), F.lit(cap)).alias("density"))
 
 
-def bucket_size(radius: float, share: float = 1.0) -> float:
-    """A bucket side for radius searches; denser tissue takes a smaller share and a wider reach."""
-    return radius * share if share <= 1 else radius * math.ceil(share)
-
-
 def hist2d(points: DataFrame, bins: int, keys=("grp",)) -> DataFrame:
     """Counts in bins x bins equal cells between the data's smallest and largest values; the last bin is closed."""
     ends = points.groupBy(*keys).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))

@@ -66,7 +66,7 @@ def _(v):
 
 @book.query("c3_threshold_search")
 def _(v):
-    return C.threshold_search(marker_cells(v), 2, 3).select(L("tree"), L("trial"), R("score", 6))
+    return C.threshold_search(marker_cells(v), 10, 30).select(L("tree"), L("trial"), R("score", 6))
 
 
 @book.query("a31_pca_project")
@@ -81,8 +81,13 @@ def _(v):
 
 @book.query("a33_knn_graph_communities")
 def _(v):
-    rows = v.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"))
-    return ml.graph_communities(ml.knn_graph(rows, 5), 5)
+    rows = ml.standardized(v.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("features")))
+    reduced = ml.pca_project(rows, 16).select("id", F.col("projection").alias("features"))
+    told = None
+    for k in (5, 10):  # fewer neighbours make more and smaller communities
+        one = ml.graph_communities(ml.knn_graph(reduced, k)).select("node", "label", F.lit(k).alias("neighbours"))
+        told = one if told is None else told.unionByName(one)
+    return told
 
 
 @book.query("a45_ssim")

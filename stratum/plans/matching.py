@@ -72,7 +72,7 @@ def _(v):
 
 @book.query(
     "k12_mutual_nn_match",
-    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, j) AS ri, row_number() OVER (PARTITION BY j ORDER BY score DESC, i) AS rj FROM scores)
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY pair, i ORDER BY score DESC, j) AS ri, row_number() OVER (PARTITION BY pair, j ORDER BY score DESC, i) AS rj FROM scores)
        SELECT pair, i, CASE WHEN rj = 1 AND score > 0.9 THEN j ELSE -1 END AS j, round(CASE WHEN rj = 1 AND score > 0.9 THEN score ELSE 0 END, 6) AS score FROM r WHERE ri = 1""",
 )
 def _(v):
@@ -176,7 +176,12 @@ def _(v):
     return X.overlapping_batches(v.signal, 32, 8).select("series", "idx", L("batch"))
 
 
-@book.query("w7_stratified_sample", None)
+@book.query(
+    "w7_stratified_sample",
+    """WITH s AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('7-' || CAST(cell_id AS VARCHAR)), cell_id) AS k FROM cells),
+       w AS (SELECT label, cell_id, CAST(greatest(0, least(floor(x) - 32, 936)) AS BIGINT) AS x0, CAST(greatest(0, least(floor(y) - 32, 936)) AS BIGINT) AS y0 FROM s WHERE k <= 5)
+       SELECT label, cell_id, x0, y0, x0 + 64 AS x1, y0 + 64 AS y1 FROM w""",
+)
 def _(v):
     return M.crop_around(M.stratified_sample(v.cells, 5, "label", "cell_id", 7), 64, 1000, 1000).select("label", "cell_id", L("x0"), L("y0"), L("x1"), L("y1"))
 
@@ -200,7 +205,7 @@ def _(v):
 @book.query("u4_shared_keypoints", "SELECT c_custkey, CAST(len(list_intersect([c_custkey % 5, c_custkey % 7, c_custkey % 11], [c_custkey % 3, c_custkey % 4])) AS BIGINT) AS shared FROM customer")
 def _(v):
     ids = lambda *m: F.array(*[F.col("c_custkey") % k for k in m])
-    return v.customer.select("c_custkey", F.size(F.array_intersect(ids(5, 7, 11), ids(3, 4))).cast("long").alias("shared"))
+    return M.shared_keypoints(v.customer.select("c_custkey", ids(5, 7, 11).alias("a"), ids(3, 4).alias("b")), "a", "b").select("c_custkey", "shared")
 
 
 @book.query("k14_greedy_assign", None)
@@ -208,13 +213,24 @@ def _(v):
     return M.greedy_assign(v.scores.where("score > 0.8").select(F.col("pair").alias("grp"), F.col("i").alias("f"), F.col("j").alias("m"), (1 - F.col("score")).alias("score"))).select("grp", "f", "m", R("score", 6))
 
 
-@book.query("k13_cell_match_candidates", None)
+def nearest(side: str, cells: str, x: str, y: str) -> str:
+    """SQL: the five nearest keypoints of each cell, with the displacement to them."""
+    d = f"sqrt(power(c.x - k.{x}, 2) + power(c.y - k.{y}, 2))"
+    return f"{side} AS (SELECT grp, cell_id, id, dx, dy FROM (SELECT c.grp AS grp, c.cell_id AS cell_id, k.id AS id, c.x - k.{x} AS dx, c.y - k.{y} AS dy, row_number() OVER (PARTITION BY c.grp, c.cell_id ORDER BY {d}, k.id) AS r FROM {cells} c JOIN k ON c.grp = k.grp) WHERE r <= 5)"
+
+
+@book.query(
+    "k13_cell_match_candidates",
+    f"""WITH k AS (SELECT grp, kpt_id * 4 + layer_f AS id, xf / 1.7e0 AS xf, yf / 1.7e0 AS yf, xf / 1.7e0 + 3 AS xm, yf / 1.7e0 - 2 AS ym FROM pairs),
+       {nearest("nf", "cells", "xf", "yf")}, {nearest("nm", "targets", "xm", "ym")}
+       SELECT nf.grp AS grp, nf.cell_id AS f, nm.cell_id AS m, count(*) AS shared, round(avg((abs(nf.dx - nm.dx) + abs(nf.dy - nm.dy)) / 2), 5) AS score FROM nf JOIN nm ON nf.grp = nm.grp AND nf.id = nm.id GROUP BY 1, 2, 3 HAVING count(*) >= 3""",
+)
 def _(v):
-    kpts = v.pairs.where("grp < 3 and layer_f = 0").select("grp", F.col("kpt_id").alias("id"), (F.col("xf") / 1.7).alias("xf"), (F.col("yf") / 1.7).alias("yf"), (F.col("xf") / 1.7 + 3).alias("xm"), (F.col("yf") / 1.7 - 2).alias("ym"))
+    kpts = v.pairs.select("grp", (F.col("kpt_id") * 4 + F.col("layer_f")).alias("id"), (F.col("xf") / 1.7).alias("xf"), (F.col("yf") / 1.7).alias("yf"), (F.col("xf") / 1.7 + 3).alias("xm"), (F.col("yf") / 1.7 - 2).alias("ym"))
     ids = lambda df: df.select("grp", F.col("cell_id").alias("id"), "x", "y")
     return M.cell_match_candidates(ids(v.cells), ids(v.targets), kpts).select("grp", "f", "m", L("shared"), R("score"))
 
 
 @book.query("a42_type_layer_lists", "SELECT grp, type, list(layer ORDER BY layer) AS layers FROM manifest GROUP BY grp, type")
 def _(v):
-    return v.manifest.groupBy("grp", "type").agg(F.sort_array(F.collect_list("layer")).alias("layers"))
+    return M.type_layer_lists(v.manifest)

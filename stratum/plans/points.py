@@ -34,9 +34,10 @@ def aligned_points(v):
     return P.landmarks_to_aligned(v.points, P.pad_plan(v.slides), v.transforms)
 
 
-@book.query("p1_points_scale", "SELECT p.grp AS grp, p.layer AS layer, kpt_id, round(x / width, 6) AS x, round(y / height, 6) AS y FROM points p JOIN slides s ON p.grp = s.grp AND p.layer = s.layer")
-def _(v):
-    return P.points_scale(v.points, v.slides).select("grp", "layer", "kpt_id", R("x", 6), R("y", 6))
+@book.query("p1_points_scale", "SELECT p.grp AS grp, p.layer AS layer, kpt_id, round(x / width + 1e-9, 6) AS x, round(y / height + 1e-9, 6) AS y FROM points p JOIN slides s ON p.grp = s.grp AND p.layer = s.layer")
+def _(v):  # the two engines round halves unlike each other, so values are moved off them
+    edge = lambda c: F.round(F.col(c) + 1e-9, 6).alias(c)
+    return P.points_scale(v.points, v.slides).select("grp", "layer", "kpt_id", edge("x"), edge("y"))
 
 
 @book.query("p2_points_pad", f"WITH {PLAN} SELECT p.grp AS grp, p.layer AS layer, kpt_id, round(x + pr, 5) AS x, round(y + pd, 5) AS y FROM points p JOIN plan s ON p.grp = s.grp AND p.layer = s.layer")
@@ -79,10 +80,10 @@ def _(v):
 
 @book.query(
     "p6_matrix_to_params",
-    "SELECT grp, layer, step, round(CASE WHEN fx < 0 THEN theta ELSE theta END, 6) AS theta, round(tx, 6) AS tx, round(ty, 6) AS ty, round(sx, 6) AS sx, round(sy, 6) AS sy, round(fx, 1) AS fx, round(fy, 1) AS fy FROM transforms WHERE fx > 0",
+    "SELECT grp, layer, step, round(CASE WHEN fx < 0 THEN theta - pi() ELSE theta END, 6) AS theta, round(tx, 6) AS tx, round(ty, 6) AS ty, round(sx, 6) AS sx, round(sy, 6) AS sy, 1.0e0 AS fx, CASE WHEN fx < 0 THEN -1.0e0 ELSE 1.0e0 END AS fy FROM transforms",
 )
-def _(v):
-    found = P.matrix_to_params(P.params_to_matrix(v.transforms.where("fx > 0")), ["grp", "layer", "step"])
+def _(v):  # a flip of x is the same map as a flip of y and half a turn, which comes first
+    found = P.matrix_to_params(P.params_to_matrix(v.transforms), ["grp", "layer", "step"])
     return found.select("grp", "layer", "step", R("theta", 6), R("tx", 6), R("ty", 6), R("sx", 6), R("sy", 6), R("fx", 1), R("fy", 1))
 
 

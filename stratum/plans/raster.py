@@ -10,6 +10,7 @@ from ..operators import regions as G
 from ..operators import windows as N
 from ..sources import tables as S
 from ..sources.views import Book
+from .spatial import RING
 
 book = Book()
 QUERIES, SQL = book.queries, book.sql
@@ -25,9 +26,9 @@ def grid(n_y: int, n_x: int, y: str = "y", x: str = "x") -> str:
     return f"(SELECT {y}, {x} FROM {CANVAS.format(n=n_y, a=y)}, {CANVAS.format(n=n_x, a=x)})"
 
 
-@book.query("s11_raster_scan", "SELECT p.image_id AS image_id, c AS channel, y, x, v FROM pixels p, (SELECT unnest(range(0, 3)) AS c) WHERE p.channel = 1 AND p.image_id < 2")
+@book.query("s11_raster_scan", "SELECT p.image_id AS image_id, c AS channel, y, x, v FROM pixels p, (SELECT unnest(range(0, 3)) AS c) WHERE p.channel = 1")
 def _(v):
-    return S.gray_to_rgb(v.pixels.where("channel = 1 and image_id < 2")).select(*PX, "v")
+    return S.gray_to_rgb(v.pixels.where("channel = 1")).select(*PX, "v")
 
 
 @book.query("s12_raster_sink", "SELECT image_id, channel, CAST(floor(y / 2) AS BIGINT) AS y, CAST(floor(x / 2) AS BIGINT) AS x, round(avg(v), 5) AS v FROM pixels WHERE image_id = 1 GROUP BY 1, 2, 3, 4")
@@ -49,7 +50,7 @@ def _(v):
 
 @book.query("r15_layer_stack_select", "SELECT image_id, channel, y, x, v FROM pixels WHERE image_id IN (0, 2) AND y >= 4 AND y < 20 AND x >= 8 AND x < 16")
 def _(v):
-    return v.pixels.where("image_id in (0, 2) and y >= 4 and y < 20 and x >= 8 and x < 16").select(*PX, "v")
+    return X.layer_stack(v.pixels, [0, 2], (4, 20), (8, 16)).select(*PX, "v")
 
 
 @book.query("p15_to_gray", "SELECT image_id, y, x, CAST(floor(least(greatest(CASE WHEN image_id % 2 = 0 THEN 3 * (255 - avg(v)) ELSE 5 * max(CASE WHEN channel = 1 THEN v END) END, 0), 255)) AS BIGINT) AS v FROM pixels GROUP BY image_id, y, x")
@@ -81,6 +82,20 @@ def _(v):
     return X.gaussian_smooth(v.pixels).select(*PX, R("v", 4))
 
 
+@book.query(
+    "r9_gaussian_smooth_volume",
+    """WITH w AS (SELECT unnest([-1, 0, 1]) AS d, unnest([exp(-0.5e0), 1e0, exp(-0.5e0)]) / (1 + 2 * exp(-0.5e0)) AS w), n AS (SELECT max(image_id) AS z1 FROM pixels),
+       g AS (SELECT channel, image_id AS z, y, x, v FROM pixels),
+       gz AS (SELECT g.channel AS channel, g.z AS z, g.y AS y, g.x AS x, sum(w * p.v) AS v FROM g, n, w, g p WHERE p.channel = g.channel AND p.z = greatest(0, least(z1, g.z + d)) AND p.y = g.y AND p.x = g.x GROUP BY 1, 2, 3, 4),
+       gy AS (SELECT g.channel AS channel, g.z AS z, g.y AS y, g.x AS x, sum(w * p.v) AS v FROM gz g, w, gz p WHERE p.channel = g.channel AND p.z = g.z AND p.y = greatest(0, least(31, g.y + d)) AND p.x = g.x GROUP BY 1, 2, 3, 4)
+       SELECT g.channel AS channel, g.z AS z, g.y AS y, g.x AS x, round(sum(w * p.v), 4) AS v FROM gy g, w, gy p WHERE p.channel = g.channel AND p.z = g.z AND p.y = g.y AND p.x = greatest(0, least(31, g.x + d)) GROUP BY 1, 2, 3, 4""",
+)
+def _(v):
+    depth = v.pixels.agg(F.max("image_id") + 1).first()[0] or 1
+    volume = v.pixels.select(F.col("channel").alias("image_id"), F.col("image_id").alias("z"), "y", "x", "v")
+    return X.gaussian_smooth_volume(volume, depth, 32, 32).select(F.col("image_id").alias("channel"), "z", "y", "x", R("v", 4))
+
+
 @book.query("r3_pyramid", f"WITH {SMOOTH} SELECT image_id, channel, CAST(floor(y / 2) AS BIGINT) AS y, CAST(floor(x / 2) AS BIGINT) AS x, round(avg(v), 4) AS v FROM smooth GROUP BY 1, 2, 3, 4")
 def _(v):
     return X.pyramid(v.pixels, 2).where("level = 1").select(*PX, R("v", 4))
@@ -118,6 +133,11 @@ def _(v):
     return X.warp_displacement(v.pixels, v.field, 32, 32, border=True).select(*PX, R("v", 4))
 
 
+@book.query("r6_warp_displacement_nearest", "WITH s AS (SELECT c.image_id AS image_id, channel, i, j, round_even((((2 * j + 1) / 32e0 - 1 + gx + 1) * 32 - 1) / 2, 0) AS sx, round_even((((2 * i + 1) / 32e0 - 1 + gy + 1) * 32 - 1) / 2, 0) AS sy FROM field f JOIN (SELECT DISTINCT image_id, channel FROM pixels) c ON f.image_id = c.image_id) SELECT s.image_id AS image_id, s.channel AS channel, i AS y, j AS x, coalesce(p.v, 0) AS v FROM s LEFT JOIN pixels p ON p.image_id = s.image_id AND p.channel = s.channel AND p.y = s.sy AND p.x = s.sx")
+def _(v):
+    return X.warp_displacement(v.pixels, v.field, 32, 32, mode="nearest").select(*PX, "v")
+
+
 @book.query("r8_grid_disp_convert", "SELECT image_id, i, j, round(gx - ((2 * j + 1) / 32e0 - 1), 6) AS gx, round(gy - ((2 * i + 1) / 32e0 - 1), 6) AS gy FROM field")
 def _(v):
     return X.grid_to_displacement(v.field, 32, 32).select("image_id", "i", "j", R("gx", 6), R("gy", 6))
@@ -134,8 +154,8 @@ def _(v):
 
 @book.query(
     "r11_bspline_field",
-    f"""WITH ctl AS (SELECT image_id, i AS ci, j AS cj, gx AS dx, gy AS dy FROM field WHERE i < 12 AND j < 12),
-        p AS (SELECT image_id, y, x, floor(y / 4e0) AS b_y, floor(x / 4e0) AS b_x, y / 4e0 - floor(y / 4e0) AS u, x / 4e0 - floor(x / 4e0) AS w FROM (SELECT DISTINCT image_id FROM ctl) i, {grid(32, 32)} g),
+    f"""WITH ctl AS (SELECT image_id, i AS ci, j AS cj, gx AS dx, gy AS dy FROM field),
+        p AS (SELECT image_id, y, x, floor(y / 1.25e0) AS b_y, floor(x / 1.25e0) AS b_x, y / 1.25e0 - floor(y / 1.25e0) AS u, x / 1.25e0 - floor(x / 1.25e0) AS w FROM (SELECT DISTINCT image_id FROM ctl) i, {grid(32, 32)} g),
         n AS (SELECT image_id, y, x, b_y + a - 1 AS ci, b_x + b - 1 AS cj,
           (CASE a WHEN 0 THEN power(1 - u, 3) / 6 WHEN 1 THEN (3 * power(u, 3) - 6 * power(u, 2) + 4) / 6 WHEN 2 THEN (-3 * power(u, 3) + 3 * power(u, 2) + 3 * u + 1) / 6 ELSE power(u, 3) / 6 END) *
           (CASE b WHEN 0 THEN power(1 - w, 3) / 6 WHEN 1 THEN (3 * power(w, 3) - 6 * power(w, 2) + 4) / 6 WHEN 2 THEN (-3 * power(w, 3) + 3 * power(w, 2) + 3 * w + 1) / 6 ELSE power(w, 3) / 6 END) AS k
@@ -143,26 +163,40 @@ def _(v):
         SELECT n.image_id AS image_id, y, x, round(coalesce(sum(k * dx), 0), 9) AS dx, round(coalesce(sum(k * dy), 0), 9) AS dy FROM n LEFT JOIN ctl c ON n.image_id = c.image_id AND n.ci = c.ci AND n.cj = c.cj GROUP BY 1, 2, 3""",
 )
 def _(v):
-    control = v.field.where("i < 12 and j < 12").select("image_id", F.col("i").alias("ci"), F.col("j").alias("cj"), F.col("gx").alias("dx"), F.col("gy").alias("dy"))
-    return X.bspline_field(control, 4.0, 32, 32).select("image_id", "y", "x", R("dx", 9), R("dy", 9))
+    return X.bspline_field(control_points(v), 1.25, 32, 32).select("image_id", "y", "x", R("dx", 9), R("dy", 9))
+
 
+def control_points(v):
+    return v.field.select("image_id", F.col("i").alias("ci"), F.col("j").alias("cj"), F.col("gx").alias("dx"), F.col("gy").alias("dy"))
 
-@book.query("r13_embedding_to_pixels", f"SELECT e.image AS image_id, g.y AS y, g.x AS x, round(CAST(features[1] AS DOUBLE), 5) AS f0 FROM {grid(16, 16)} g JOIN descriptors e ON e.id = floor(g.y / 4) * 4 + floor(g.x / 4) WHERE e.id < 16")
+
+@book.query(
+    "r11_bspline_field_linear",
+    f"""WITH p AS (SELECT image_id, y, x, floor(y / 1.25e0) AS b_y, floor(x / 1.25e0) AS b_x, y / 1.25e0 - floor(y / 1.25e0) AS u, x / 1.25e0 - floor(x / 1.25e0) AS w FROM (SELECT DISTINCT image_id FROM field) i, {grid(32, 32)} g),
+        n AS (SELECT image_id, y, x, b_y + a AS ci, b_x + b AS cj, (CASE a WHEN 0 THEN 1 - u ELSE u END) * (CASE b WHEN 0 THEN 1 - w ELSE w END) AS k FROM p, {CANVAS.format(n=2, a='a')}, {CANVAS.format(n=2, a='b')})
+        SELECT n.image_id AS image_id, y, x, round(coalesce(sum(k * gx), 0), 9) AS dx, round(coalesce(sum(k * gy), 0), 9) AS dy FROM n LEFT JOIN field c ON n.image_id = c.image_id AND n.ci = c.i AND n.cj = c.j GROUP BY 1, 2, 3""",
+)
+def _(v):
+    return X.bspline_field(control_points(v), 1.25, 32, 32, "linear").select("image_id", "y", "x", R("dx", 9), R("dy", 9))
+
+
+@book.query("r13_embedding_to_pixels", f"SELECT e.image_id AS image_id, g.y AS y, g.x AS x, round(CAST(features[1] AS DOUBLE), 5) AS f0 FROM {grid(16, 16)} g JOIN blocks16 e ON e.y = floor(g.y / 4) AND e.x = floor(g.x / 4)")
 def _(v):
-    cells = v.descriptors.where("id < 16").select(F.col("image").alias("image_id"), F.floor(F.col("id") / 4).alias("ty"), (F.col("id") % 4).alias("tx"), "features")
+    cells = v.blocks16.withColumnsRenamed({"y": "ty", "x": "tx"})
     return X.embedding_to_pixels(cells, 4, 16, 16).select("image_id", "y", "x", F.round(F.col("features")[0].cast("double"), 5).alias("f0"))
 
 
 @book.query(
     "r14_descriptor_sample",
-    """WITH c AS (SELECT image AS image_id, floor(id / 4) AS y, id % 4 AS x, features FROM descriptors WHERE id < 16), p AS (SELECT CAST(c_custkey % 2 AS BIGINT) AS image_id, c_custkey AS id, (c_custkey % 24) + 4.3e0 AS x, (c_custkey % 23) + 4.6e0 AS y FROM customer WHERE c_custkey < 200),
+    """WITH c AS (SELECT * FROM blocks16), p AS (SELECT CAST(c_custkey % (SELECT max(image_id) + 1 FROM blocks16) AS BIGINT) AS image_id, c_custkey AS id, (c_custkey % 24) + 4.3e0 AS x, (c_custkey % 23) + 4.6e0 AS y FROM customer),
        s AS (SELECT image_id, id, (x - 3.5e0) / 8 AS sx, (y - 3.5e0) / 8 AS sy FROM p), f AS (SELECT *, floor(sy) + a AS yy, floor(sx) + b AS xx, (CASE a WHEN 1 THEN sy - floor(sy) ELSE 1 - sy + floor(sy) END) * (CASE b WHEN 1 THEN sx - floor(sx) ELSE 1 - sx + floor(sx) END) AS w FROM s, (SELECT unnest([0, 0, 1, 1]) AS a, unnest([0, 1, 0, 1]) AS b)),
        v AS (SELECT f.image_id, f.id, k, sum(w * CAST(features[k] AS DOUBLE)) AS v FROM f JOIN c ON f.image_id = c.image_id AND f.yy = c.y AND f.xx = c.x, (SELECT unnest(range(1, 65)) AS k) GROUP BY 1, 2, 3)
        SELECT image_id, id, round(max(CASE WHEN k = 1 THEN v END) / sqrt(sum(v * v)), 5) AS f0 FROM v GROUP BY 1, 2""",
 )
 def _(v):
-    cells = v.descriptors.where("id < 16").select(F.col("image").alias("image_id"), F.floor(F.col("id") / 4).alias("y"), (F.col("id") % 4).alias("x"), "features")
-    at = v.customer.where("c_custkey < 200").select((F.col("c_custkey") % 2).alias("image_id"), F.col("c_custkey").alias("id"), (F.col("c_custkey") % 24 + 4.3).alias("x"), (F.col("c_custkey") % 23 + 4.6).alias("y"))
+    cells = v.blocks16
+    images = cells.agg((F.max("image_id") + 1).alias("n"))  # one row
+    at = v.customer.join(F.broadcast(images)).select((F.col("c_custkey") % F.col("n")).alias("image_id"), F.col("c_custkey").alias("id"), (F.col("c_custkey") % 24 + 4.3).alias("x"), (F.col("c_custkey") % 23 + 4.6).alias("y"))
     return X.descriptor_sample(at, cells, 8).select("image_id", "id", F.round(F.col("features")[0], 5).alias("f0"))
 
 
@@ -189,20 +223,41 @@ def _(v):
 
 @book.query(
     "a23_background_cosine_mask",
-    """WITH e AS (SELECT image AS image_id, floor(id / 10) AS y, id % 10 AS x, features FROM descriptors WHERE id < 100),
+    """WITH e AS (SELECT * FROM blocks100),
        u AS (SELECT image_id, y, x, k, CAST(features[k] AS DOUBLE) AS f FROM e, (SELECT unnest(range(1, 65)) AS k)),
        m AS (SELECT image_id, k, avg(f) AS bg FROM u WHERE y BETWEEN 1 AND 8 AND x BETWEEN 1 AND 8 AND (y IN (1, 2, 7, 8) OR x IN (1, 2, 7, 8)) GROUP BY 1, 2),
        c AS (SELECT u.image_id, y, x, sum(f * bg) / sqrt(sum(f * f) * sum(bg * bg)) AS cosine FROM u JOIN m ON u.image_id = m.image_id AND u.k = m.k GROUP BY 1, 2, 3)
        SELECT image_id, CAST(y AS BIGINT) AS y, x, round(cosine, 5) AS cosine, CAST(cosine > 0.15 OR y < 1 OR y >= 9 OR x < 1 OR x >= 9 AS BIGINT) AS v FROM c""",
 )
 def _(v):
-    e = v.descriptors.where("id < 100").select(F.col("image").alias("image_id"), F.floor(F.col("id") / 10).alias("y"), (F.col("id") % 10).alias("x"), "features")
-    return G.background_mask(e, 10, 10, 1, 2, 0.15).select("image_id", "y", "x", R("cosine"), L("v"))
+    return G.background_mask(v.blocks100, 10, 10, 1, 2, 0.15).select("image_id", "y", "x", R("cosine"), L("v"))
+
+
+def strongest(name: str, source: str, axis: str) -> str:
+    """SQL: the strongest run of means along an axis of each image of a table, as table name (image_id, s, e)."""
+    return f"""{name}p AS (SELECT image_id, {axis} AS idx, avg(v) AS v FROM {source} GROUP BY 1, 2),
+       {name}f AS (SELECT *, v > 0.6 AS up, idx - row_number() OVER (PARTITION BY image_id, v > 0.6 ORDER BY idx) AS island FROM {name}p),
+       {name}g AS (SELECT image_id, min(idx) AS s, max(idx) AS e, round(avg(v), 9) AS m FROM {name}f WHERE up GROUP BY image_id, island HAVING count(*) >= 2),
+       {name}b AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY m DESC, s) AS k FROM {name}g),
+       {name} AS (SELECT a.image_id AS image_id, coalesce(b.s, a.s) AS s, coalesce(b.e, a.e) AS e FROM (SELECT image_id, min(idx) AS s, max(idx) AS e FROM {name}p GROUP BY image_id) a LEFT JOIN {name}b b ON a.image_id = b.image_id AND b.k = 1)"""
 
 
-@book.query("a24_crop_margins")
+@book.query(
+    "a24_crop_margins",
+    f"""WITH {strongest("ya", "masks", "y")}, {strongest("xa", "masks", "x")},
+       cut AS (SELECT m.image_id AS image_id, m.y AS y, m.x AS x, m.v AS v FROM masks m JOIN ya ON m.image_id = ya.image_id JOIN xa ON m.image_id = xa.image_id WHERE m.y BETWEEN ya.s AND ya.e AND m.x BETWEEN xa.s AND xa.e),
+       {strongest("yb", "cut", "y")}, {strongest("xb", "cut", "x")}
+       SELECT yb.image_id AS image_id, yb.s AS y0, yb.e AS y1, xb.s AS x0, xb.e AS x1, round(greatest(0, yb.s / 32e0 - 0.1e0), 6) AS top, round(greatest(0, xb.s / 32e0 - 0.1e0), 6) AS left_side, round(least(1, (yb.e + 1) / 32e0 + 0.1e0), 6) AS bottom, round(least(1, (xb.e + 1) / 32e0 + 0.1e0), 6) AS right_side FROM yb JOIN xb ON yb.image_id = xb.image_id""",
+)
+def _(v):
+    found = X.crop_margins(v.masks, 0.6, 2, 32, 32)
+    return found.select("image_id", L("y0"), L("y1"), L("x0"), L("x1"), R("top", 6), F.round("left", 6).alias("left_side"), R("bottom", 6), F.round("right", 6).alias("right_side"))
+
+
+@book.query("a23_keep_largest_foreground", None)
 def _(v):
-    return X.crop_margins(v.masks, 0.6, 2).select("image_id", L("y0"), L("y1"), L("x0"), L("x1"))
+    mask = G.keep_largest_foreground(G.background_mask(v.blocks100, 10, 10, 1, 2, 0.15))
+    return G.apply_background(v.blocks100, mask).select("image_id", "y", "x", F.round(F.col("features")[0].cast("double"), 5).alias("f0"))
 
 
 MET = "met AS (SELECT a.image_id AS image_id, a.channel AS channel, a.y AS y, a.x AS x, a.v AS a, b.v AS b FROM pixels a JOIN pixels b ON b.image_id = a.image_id + 1 AND a.channel = b.channel AND a.y = b.y AND a.x = b.x)"
@@ -239,20 +294,27 @@ def _(v):
     return X.zscore(v.pixels, 0).where("image_id > 0").select(*PX, L("v"))
 
 
-@book.query("a35_tile_plan", None)
+@book.query(
+    "a35_tile_plan",
+    """WITH b AS (SELECT grp, layer, floor(min(x)) AS ax, floor(max(x)) AS bx, floor(min(y)) AS ay, floor(max(y)) AS b_y FROM points GROUP BY 1, 2),
+       t AS (SELECT p.grp AS grp, p.layer AS layer, ax + floor((x - ax) / 400) * 400 AS x0, ay + floor((y - ay) / 400) * 400 AS y0, bx, b_y FROM points p JOIN b ON p.grp = b.grp AND p.layer = b.layer),
+       n AS (SELECT grp, layer, x0, y0, count(*) AS n FROM t WHERE x0 < bx AND y0 < b_y GROUP BY 1, 2, 3, 4 HAVING count(*) >= 8)
+       SELECT grp, layer, n, CAST(least(greatest(x0, 0), 1600) AS BIGINT) AS x0, CAST(least(greatest(y0, 0), 1600) AS BIGINT) AS y0, CAST(least(greatest(x0 + 400, 0), 1600) AS BIGINT) AS x1, CAST(least(greatest(y0 + 400, 0), 1600) AS BIGINT) AS y1,
+       CAST(least(greatest(x0 - 20, 0), 1600) AS BIGINT) AS ex0, CAST(least(greatest(y0 - 20, 0), 1600) AS BIGINT) AS ey0, CAST(least(greatest(x0 + 420, 0), 1600) AS BIGINT) AS ex1, CAST(least(greatest(y0 + 420, 0), 1600) AS BIGINT) AS ey1 FROM n""",
+)
 def _(v):
     return G.tile_plan(v.points, 400, 0.1, 8, 1600).select("grp", "layer", *[L(c) for c in ("n", "x0", "y0", "x1", "y1", "ex0", "ey0", "ex1", "ey1")])
 
 
 @book.query(
     "a36_overlap_average",
-    f"""WITH t AS (SELECT image_id, (x % 2) * 12 + y AS y, (y % 2) * 12 + x AS x, v * 32 AS dx, (255 - v) * 32 AS dy FROM pixels WHERE channel = 0 AND y < 24 AND x < 24),
-        m AS (SELECT image_id, y, x, avg(dx) / 40 AS dx, avg(dy) / 40 AS dy, count(*) AS n FROM t GROUP BY 1, 2, 3)
-        SELECT i.image_id AS image_id, g.y AS y, g.x AS x, round(coalesce(dx, 0), 5) AS dx, round(coalesce(dy, 0), 5) AS dy, coalesce(n, 0) AS n FROM (SELECT DISTINCT image_id FROM t) i, {grid(40, 40)} g LEFT JOIN m ON m.image_id = i.image_id AND m.y = g.y AND m.x = g.x""",
+    f"""WITH t AS (SELECT image_id, (x % 2) * 12 + y AS y, (y % 2) * 12 + x AS x, v * 32 AS dx, (255 - v) * 32 AS dy FROM pixels WHERE channel = 0),
+        m AS (SELECT image_id, y, x, avg(dx) / 48 AS dx, avg(dy) / 48 AS dy, count(*) AS n FROM t GROUP BY 1, 2, 3)
+        SELECT i.image_id AS image_id, g.y AS y, g.x AS x, round(coalesce(dx, 0), 5) AS dx, round(coalesce(dy, 0), 5) AS dy, coalesce(n, 0) AS n FROM (SELECT DISTINCT image_id FROM t) i, {grid(48, 48)} g LEFT JOIN m ON m.image_id = i.image_id AND m.y = g.y AND m.x = g.x""",
 )
 def _(v):
-    tiles = v.pixels.where("channel = 0 and y < 24 and x < 24").select("image_id", ((F.col("x") % 2) * 12).alias("y0"), ((F.col("y") % 2) * 12).alias("x0"), "y", "x", F.lit(32).alias("size"), F.col("v").alias("dx"), (255 - F.col("v")).alias("dy"))
-    return X.overlap_average(tiles, 40, 40).select("image_id", "y", "x", R("dx"), R("dy"), "n")
+    tiles = v.pixels.where("channel = 0").select("image_id", ((F.col("x") % 2) * 12).alias("y0"), ((F.col("y") % 2) * 12).alias("x0"), "y", "x", F.lit(32).alias("size"), F.col("v").alias("dx"), (255 - F.col("v")).alias("dy"))
+    return X.overlap_average(tiles, 48, 48).select("image_id", "y", "x", R("dx"), R("dy"), "n")
 
 
 @book.query("a37_multi_lag_loss", "WITH l AS (SELECT a.image_id AS i, b.image_id - a.image_id AS lag, avg(abs(a.v - b.v)) AS l1 FROM pixels a JOIN pixels b ON b.image_id BETWEEN a.image_id + 1 AND a.image_id + 3 AND a.channel = b.channel AND a.y = b.y AND a.x = b.x GROUP BY 1, 2) SELECT round(sum(l1) / 14, 4) AS loss FROM l")
@@ -267,7 +329,7 @@ def _(v):
 
 @book.query("a43_coords_pivot", "SELECT x, avg(CASE WHEN y = 0 THEN v END) AS y0, avg(CASE WHEN y = 1 THEN v END) AS y1, avg(CASE WHEN y = 2 THEN v END) AS y2 FROM pixels WHERE channel = 0 GROUP BY x")
 def _(v):
-    return v.pixels.where("channel = 0").groupBy("x").pivot("y", [0, 1, 2]).agg(F.avg("v")).withColumnsRenamed({"0": "y0", "1": "y1", "2": "y2"})
+    return X.coords_pivot(v.pixels.where("channel = 0"), [0, 1, 2])
 
 
 @book.query("a15_label_mean_features", "SELECT p.image_id AS image_id, CAST(floor(p.v / 64) AS BIGINT) AS label, round(avg(q.v), 5) AS f1 FROM pixels p JOIN pixels q ON p.image_id = q.image_id AND p.y = q.y AND p.x = q.x AND q.channel = 1 WHERE p.channel = 0 AND floor(p.v / 64) > 0 GROUP BY 1, 2")
@@ -276,32 +338,31 @@ def _(v):
     return G.label_mean_features(v.pixels, labels).select("image_id", "label", F.round("1", 5).alias("f1"))
 
 
-CELLS_ON = "cells_on AS (SELECT image_id, y, x, image_id * 1024 + y * 32 + x AS node FROM masks WHERE v = 1 AND image_id < 3 AND y < 12 AND x < 12)"
+COMPONENTS = """cells_on AS (SELECT image_id, y, x, image_id * 1024 + y * 32 + x AS node FROM masks WHERE v = 1),
+        e AS (SELECT a.node AS a, b.node AS b FROM cells_on a, (SELECT unnest([0, 0, 1, -1]) AS dy, unnest([1, -1, 0, 0]) AS dx) s, cells_on b WHERE a.image_id = b.image_id AND b.y = a.y + dy AND b.x = a.x + dx),
+        r(node, m) USING KEY (node) AS (SELECT node, node FROM cells_on UNION SELECT e.b, min(r.m) FROM r JOIN e ON r.node = e.a JOIN recurring.r o ON o.node = e.b WHERE r.m < o.m GROUP BY e.b)"""
 
 
 @book.query(
     "a28_connected_components",
-    f"""WITH RECURSIVE {CELLS_ON},
-        e AS (SELECT a.node AS a, b.node AS b FROM cells_on a JOIN cells_on b ON a.image_id = b.image_id AND abs(a.y - b.y) + abs(a.x - b.x) = 1),
-        r AS (SELECT node AS a, node AS b FROM cells_on UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
-        c AS (SELECT a, min(b) AS m FROM r GROUP BY a)
-        SELECT image_id, y, x, CAST(floor((m % 1024) / 32) AS BIGINT) AS cy, m % 32 AS cx FROM cells_on JOIN c ON node = a""",
+    f"WITH RECURSIVE {COMPONENTS} SELECT image_id, y, x, CAST(floor((m % 1024) / 32) AS BIGINT) AS cy, m % 32 AS cx FROM cells_on c JOIN r ON r.node = c.node",
 )
 def _(v):
-    found = G.raster_components(v.masks.where("image_id < 3 and y < 12 and x < 12"), width=1024)
+    found = G.raster_components(v.masks, width=1024)
     return found.select("image_id", "y", "x", F.floor(F.col("comp") % (1024 * 1024) / 1024).alias("cy"), (F.col("comp") % 1024).alias("cx"))
 
 
 @book.query(
     "a29_component_filter",
-    f"""WITH RECURSIVE {CELLS_ON},
-        e AS (SELECT a.node AS a, b.node AS b FROM cells_on a JOIN cells_on b ON a.image_id = b.image_id AND abs(a.y - b.y) + abs(a.x - b.x) = 1),
-        r AS (SELECT node AS a, node AS b FROM cells_on UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
-        c AS (SELECT a, min(b) AS m FROM r GROUP BY a), n AS (SELECT m FROM c GROUP BY m HAVING count(*) >= 4)
-        SELECT image_id, y, x FROM cells_on JOIN c ON node = a WHERE m IN (SELECT m FROM n)""",
+    f"WITH RECURSIVE {COMPONENTS}, n AS (SELECT m FROM r GROUP BY m HAVING count(*) >= 4) SELECT image_id, y, x FROM cells_on c JOIN r ON r.node = c.node WHERE m IN (SELECT m FROM n)",
 )
 def _(v):
-    return G.component_filter(G.raster_components(v.masks.where("image_id < 3 and y < 12 and x < 12"), width=1024), 4).select("image_id", "y", "x")
+    return G.component_filter(G.raster_components(v.masks, width=1024), 4).select("image_id", "y", "x")
+
+
+@book.query("r10_inner_holes")
+def _(v):
+    return G.inner_holes(v.masks, 32, 32).select("image_id", "y", "x")
 
 
 @book.query("a14_density_boxes")
@@ -322,15 +383,36 @@ def _(v):
     return G.rasterize_points(ids(v.cells).withColumns({"x": F.col("x") / 10, "y": F.col("y") / 10}), 2, 100, 100).select("grp", "y", "x", "label")
 
 
-@book.query("k10_region_signal")
+@book.query(
+    "k10_region_signal",
+    f"""WITH {RING},
+       ar AS (SELECT grp, shape_id, abs(sum(x0 * y1 - x1 * y0)) / 2 AS area FROM sides GROUP BY 1, 2),
+       hit AS (SELECT c.grp AS grp, c.y AS y, c.x AS x, s.shape_id AS shape_id FROM (SELECT DISTINCT image_id AS grp, y, x, (x + 0.5e0) * 10 AS px, (y + 0.5e0) * 10 AS py FROM pixels WHERE image_id < 3) c JOIN sides s ON c.grp = s.grp
+               GROUP BY 1, 2, 3, 4 HAVING count(*) FILTER (WHERE (s.y0 > py) <> (s.y1 > py) AND px < (s.x1 - s.x0) * (py - s.y0) / (s.y1 - s.y0) + s.x0) % 2 = 1),
+       m AS (SELECT h.grp AS grp, shape_id, channel, avg(v) AS mean FROM hit h JOIN pixels p ON p.image_id = h.grp AND p.y = h.y AND p.x = h.x GROUP BY 1, 2, 3),
+       told AS (SELECT s.grp AS grp, s.shape_id AS shape_id, area, channel, mean, CASE WHEN mean IS NULL THEN CASE WHEN cx - rx >= 320 OR cy - ry >= 320 OR cx + rx <= 0 OR cy + ry <= 0 THEN 'outside' WHEN area / 100 < 8 THEN 'small' ELSE 'empty' END END AS reason
+                FROM shapes s JOIN ar ON s.grp = ar.grp AND s.shape_id = ar.shape_id LEFT JOIN m ON m.grp = s.grp AND m.shape_id = s.shape_id AND area / 100 >= 8)
+       SELECT t.grp AS grp, shape_id, channel, round(mean, 4) AS mean, reason, round(CASE WHEN o = 0 THEN area END, 4) AS area FROM told t JOIN (SELECT grp, count(reason) AS o FROM told GROUP BY grp) w ON t.grp = w.grp""",
+)
 def _(v):
-    from ..operators.spatial import point_in_polygon, with_ring
+    from ..operators.spatial import with_ring
 
-    on = v.pixels.select(F.col("image_id").alias("grp"), (F.col("image_id") * 1024 + F.col("y") * 32 + F.col("x")).alias("id"), (F.col("x") * 30.0 + 15).alias("x"), (F.col("y") * 30.0 + 15).alias("y"), "channel", "v")
-    inside = point_in_polygon(on.select("grp", "id", "x", "y").distinct(), with_ring(v.shapes), 64.0)
-    return on.join(inside, ["grp", "id"]).groupBy("grp", "shape_id", "channel").agg(F.round(F.avg("v"), 4).alias("mean"))
+    images = v.pixels.withColumnRenamed("image_id", "grp")
+    return G.region_signal(images, with_ring(v.shapes), 10.0, 32, 32, least_area=8.0).select("grp", "shape_id", "channel", R("mean", 4), "reason", R("area", 4))
 
 
-@book.query("w8_keypoint_nms")
+def pooled(value: str, out: str, source: str) -> str:
+    """SQL: the largest value in 5 x 5 windows, as column out of tables out and out + 1."""
+    along = lambda a, b: f"OVER (PARTITION BY image_id, {a} ORDER BY {b} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"
+    return f"{out}1 AS (SELECT *, max({value}) {along('y', 'x')} AS p_{out} FROM {source}), {out} AS (SELECT *, max(p_{out}) {along('x', 'y')} AS {out} FROM {out}1)"
+
+
+@book.query(
+    "w8_keypoint_nms",
+    f"""WITH s AS (SELECT image_id, y, x, v FROM pixels WHERE channel = 0), {pooled("v", "ma", "s")}, a AS (SELECT *, CASE WHEN v = ma THEN 1 ELSE 0 END AS top_a FROM ma),
+       {pooled("top_a", "near_b", "a")}, b0 AS (SELECT *, CASE WHEN near_b > 0 THEN 0 ELSE v END AS rest_b FROM near_b), {pooled("rest_b", "mb", "b0")}, b AS (SELECT *, CASE WHEN top_a = 1 OR (rest_b = mb AND near_b = 0) THEN 1 ELSE 0 END AS top_b FROM mb),
+       {pooled("top_b", "near_c", "b")}, c0 AS (SELECT *, CASE WHEN near_c > 0 THEN 0 ELSE v END AS rest_c FROM near_c), {pooled("rest_c", "mc", "c0")}, c AS (SELECT *, CASE WHEN top_b = 1 OR (rest_c = mc AND near_c = 0) THEN 1 ELSE 0 END AS top_c FROM mc)
+       SELECT image_id, y, x, v AS nms FROM c WHERE top_c = 1 AND v > 0""",
+)
 def _(v):
     return N.keypoint_nms(v.pixels.where("channel = 0").select("image_id", "y", "x", "v"), 2).where("nms > 0").select("image_id", "y", "x", "nms")

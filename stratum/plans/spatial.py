@@ -9,6 +9,7 @@ from ..operators import metrics as Q
 from ..operators import points as P
 from ..operators import spatial as K
 from ..sources.views import Book
+from .points import ALIGNED
 
 book = Book()
 QUERIES, SQL = book.queries, book.sql
@@ -66,6 +67,16 @@ def _(v):
     return K.point_in_polygon(ids(v.cells), K.with_ring(v.shapes), 64.0)
 
 
+@book.query("k6_point_in_polygon_intersects", f"WITH {RING} SELECT grp, cell_id AS id, max(shape_id) AS shape_id FROM placed WHERE inside OR dist = 0 GROUP BY grp, cell_id")
+def _(v):
+    return K.point_in_polygon(ids(v.cells), K.with_ring(v.shapes), 64.0, predicate="intersects")
+
+
+@book.query("k7_ring_join_attributes", f"WITH {RING} SELECT p.grp AS grp, cell_id AS id, p.shape_id AS shape_id, CASE WHEN inside THEN 'inner' ELSE 'outer' END AS band, rx, ry FROM placed p JOIN shapes s ON p.grp = s.grp AND p.shape_id = s.shape_id WHERE dist <= 12")
+def _(v):
+    return K.ring_join(ids(v.cells), K.with_ring(v.shapes), 12.0, 64.0, tolerance=0.01, keep=("rx", "ry")).select("grp", "id", "shape_id", "band", "rx", "ry")
+
+
 @book.query("k7_ring_join", f"WITH {RING} SELECT grp, cell_id AS id, shape_id, CASE WHEN inside THEN 'inner' ELSE 'outer' END AS band, round(dist, 5) AS edge_distance FROM placed WHERE dist <= 12")
 def _(v):
     return K.ring_join(ids(v.cells), K.with_ring(v.shapes), 12.0, 64.0).select("grp", "id", "shape_id", "band", R("edge_distance"))
@@ -172,6 +183,11 @@ def _(v):
     return Q.pairwise_tre_global(v.points).select("grp", "layer", "kpt_id", R("tre"))
 
 
+@book.query("a4_pairwise_tre_rows", "SELECT p.grp AS grp, layer_f, kpt_id, round(sqrt(power(xf - xm, 2) + power(yf - ym, 2)) * 0.46, 5) AS tre FROM pairs p JOIN (SELECT grp, max(layer_f) AS last FROM pairs GROUP BY grp) l ON p.grp = l.grp AND layer_f < last")
+def _(v):
+    return Q.pairwise_tre(v.pairs, 0.46, more_points=True).select("grp", "layer_f", "kpt_id", R("tre"))
+
+
 @book.query(
     "a5_accumulated_tre",
     """WITH m AS (SELECT grp, layer_f, avg(xm - xf) AS dx, avg(ym - yf) AS dy FROM pairs GROUP BY grp, layer_f), s AS (SELECT grp, layer_f, sum(dx) OVER w AS sx, sum(dy) OVER w AS sy FROM m WINDOW w AS (PARTITION BY grp ORDER BY layer_f ROWS UNBOUNDED PRECEDING))
@@ -201,6 +217,26 @@ def _(v):
     return df.select("grp", *[R(c, 4) for c in df.columns if c != "grp"])
 
 
+@book.query(
+    "a7_registration_report_global",
+    """WITH u AS (SELECT grp, layer, kpt_id, x * 0.46 AS x, y * 0.46 AS y FROM points),
+       t AS (SELECT a.grp AS grp, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) AS v FROM u a JOIN u b ON a.grp = b.grp AND a.kpt_id = b.kpt_id AND b.layer = a.layer + 1),
+       f AS (SELECT grp, kpt_id, regr_slope(x, layer * 5.0) AS kx, regr_slope(y, layer * 5.0) AS ky, avg(x) AS mx, avg(y) AS my, avg(layer * 5.0) AS mz FROM u GROUP BY grp, kpt_id),
+       d AS (SELECT u.grp AS grp, sqrt(power(x - mx - kx * (layer * 5.0 - mz), 2) + power(y - my - ky * (layer * 5.0 - mz), 2)) AS a FROM u JOIN f ON u.grp = f.grp AND u.kpt_id = f.kpt_id)
+       SELECT p.grp AS grp, mean_pairwise, max_pairwise, std_pairwise, mean_accumulated, max_accumulated, std_accumulated
+       FROM (SELECT grp, round(avg(v), 4) AS mean_pairwise, round(max(v), 4) AS max_pairwise, round(stddev_pop(v), 4) AS std_pairwise FROM t GROUP BY grp) p
+       JOIN (SELECT grp, round(avg(a), 4) AS mean_accumulated, round(max(a), 4) AS max_accumulated, round(stddev_pop(a), 4) AS std_accumulated FROM d GROUP BY grp) q ON p.grp = q.grp""",
+)
+def _(v):
+    df = Q.registration_report(v.points)
+    return df.select("grp", *[R(c, 4) for c in df.columns if c != "grp"])
+
+
+@book.query("a8_keypoint_l1_weighted", "SELECT grp, round(avg((1 + kpt_id % 4) / 4e0 * (abs(xf - xm) + abs(yf - ym)) / 2) + 0.1e0 * (1 - avg((1 + kpt_id % 4) / 4e0)), 4) AS loss FROM pairs GROUP BY grp")
+def _(v):
+    return Q.keypoint_l1_weighted(v.pairs.withColumn("attr", (1 + F.col("kpt_id") % 4) / 4)).select("grp", R("loss", 4))
+
+
 @book.query("a8_keypoint_l1", "WITH l AS (SELECT grp, layer_f, avg((abs(xf - xm) + abs(yf - ym)) / 2) AS l1, avg(xf - xm) AS ex, avg(yf - ym) AS ey FROM pairs GROUP BY grp, layer_f) SELECT grp, round(avg(l1) + 0.5 * avg(sqrt(ex * ex + ey * ey)), 4) AS loss FROM l GROUP BY grp")
 def _(v):
     return Q.keypoint_l1(v.pairs, 0.5).select("grp", R("loss", 4))
@@ -243,7 +279,15 @@ def _(v):
     return A.displacement_fit(v.pairs, ["grp", "layer_f"], 1600, 8).select("grp", "layer_f", "i", "j", R("dx", 4), R("dy", 4))
 
 
-@book.query("p10_landmarks_nonrigid")
+@book.query(
+    "p10_landmarks_nonrigid",
+    f"""WITH {FIT}, {ALIGNED},
+       moved AS (SELECT p.grp AS grp, p.layer_f AS layer_f, xf, yf, (a * (xm / 800 - 1) + b * (ym / 800 - 1) + mp - a * mu - b * mv + 1) * 800 AS xm, (d * (xm / 800 - 1) + e * (ym / 800 - 1) + mq - d * mu - e * mv + 1) * 800 AS ym FROM pairs p JOIN fit f ON p.grp = f.grp AND p.layer_f = f.layer_f),
+       bins AS (SELECT grp, layer_f, CAST(floor(yf / 200) AS BIGINT) AS i, CAST(floor(xf / 200) AS BIGINT) AS j, avg(xf - xm) AS dx, avg(yf - ym) AS dy, count(*) AS n FROM moved WHERE xf < 1600 AND yf < 1600 GROUP BY 1, 2, 3, 4),
+       sent AS (SELECT grp, layer_f, i + oa AS i, j + ob AS j, dx, dy, n * exp(-(oa * oa + ob * ob) / 2e0) AS w FROM bins, (SELECT unnest([-1, 0, 1]) AS oa), (SELECT unnest([-1, 0, 1]) AS ob)),
+       smooth AS (SELECT grp, layer_f, i, j, sum(w * dx) / sum(w) AS dx, sum(w * dy) / sum(w) AS dy FROM sent WHERE i BETWEEN 0 AND 7 AND j BETWEEN 0 AND 7 GROUP BY 1, 2, 3, 4)
+       SELECT p.grp AS grp, p.layer AS layer, kpt_id, round(x + coalesce(dx, 0), 3) AS x, round(y + coalesce(dy, 0), 3) AS y FROM aligned p LEFT JOIN smooth s ON s.grp = p.grp AND s.layer_f = p.layer AND s.i = floor(p.y / 200) AND s.j = floor(p.x / 200)""",
+)
 def _(v):
     from .points import aligned_points
 
@@ -265,12 +309,12 @@ def _(v):
 
 @book.query(
     "k4_warp_points_by_grid",
-    """WITH l AS (SELECT c_custkey % 3 AS image_id, c_custkey AS id, (c_custkey * 7 % 97) / 97e0 AS x, (c_custkey * 11 % 89) / 89e0 AS y FROM customer WHERE c_custkey < 300),
+    """WITH l AS (SELECT c_custkey % 3 AS image_id, c_custkey AS id, (c_custkey * 7 % 97) / 97e0 AS x, (c_custkey * 11 % 89) / 89e0 AS y FROM customer),
        g AS (SELECT image_id, i * 32 + j AS flat, (2 * j + 1) / 32e0 - 1 + gx / 16 AS gx, (2 * i + 1) / 32e0 - 1 + gy / 16 AS gy FROM field),
        d AS (SELECT l.image_id AS image_id, id, flat, row_number() OVER (PARTITION BY l.image_id, id ORDER BY sqrt(power(2 * x - 1 - gx, 2) + power(2 * y - 1 - gy, 2)), flat) AS k FROM l JOIN g ON l.image_id = g.image_id)
        SELECT image_id, id, round((flat % 32 + 0.5) / 32, 6) AS x, round((floor(flat / 32) + 0.5) / 32, 6) AS y FROM d WHERE k = 1""",
 )
 def _(v):
-    at = v.customer.where("c_custkey < 300").select((F.col("c_custkey") % 3).alias("image_id"), F.col("c_custkey").alias("id"), (F.col("c_custkey") * 7 % 97 / 97).alias("x"), (F.col("c_custkey") * 11 % 89 / 89).alias("y"))
+    at = v.customer.select((F.col("c_custkey") % 3).alias("image_id"), F.col("c_custkey").alias("id"), (F.col("c_custkey") * 7 % 97 / 97).alias("x"), (F.col("c_custkey") * 11 % 89 / 89).alias("y"))
     grid = v.field.withColumns({"gx": (2 * F.col("j") + 1) / 32 - 1 + F.col("gx") / 16, "gy": (2 * F.col("i") + 1) / 32 - 1 + F.col("gy") / 16})
     return A.warp_by_grid(at, grid, 32, 32).select("image_id", "id", R("x", 6), R("y", 6))

@@ -72,9 +72,13 @@ VIEWS: dict[str, str] = {
     "boxes": """
         SELECT grp, shape_id AS box_id, cx - 3 * rx AS x0, cy - 3 * ry AS y0, cx + 3 * rx AS x1, cy + 3 * ry AS y1, rx * ry + shape_id / 1000.0e0 AS score FROM shapes""",
     "scores": """
-        SELECT CAST(0 AS BIGINT) AS pair, CAST(floor(p_partkey / 40) AS BIGINT) AS i, p_partkey % 40 AS j,
+        SELECT CAST(floor(p_partkey / 1600) AS BIGINT) AS pair, CAST(floor(p_partkey % 1600 / 40) AS BIGINT) AS i, p_partkey % 40 AS j,
                (CAST(round(p_retailprice * 100) AS BIGINT) * 31 + p_partkey * 7919) % 100003 / 100003.0e0 AS score
-        FROM part WHERE p_partkey < 1600""",
+        FROM part""",
+    "blocks16": """
+        SELECT image + 2 * CAST(floor(id / 16) AS BIGINT) AS image_id, CAST(floor(id % 16 / 4) AS BIGINT) AS y, id % 4 AS x, features FROM descriptors""",
+    "blocks100": """
+        SELECT image + 2 * CAST(floor(id / 100) AS BIGINT) AS image_id, CAST(floor(id % 100 / 10) AS BIGINT) AS y, id % 10 AS x, features FROM descriptors""",
     "field": """
         SELECT image_id, y AS i, x AS j, (v - 128) / 512.0e0 AS gx, (256 - v) / 1024.0e0 AS gy FROM pixels WHERE channel = 1""",
     "masks": """

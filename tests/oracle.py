@@ -45,6 +45,6 @@ def differences(df, sf_dir: str, sql: str) -> str:
     if len(ours) != len(theirs):
         return f"{len(ours)} rows against {len(theirs)}; first {ours[:2]} {theirs[:2]}"
     for a, b in zip(ours, theirs):
-        if a != b and not all(x == y or isinstance(x, float) and isinstance(y, float) and math.isclose(x, y, rel_tol=1e-9, abs_tol=2e-6) for x, y in zip(a, b)):
+        if a != b and not all(x == y or isinstance(x, float) and isinstance(y, float) and math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9) for x, y in zip(a, b)):
             return f"{order}: {a} against {b}"
     return "" if ours else "no rows"

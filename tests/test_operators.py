@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratum.operators import classify, fitting, matching, points, raster, regions, spatial
+from stratum.operators import classify, fitting, matching, ml, points, raster, regions, spatial
 from stratum.sources import tables
 from stratum.sources.views import Views
 
@@ -165,3 +165,61 @@ def test_sources(spark, tmp_path, v):
     assert scan.count() == 1024 and "PartitionFilters" in plan(scan)
     with pytest.raises(ValueError):
         tables.layer_lookup(v.points, v.manifest.where("layer < 2"), required=True)
+
+
+def test_knn_graph_recall(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16))
+    x = np.concatenate([c + 0.3 * rng.normal(size=(40, 16)) for c in centres])  # 20 cells of 8 probes
+    rows = spark.createDataFrame([(i, [float(f) for f in v]) for i, v in enumerate(x)], "id long, features array<double>")
+    found = {(r.src, r.dst) for r in ml.knn_graph(rows, 5).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    score = unit @ unit.T
+    np.fill_diagonal(score, -2)
+    want = {(i, int(j)) for i, row in enumerate(np.argsort(-score, axis=1)[:, :5]) for j in row}
+    assert len(found) == len(want) and len(found & want) / len(want) >= 0.9
+    few = {(r.src, r.dst) for r in ml.knn_graph(rows.where("id < 200"), 5).collect()}  # no more cells than probes: exact
+    assert few == {(i, int(j)) for i, row in enumerate(np.argsort(-score[:200, :200], axis=1)[:, :5]) for j in row}
+
+
+def test_region_signal_says_why_a_shape_has_none(spark):
+    pixels = spark.createDataFrame([(0, 0, y, x, float(x)) for y in range(10) for x in range(10)], "grp long, channel long, y long, x long, v double")
+    box = lambda i, a, b, c, d: (0, i, [(a, b), (c, b), (c, d), (a, d)])
+    shapes = spark.createDataFrame([box(1, 0.0, 0.0, 40.0, 40.0), box(2, 500.0, 0.0, 540.0, 40.0), box(3, 0.0, 0.0, 5.0, 5.0), box(4, 6.0, 6.0, 30.0, 14.0)], "grp long, shape_id long, ring array<struct<x:double,y:double>>")
+    rows = {r.shape_id: r for r in regions.region_signal(pixels, shapes, 10.0, 10, 10).collect()}
+    assert rows[1].mean == 1.5 and rows[1].reason is None and rows[1].area is None
+    assert [rows[i].reason for i in (2, 3, 4)] == ["outside", "small", "empty"]
+    alone = regions.region_signal(pixels, shapes.where("shape_id = 1"), 10.0, 10, 10).first()
+    assert alone.area == 1600.0
+
+
+def test_points_on_an_edge_intersect_but_are_not_within(spark):
+    shapes = spark.createDataFrame([(0, 7, [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)])], "grp int, shape_id int, ring array<struct<x:double,y:double>>")
+    at = spark.createDataFrame([(0, 1, 5.0, 5.0), (0, 2, 10.0, 5.0), (0, 3, 0.0, 0.0), (0, 4, 10.5, 5.0)], "grp int, id int, x double, y double")
+    ids = lambda predicate: {r.id for r in spatial.point_in_polygon(at, shapes, 4.0, predicate=predicate).collect()}
+    assert ids("within") == {1} and ids("intersects") == {1, 2, 3}
+    with pytest.raises(ValueError):
+        ids("near")
+
+
+def test_simplified_rings(spark):
+    ring = [(0.0, 0.0), (5.0, 0.1), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]
+    shapes = spark.createDataFrame([(0, 7, ring), (0, 8, [(0.0, 0.0), (0.1, 0.0), (0.0, 0.1)])], "grp int, shape_id int, ring array<struct<x:double,y:double>>")
+    found = {r.shape_id: [tuple(p) for p in r.ring] for r in spatial.simplified(shapes, 0.5).collect()}
+    assert found[7] == [ring[0], *ring[2:]] and len(found[8]) == 3
+
+
+def test_holes_and_largest_foreground(spark):
+    art = ["#####...", "#...#...", "#.#.#..#", "#...#...", "#####..."]
+    mask = spark.createDataFrame([(0, y, x, int(c == "#")) for y, line in enumerate(art) for x, c in enumerate(line)], "image_id long, y long, x long, v int")
+    holes = {(r.y, r.x) for r in regions.inner_holes(mask, 5, 8).collect()}
+    assert holes == {(y, x) for y in (1, 2, 3) for x in (1, 2, 3)} - {(2, 2)}
+    kept = {(r.y, r.x) for r in regions.keep_largest_foreground(mask.withColumn("v", 1 - F.col("v"))).where("v = 0").collect()}
+    assert kept == {(y, x) for y, line in enumerate(art) for x, c in enumerate(line) if c == "#"} - {(2, 2), (2, 7)}
+
+
+def test_large_canvas_is_dealt_out_in_tiles(spark):
+    one = spark.createDataFrame([(0, 0)], "image_id long, channel long")
+    big = raster.canvas(one, 600, 300)
+    assert big.count() == 180_000 and big.select("ty", "tx").distinct().count() == 180_000
+    assert big.rdd.getNumPartitions() > 1
