@@ -6,6 +6,7 @@ from oracle import differences
 from stratum import catalog
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
+LARGER = "/root/testdata/sf0.01"
 
 
 def test_sql_names_are_queries():
@@ -16,6 +17,9 @@ def test_sql_names_are_queries():
 def test_query(spark, sf_dir, name):
     found = QUERIES[name](spark, sf_dir)
     if name in SQL:
-        assert differences(found, sf_dir, SQL[name]) == ""
+        told = differences(found, sf_dir, SQL[name])
+        if told == "no rows":  # the smallest tables have none for some joins
+            told = differences(QUERIES[name](spark, LARGER), LARGER, SQL[name])
+        assert told == ""
     else:
         found.collect()
