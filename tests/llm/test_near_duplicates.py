@@ -6,7 +6,7 @@ import pytest
 from stratum.llm import near_duplicates as nd
 from stratum.llm import queries
 from stratum.llm.common import word_list
-from stratum.llm.components import connected_components
+from stratum.operators.regions import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, rid long, comp long, bands string"
 
