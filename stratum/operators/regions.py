@@ -44,12 +44,13 @@ def label_mean_features(pixels: DataFrame, labels: DataFrame, dense: int | None
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, comp) with comp the smallest node of its component, by large-star and small-star rounds, each stored, until
-    all pairs are stars. edges: src, dst, undirected."""
+    all pairs are stars. A node's smallest neighbour is stored before the join, so that Spark can split the rows of a node
+    with very many neighbours. edges: src, dst, undirected."""
     pairs = stored(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = stored(moved.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
