@@ -126,9 +126,9 @@ def sampled_suffixes(texts: DataFrame, length: int, width: int) -> DataFrame:
 
 def repeated_only(suffixes: DataFrame) -> DataFrame:
     """The suffixes whose hash stands twice or more, with that number n. Counting combines on the map side, and the join
-    has one row per hash on its right side, so Spark can split a hash that stands very often."""
-    often = suffixes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    return suffixes.join(often, "h").select("h", "did", "fp", "place", "n")
+    reads its right side, one row per hash, from a stored table, so Spark can split a hash that stands very often."""
+    often = stored(suffixes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    return suffixes.join(often.hint("merge"), "h").select("h", "did", "fp", "place", "n")  # one plan at every size
 
 
 ROWS = "h long, did long, fp long, place long, ahead binary, behind binary, start long, stop long, shard long, rank_a int, rank_b int, common_a int, common_b int"
@@ -317,23 +317,34 @@ def merged_spans(rows: DataFrame, length: int, width: int, partitions: int) -> D
 
 
 def counted_spans(texts: DataFrame, suffixes: DataFrame, length: int) -> DataFrame:
-    """The same for buckets too large to gather: strings are hashed one by one and counted."""
+    """The same for buckets too large to gather: strings are hashed one by one and counted. A string that stands twice in
+    a document is proven there; others leave the document once, so a hash has as many rows as documents hold it."""
     per_doc = suffixes.groupBy("did", "fp").agg(F.collect_list("place").alias("places"))
 
     def make():
         def each(dids, fps, datas, places):
             for did, fp, data, own in zip(dids, fps, datas, places):
+                first, repeated = {}, set()
                 for place in own:
                     _, low, high = _unpack(place)
                     for start in range(low, high + 1):
                         digest = hashlib.blake2b(data[start : start + length], digest_size=16).digest()
-                        yield int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), did, fp, start
+                        if digest in first:
+                            yield fp ^ start, None, did, fp, start  # the first number only spreads the rows
+                            repeated.add(digest)
+                        else:
+                            first[digest] = start
+                for digest, start in first.items():  # a string that is proven here counts for other documents, too
+                    if digest in repeated:
+                        yield fp ^ start, None, did, fp, start
+                    yield int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), did, fp, start
 
         return each
 
     strings = map_rows(texts.join(per_doc, ["did", "fp"]).select("did", "fp", "data", "places"), make, "s1 long, s2 long, did long, fp long, start long")
-    again = strings.groupBy("s1", "s2").agg(F.count("*").alias("n")).where("n > 1").select("s1", "s2")
-    return strings.join(again, ["s1", "s2"]).select("did", "fp", "start", (F.col("start") + length).alias("stop"))
+    again = strings.where("s2 is not null").groupBy("s1", "s2").agg(F.count("*").alias("n")).where("n > 1")
+    found = strings.join(again.hint("merge"), ["s1", "s2"], "left").where("n is not null or s2 is null")
+    return found.select("did", "fp", "start", (F.col("start") + length).alias("stop"))
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, width: int = WIDTH, hot_rows: int = HOT_ROWS) -> DataFrame:
