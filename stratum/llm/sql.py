@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import WINDOW
+from .line_dedup import LEAST_CHARS, LEAST_DOCS
 from .near_duplicates import NGRAM, THRESHOLD
 from .suffix_dedup import LENGTH
 
@@ -47,4 +48,11 @@ SELECT doc_id, CAST(octet_length(t) AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0
   CAST(octet_length(t) - coalesce(gone, 0) AS BIGINT) AS n_kept, spans IS NOT NULL AS repeated
 FROM d LEFT JOIN kept USING (r)"""
 
-ORACLES = {"op3_ngram_jaccard_join": NGRAM_JACCARD_JOIN, "op7_decontamination": DECONTAMINATION, "op9_suffix_dedup": SUFFIX_DEDUP}
+LINE_DEDUP = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+  x AS (SELECT r, doc_id, i, l[i] AS line, translate(trim(l[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM d, unnest(range(1, len(l) + 1)) t(i)),
+  often AS (SELECT key, max(doc_id) AS keeper FROM x WHERE length(key) >= {LEAST_CHARS} GROUP BY key HAVING count(DISTINCT doc_id) >= {LEAST_DOCS}),
+  judged AS (SELECT r, x.doc_id AS doc_id, i, line, keeper IS NOT NULL AND x.doc_id <> keeper AS gone FROM x LEFT JOIN often ON x.key = often.key)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM judged GROUP BY r"""
+
+ORACLES = {"op11_line_dedup": LINE_DEDUP, "op3_ngram_jaccard_join": NGRAM_JACCARD_JOIN, "op7_decontamination": DECONTAMINATION, "op9_suffix_dedup": SUFFIX_DEDUP}
