@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .collocations import COVER, LEAST, TOP
 from .decontaminate import WINDOW
 from .line_dedup import LEAST_CHARS, LEAST_DOCS
 from .near_duplicates import NGRAM, THRESHOLD
@@ -55,4 +56,19 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text,
   judged AS (SELECT r, x.doc_id AS doc_id, i, line, keeper IS NOT NULL AND x.doc_id <> keeper AS gone FROM x LEFT JOIN often ON x.key = often.key)
 SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM judged GROUP BY r"""
 
-ORACLES = {"op11_line_dedup": LINE_DEDUP, "op3_ngram_jaccard_join": NGRAM_JACCARD_JOIN, "op7_decontamination": DECONTAMINATION, "op9_suffix_dedup": SUFFIX_DEDUP}
+COLLOCATIONS = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+  w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+  n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+  f AS MATERIALIZED (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS c FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) ks, unnest(range(1, greatest(1, len(w) + 2 - k))) t(i) GROUP BY 1, 2, 3 HAVING count(*) >= {LEAST}),
+  g AS (SELECT lang, phrase, c, k, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+  parts AS MATERIALIZED (SELECT lang, phrase, c, cut, array_to_string(ws[1:cut], ' ') AS head, array_to_string(ws[cut + 1:], ' ') AS tail FROM g, unnest(range(1, k)) u(cut)),
+  cuts AS (SELECT g.lang AS lang, g.phrase AS phrase, g.c AS a, cut, h.c AS l, t.c AS r, CAST(2000000::HUGEINT * g.c // (h.c::HUGEINT + t.c) AS BIGINT) AS score
+           FROM parts g JOIN f h ON h.lang = g.lang AND h.phrase = head JOIN f t ON t.lang = g.lang AND t.phrase = tail),
+  best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+  covered AS (SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(c) AS top FROM (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 2), unnest(range(2, k)) u(m), unnest(range(1, k - m + 2)) v(i) GROUP BY 1, 2),
+  free AS (SELECT b.* FROM best b LEFT JOIN covered c ON c.lang = b.lang AND c.phrase = b.phrase WHERE top IS NULL OR 100::HUGEINT * top < {COVER} * a::HUGEINT),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM free)
+SELECT ranked.lang AS lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n ON n.lang = ranked.lang WHERE rank <= {TOP}"""
+
+ORACLES = {"op12_phrase_collocations": COLLOCATIONS, "op11_line_dedup": LINE_DEDUP, "op3_ngram_jaccard_join": NGRAM_JACCARD_JOIN, "op7_decontamination": DECONTAMINATION, "op9_suffix_dedup": SUFFIX_DEDUP}
