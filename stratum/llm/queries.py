@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, collocations, decontaminate, licenses, line_dedup, near_duplicates, packing, quality, rules, secrets, suffix_dedup, token_file
+from . import chat, collocations, decontaminate, licenses, line_dedup, near_duplicates, packing, quality, rules, secrets, suffix_dedup, token_file, vector_codes
 from .common import shared_folder, table
 from .sql import ORACLES
 
@@ -64,10 +64,14 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_digests(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    found = (op1_chat_format, op2_quality_classifier, op3_ngram_jaccard_join, op4_token_file, op5_quality_rules, op6_secret_scan, op7_decontamination, op8_license_scan, op9_suffix_dedup, op10_best_fit_packing, op11_line_dedup, op12_phrase_collocations)
+    found = (op1_chat_format, op2_quality_classifier, op3_ngram_jaccard_join, op4_token_file, op5_quality_rules, op6_secret_scan, op7_decontamination, op8_license_scan, op9_suffix_dedup, op10_best_fit_packing, op11_line_dedup, op12_phrase_collocations, op13_vector_codes)
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 

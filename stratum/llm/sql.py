@@ -7,6 +7,7 @@ from .decontaminate import WINDOW
 from .line_dedup import LEAST_CHARS, LEAST_DOCS
 from .near_duplicates import NGRAM, THRESHOLD
 from .suffix_dedup import LENGTH
+from .vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
 
 #: Words of a lower-cased (A-Z) text, null being empty.
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -71,4 +72,22 @@ WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(tr
   ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM free)
 SELECT ranked.lang AS lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n ON n.lang = ranked.lang WHERE rank <= {TOP}"""
 
-ORACLES = {"op12_phrase_collocations": COLLOCATIONS, "op11_line_dedup": LINE_DEDUP, "op3_ngram_jaccard_join": NGRAM_JACCARD_JOIN, "op7_decontamination": DECONTAMINATION, "op9_suffix_dedup": SUFFIX_DEDUP}
+
+
+def _vector_codes() -> str:
+    """SQL of all rounds, one after the other."""
+    nearest = lambda i: f"n{i} AS MATERIALIZED (SELECT r, m, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT q.r AS r, q.m AS m, c.e AS e, sum((q.v - c.v) * (q.v - c.v)) AS d FROM q JOIN c{i} c ON c.m = q.m AND c.p = q.p GROUP BY 1, 2, 3) GROUP BY 1, 2)"
+    moved = lambda i: f"c{i + 1} AS MATERIALIZED (SELECT c.m AS m, c.e AS e, c.p AS p, coalesce(s.v, c.v) AS v FROM c{i} c LEFT JOIN (SELECT q.m AS m, e, p, CAST((sum(v) - ((sum(v) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS v FROM q JOIN n{i} n ON n.r = q.r AND n.m = q.m GROUP BY 1, 2, 3) s ON s.m = c.m AND s.e = c.e AND s.p = c.p)"
+    rounds = ",\n  ".join(f"{nearest(i)},\n  {moved(i)}" for i in range(ROUNDS))
+    return f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) - 1 AS r, vec_id, label, embedding AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+  q AS MATERIALIZED (SELECT r, (i - 1) // (len(x) // {PARTS}) AS m, (i - 1) % (len(x) // {PARTS}) AS p, CAST(floor({SCALE} * CAST(x[i] AS DOUBLE)) AS BIGINT) AS v FROM k, unnest(range(1, len(x) + 1)) t(i)),
+  c0 AS MATERIALIZED (SELECT m, r AS e, p, v FROM q WHERE r < {ENTRIES}),
+  {rounds},
+  {nearest(ROUNDS)},
+  found AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY m) AS code, CAST(sum(d) AS BIGINT) AS error FROM n{ROUNDS} GROUP BY r),
+  sha AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY m, e, p)) AS codebooks_sha256 FROM c{ROUNDS})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN found ON found.r = k.r, sha"""
+
+
+ORACLES = {"op13_vector_codes": _vector_codes(), "op12_phrase_collocations": COLLOCATIONS, "op11_line_dedup": LINE_DEDUP, "op3_ngram_jaccard_join": NGRAM_JACCARD_JOIN, "op7_decontamination": DECONTAMINATION, "op9_suffix_dedup": SUFFIX_DEDUP}
