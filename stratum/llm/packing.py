@@ -8,8 +8,10 @@ them) reach the driver, where the plan is made:
 2. A linear program over the few rounded sizes picks configurations (column generation, knapsack pricing); its whole
    parts say how many sequences use each configuration.
 3. The group's actual lengths take the configuration's slots, which leaves room at least as large as planned.
-4. Everything else (small pieces, and what the whole parts left over), in decreasing order, goes to the open sequence
+4. Exchanges of pieces between configured sequences fill most of them and gather the room that rounding left in the rest.
+5. Everything else (small pieces, and what the whole parts left over), in decreasing order, goes to the open sequence
    with the least sufficient room.
+6. Room is gathered once more, and the sequences that have it are packed again where that takes fewer.
 
 The plan is a list of recipes (lengths in one sequence, number of such sequences); a piece finds its place by its rank
 among the pieces of its length, which tasks compute from counts per (task, length). Nothing is grouped by length.
@@ -22,6 +24,8 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from heapq import heappop, heappush
+from itertools import count
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -153,7 +157,69 @@ def configured(counts: dict[int, int], capacity: int = CAPACITY, groups: int = G
 def plan_recipes(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small_share: int = SMALL_SHARE) -> Recipes:
     """(number of sequences, lengths in each) for pieces counted by length. Its size depends on the distinct lengths only."""
     recipes, left = configured(counts, capacity, groups, small_share)
-    return best_fit(left, recipes, capacity)
+    return repacked(gathered(best_fit(left, gathered(recipes, capacity), capacity), capacity), capacity)
+
+
+def repacked(recipes: Recipes, capacity: int) -> Recipes:
+    """The sequences with the most room packed again, if that takes fewer: as few of them as reach the least number."""
+    found = [recipes]
+    for least in (capacity // 64, capacity // 128, capacity // 256, 1):
+        loose: dict[int, int] = {}
+        for n, items in recipes:
+            if capacity - sum(items) >= max(1, least):
+                for length in items:
+                    loose[length] = loose.get(length, 0) + n
+        found.append(best_fit(loose, [r for r in recipes if capacity - sum(r[1]) < max(1, least)], capacity))
+    return min(found, key=lambda r: sum(n for n, _ in r))
+
+
+def gathered(recipes: Recipes, capacity: int) -> Recipes:
+    """The configured sequences with their room in few of them, where small pieces fit. A sequence with a little room
+    gives a piece to another one with room for a piece that is longer by just that room: the one is full, the other's room
+    grows. Every exchange fills sequences for good."""
+    full, loose, holders, queue = [], {}, {}, []
+
+    def put(n: int, items: tuple[int, ...]) -> None:
+        room = capacity - sum(items)
+        if not room:
+            full.append((n, items))
+            return
+        key = next(numbers)
+        loose[key] = (n, items, room)
+        for length in set(items):
+            holders.setdefault(length, set()).add(key)
+        heappush(queue, (room, key))
+
+    def take(key: int) -> tuple[int, tuple[int, ...]]:
+        n, items, _ = loose.pop(key)
+        for length in set(items):
+            holders[length].discard(key)
+        return n, items
+
+    def exchanged(items: tuple[int, ...], gone: int, come: int) -> tuple[int, ...]:
+        at = items.index(gone)
+        return (*items[:at], come, *items[at + 1 :])
+
+    numbers = count()
+    for n, items in recipes:
+        put(n, items)
+    for _ in range(20 * len(recipes)):
+        while queue and queue[0][1] not in loose:
+            heappop(queue)
+        if not queue:
+            break
+        room, key = heappop(queue)
+        partners = [(loose[k][2], k, length) for length in set(loose[key][1]) for k in holders.get(length + room, ()) if k != key]
+        if partners:
+            _, other, length = max(partners)
+            (n, items), (m, others) = take(key), take(other)
+            both = min(n, m)
+            put(both, exchanged(items, length, length + room))
+            put(both, exchanged(others, length + room, length))
+            for rest, own in ((n - both, items), (m - both, others)):
+                if rest:
+                    put(rest, own)
+    return full + [(n, items) for n, items, _ in loose.values()]
 
 
 def best_fit(counts: dict[int, int], open_recipes: Recipes, capacity: int) -> Recipes:

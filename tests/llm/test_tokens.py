@@ -166,4 +166,27 @@ def test_linear_grouping_carries_the_packing():
     large = sum(n for k, n in counts.items() if 4 * k > 2048 and k < 2048)
     assert sum(n for k, n in left.items() if 4 * k > 2048) <= 0.15 * large
     sequences = sum(n for n, _ in packing.plan_recipes(counts))
-    assert sequences <= 1.005 * int(lengths.sum()) / 2048 + 1
+    assert sequences <= 1.002 * int(lengths.sum()) / 2048 + 1
+
+
+def test_exchanges_gather_room():
+    recipes = [(3, (60, 35)), (2, (55, 40)), (1, (65, 30)), (4, (100,))]
+    found = packing.gathered(recipes, 100)
+    seen = {}
+    for n, items in found:
+        assert sum(items) <= 100
+        for length in items:
+            seen[length] = seen.get(length, 0) + n
+    assert seen == {60: 3, 35: 3, 55: 2, 40: 2, 65: 1, 30: 1, 100: 4}
+    assert sum(n for n, _ in found) == 10 and sum(n for n, i in found if sum(i) == 100) >= 6
+    again = packing.repacked(found, 100)
+    assert sum(n for n, _ in again) <= 10
+
+
+@pytest.mark.parametrize(("sf", "most"), [("sf0.01", 0), ("sf0.1", 3)])
+def test_sequences_on_the_given_tables(spark, sf, most):
+    """The bound on sf0.01 (442), and at most three sequences above it on sf0.1 (4,539)."""
+    cut = packing.pieces(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"))
+    counts = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}
+    used = sum(n for n, _ in packing.plan_recipes(counts))
+    assert used <= -(-sum(k * n for k, n in counts.items()) // 2048) + most
