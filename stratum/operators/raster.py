@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import stored
+from . import tiles as T
 
 KEYS = ("image_id", "channel")
 
@@ -80,13 +82,11 @@ def gaussian_smooth(pixels: DataFrame, size: int = 3, sigma: float = 1.0, keys=K
     return done.join(pixels.select(*keys, "y", "x"), [*keys, "y", "x"], "left_semi")
 
 
-def pyramid(pixels: DataFrame, levels: int) -> DataFrame:
+def pyramid(pixels: DataFrame, levels: int, height: int, width: int, tile: int = T.SIZE) -> DataFrame:
     """Levels by smoothing and halving (mean of 2 x 2, which is the bilinear half of even sizes); level 0 is the input."""
-    out, now = pixels.withColumn("level", F.lit(0)), pixels
-    for level in range(1, levels):
-        now = gaussian_smooth(now).groupBy(*KEYS, F.floor(F.col("y") / 2).alias("y"), F.floor(F.col("x") / 2).alias("x")).agg(F.avg("v").alias("v"))
-        out = out.unionByName(now.withColumn("level", F.lit(level)))
-    return out
+    shape = T.Shape(height, width, tile)
+    found = T.pyramid(stored(T.to_tiles(pixels, shape)), shape, levels)
+    return reduce(DataFrame.unionByName, [T.to_pixels(tiles, own).withColumn("level", F.lit(i)) for i, (tiles, own) in enumerate(found)])
 
 
 def _corners(places: DataFrame, sy: Column, sx: Column, keep: list[str]) -> DataFrame:
@@ -96,20 +96,6 @@ def _corners(places: DataFrame, sy: Column, sx: Column, keep: list[str]) -> Data
     return df.withColumn("_c", four).select(*keep, F.col("_c.y").alias("y"), F.col("_c.x").alias("x"), F.col("_c.w").alias("w"))
 
 
-def sample_at(pixels: DataFrame, places: DataFrame, height: int, width: int, border: bool = False, fill: float = 0.0, keys=KEYS, mode: str = "bilinear") -> DataFrame:
-    """Values at source positions (sy, sx) of target places (keys, ty, tx): a join of four corners ("bilinear"), or of the
-    nearest pixel (half to even). Outside the image the value is 0, or the border's."""
-    if mode == "nearest":
-        corners = places.select(*keys, "ty", "tx", F.rint("sy").cast("long").alias("y"), F.rint("sx").cast("long").alias("x"), F.lit(1.0).alias("w"))
-    else:
-        corners = _corners(places, F.col("sy"), F.col("sx"), [*keys, "ty", "tx"])
-    if border:
-        corners = corners.withColumns({"y": F.greatest(F.lit(0), F.least("y", F.lit(height - 1))), "x": F.greatest(F.lit(0), F.least("x", F.lit(width - 1)))})
-    met = corners.where("w > 0").join(pixels.select(*keys, "y", "x", "v"), [*keys, "y", "x"])
-    found = met.groupBy(*keys, "ty", "tx").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
-    return places.select(*keys, "ty", "tx").join(found, [*keys, "ty", "tx"], "left").na.fill(fill, ["v"]).withColumnsRenamed({"ty": "y", "tx": "x"})
-
-
 def canvas(pixels: DataFrame, height: int, width: int, keys=KEYS, tile: int = 256) -> DataFrame:
     """Every place of every image. Tiles are dealt out first, so that a large image is not one task's work."""
     tiles = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(tile)).cast("array<bigint>"))
@@ -120,24 +106,16 @@ def canvas(pixels: DataFrame, height: int, width: int, keys=KEYS, tile: int = 25
     return placed.withColumn("ty", line("_y", height)).withColumn("tx", line("_x", width)).drop("_y", "_x")
 
 
-def resample(pixels: DataFrame, height: int, width: int, new_h: int, new_w: int, mode: str = "bilinear", align_corners: bool = False) -> DataFrame:
-    """Resize. Positions: (t + .5) * scale - .5 without align_corners (cut at the border), t * (n - 1) / (m - 1) with it."""
-
-    def at(t: str, n: int, m: int) -> Column:
-        if mode == "nearest":
-            return F.floor(F.col(t) * n / m).cast("double")
-        if align_corners:
-            return F.col(t) * ((n - 1) / (m - 1) if m > 1 else 0.0)
-        return F.least(F.greatest((F.col(t) + 0.5) * (n / m) - 0.5, F.lit(0.0)), F.lit(float(n - 1)))
-
-    places = canvas(pixels, new_h, new_w).withColumns({"sy": at("ty", height, new_h), "sx": at("tx", width, new_w)})
-    return sample_at(pixels, places, height, width)
+def resample(pixels: DataFrame, height: int, width: int, new_h: int, new_w: int, mode: str = "bilinear", align_corners: bool = False, tile: int = T.SIZE) -> DataFrame:
+    """Resize, see ``tiles.resample``."""
+    source, target = T.Shape(height, width, tile), T.Shape(new_h, new_w, tile)
+    return T.to_pixels(T.resample(stored(T.to_tiles(pixels, source)), source, target, mode, align_corners), target)
 
 
-def warp_affine(pixels: DataFrame, matrices: DataFrame, height: int, width: int, fill: float = 0.0) -> DataFrame:
+def warp_affine(pixels: DataFrame, matrices: DataFrame, height: int, width: int, fill: float = 0.0, tile: int = T.SIZE) -> DataFrame:
     """Pixels under a map a..f from target (x, y) to source; order-1, fill outside. matrices: image_id, a..f."""
-    places = canvas(pixels, height, width).join(matrices, "image_id").withColumns({"sx": F.col("a") * F.col("tx") + F.col("b") * F.col("ty") + F.col("c"), "sy": F.col("d") * F.col("tx") + F.col("e") * F.col("ty") + F.col("f")})
-    return sample_at(pixels, places.select(*KEYS, "ty", "tx", "sy", "sx"), height, width, fill=fill)
+    shape = T.Shape(height, width, tile)
+    return T.to_pixels(T.warp_affine(stored(T.to_tiles(pixels, shape)), matrices, shape, fill=fill), shape)
 
 
 def sampling_positions(field: DataFrame, height: int, width: int, align_corners: bool = False) -> DataFrame:
@@ -146,16 +124,18 @@ def sampling_positions(field: DataFrame, height: int, width: int, align_corners:
     return field.select("image_id", F.col("i").alias("ty"), F.col("j").alias("tx"), at("gy", height).alias("sy"), at("gx", width).alias("sx"))
 
 
-def grid_sample(pixels: DataFrame, grid: DataFrame, height: int, width: int, align_corners: bool = False, border: bool = False, mode: str = "bilinear") -> DataFrame:
-    """Values of every channel at the grid's positions. The shuffle by place is the parallelism; no blocks are needed."""
-    channels = pixels.select(*KEYS).distinct()
-    return sample_at(pixels, sampling_positions(grid, height, width, align_corners).join(channels, "image_id").select(*KEYS, "ty", "tx", "sy", "sx"), height, width, border, mode=mode)
+def grid_sample(pixels: DataFrame, grid: DataFrame, height: int, width: int, align_corners: bool = False, border: bool = False, mode: str = "bilinear", shape: tuple[int, int] | None = None, tile: int = T.SIZE) -> DataFrame:
+    """Values of every channel at the grid's positions; the grid's own shape is the image's unless given."""
+    source, target = T.Shape(height, width, tile), T.Shape(*(shape or (height, width)), tile)
+    places = sampling_positions(grid, height, width, align_corners).withColumnsRenamed({"ty": "y", "tx": "x"})
+    positions = T.to_tiles(places, target, ("image_id",), ("sy", "sx"))
+    return T.to_pixels(T.sample_field(stored(T.to_tiles(pixels, source)), positions, source, target, border, mode=mode), target)
 
 
-def warp_displacement(pixels: DataFrame, displacement: DataFrame, height: int, width: int, border: bool = False, mode: str = "bilinear") -> DataFrame:
+def warp_displacement(pixels: DataFrame, displacement: DataFrame, height: int, width: int, border: bool = False, mode: str = "bilinear", tile: int = T.SIZE) -> DataFrame:
     """Identity grid plus displacement (normalised), then grid_sample ("bilinear" or "nearest"). displacement: image_id, i, j, gx, gy."""
     grid = displacement.withColumns({"gx": (2 * F.col("j") + 1) / width - 1 + F.col("gx"), "gy": (2 * F.col("i") + 1) / height - 1 + F.col("gy")})
-    return grid_sample(pixels, grid, height, width, border=border, mode=mode)
+    return grid_sample(pixels, grid, height, width, border=border, mode=mode, tile=tile)
 
 
 def grid_to_displacement(field: DataFrame, height: int, width: int, inverse: bool = False) -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import metrics as Q
 from ..operators import raster as X
 from ..operators import regions as G
+from ..operators import tiles as T
 from ..operators import windows as N
+from ..session import stored
 from ..sources import tables as S
 from ..sources.views import Book
 from .spatial import RING
@@ -79,7 +81,8 @@ SMOOTH = f"""w1 AS (SELECT unnest([-1, 0, 1]) AS d, unnest([exp(-0.5e0), 1e0, ex
 
 @book.query("r9_gaussian_smooth", f"WITH {SMOOTH} SELECT image_id, channel, y, x, round(v, 4) AS v FROM smooth")
 def _(v):
-    return X.gaussian_smooth(v.pixels).select(*PX, R("v", 4))
+    shape = T.Shape(32, 32, 16)
+    return T.to_pixels(T.gaussian_smooth(stored(T.to_tiles(v.pixels, shape)), shape), shape).select(*PX, R("v", 4))
 
 
 @book.query(
@@ -98,7 +101,7 @@ def _(v):
 
 @book.query("r3_pyramid", f"WITH {SMOOTH} SELECT image_id, channel, CAST(floor(y / 2) AS BIGINT) AS y, CAST(floor(x / 2) AS BIGINT) AS x, round(avg(v), 4) AS v FROM smooth GROUP BY 1, 2, 3, 4")
 def _(v):
-    return X.pyramid(v.pixels, 2).where("level = 1").select(*PX, R("v", 4))
+    return X.pyramid(v.pixels, 2, 32, 32, tile=16).where("level = 1").select(*PX, R("v", 4))
 
 
 def sampled(places: str, border: bool = False) -> str:
@@ -114,28 +117,28 @@ ALL = f"(SELECT DISTINCT image_id, channel FROM pixels) i, {grid(32, 32, 'ty', '
 
 @book.query("r4_resample", f"WITH {sampled('SELECT image_id, channel, ty, tx, least(greatest((ty + 0.5e0) * (32 / 20e0) - 0.5e0, 0), 31) AS sy, least(greatest((tx + 0.5e0) * (32 / 24e0) - 0.5e0, 0), 31) AS sx FROM (SELECT DISTINCT image_id, channel FROM pixels) i, ' + grid(20, 24, 'ty', 'tx') + ' g')} SELECT image_id, channel, y, x, v FROM got")
 def _(v):
-    return X.resample(v.pixels, 32, 32, 20, 24).select(*PX, R("v", 4))
+    return X.resample(v.pixels, 32, 32, 20, 24, tile=16).select(*PX, R("v", 4))
 
 
 @book.query("r5_warp_affine", f"WITH {sampled('SELECT image_id, channel, ty, tx, 0.9e0 * tx - 0.2e0 * ty + 3.3e0 AS sx, 0.2e0 * tx + 0.9e0 * ty - 1.7e0 AS sy FROM ' + ALL)} SELECT image_id, channel, y, x, v FROM got")
 def _(v):
     m = v.pixels.select("image_id").distinct().withColumns({k: F.lit(x) for k, x in zip("abcdef", (0.9, -0.2, 3.3, 0.2, 0.9, -1.7))})
-    return X.warp_affine(v.pixels, m, 32, 32).select(*PX, R("v", 4))
+    return X.warp_affine(v.pixels, m, 32, 32, tile=16).select(*PX, R("v", 4))
 
 
 @book.query("r7_grid_sample_blocks", f"WITH {sampled('SELECT c.image_id AS image_id, channel, i AS ty, j AS tx, (gx + 1) / 2 * 31 AS sx, (gy + 1) / 2 * 31 AS sy FROM field f JOIN (SELECT DISTINCT image_id, channel FROM pixels) c ON f.image_id = c.image_id')} SELECT image_id, channel, y, x, v FROM got")
 def _(v):
-    return X.grid_sample(v.pixels, v.field, 32, 32, align_corners=True).select(*PX, R("v", 4))
+    return X.grid_sample(v.pixels, v.field, 32, 32, align_corners=True, tile=16).select(*PX, R("v", 4))
 
 
 @book.query("r6_warp_displacement", f"WITH {sampled('SELECT c.image_id AS image_id, channel, i AS ty, j AS tx, (((2 * j + 1) / 32e0 - 1 + gx + 1) * 32 - 1) / 2 AS sx, (((2 * i + 1) / 32e0 - 1 + gy + 1) * 32 - 1) / 2 AS sy FROM field f JOIN (SELECT DISTINCT image_id, channel FROM pixels) c ON f.image_id = c.image_id', True)} SELECT image_id, channel, y, x, v FROM got")
 def _(v):
-    return X.warp_displacement(v.pixels, v.field, 32, 32, border=True).select(*PX, R("v", 4))
+    return X.warp_displacement(v.pixels, v.field, 32, 32, border=True, tile=16).select(*PX, R("v", 4))
 
 
 @book.query("r6_warp_displacement_nearest", "WITH s AS (SELECT c.image_id AS image_id, channel, i, j, round_even((((2 * j + 1) / 32e0 - 1 + gx + 1) * 32 - 1) / 2, 0) AS sx, round_even((((2 * i + 1) / 32e0 - 1 + gy + 1) * 32 - 1) / 2, 0) AS sy FROM field f JOIN (SELECT DISTINCT image_id, channel FROM pixels) c ON f.image_id = c.image_id) SELECT s.image_id AS image_id, s.channel AS channel, i AS y, j AS x, coalesce(p.v, 0) AS v FROM s LEFT JOIN pixels p ON p.image_id = s.image_id AND p.channel = s.channel AND p.y = s.sy AND p.x = s.sx")
 def _(v):
-    return X.warp_displacement(v.pixels, v.field, 32, 32, mode="nearest").select(*PX, "v")
+    return X.warp_displacement(v.pixels, v.field, 32, 32, mode="nearest", tile=16).select(*PX, "v")
 
 
 @book.query("r8_grid_disp_convert", "SELECT image_id, i, j, round(gx - ((2 * j + 1) / 32e0 - 1), 6) AS gx, round(gy - ((2 * i + 1) / 32e0 - 1), 6) AS gy FROM field")
