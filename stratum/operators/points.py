@@ -122,6 +122,13 @@ def pixel_chain(transforms: DataFrame, plan: DataFrame, keys=("grp", "layer")) -
     return compose_steps(to_pixel_matrix(steps), keys)
 
 
+def source_matrix(plan: DataFrame, transforms: DataFrame, zoom: float = 1.0, keys=("grp", "layer")) -> DataFrame:
+    """a..f from aligned to raw coordinates: the way of ``landmarks_to_raw`` as one matrix per key, for warping images."""
+    met = invert_matrix(pixel_chain(transforms, plan, keys)).join(plan.select(*keys, "ratio", "pad_left", "pad_up"), list(keys))
+    scaled = {k: F.col("ratio") * F.col(k) for k in "abde"}
+    return met.withColumns(scaled | {"c": zoom * F.col("ratio") * (F.col("c") - F.col("pad_left")), "f": zoom * F.col("ratio") * (F.col("f") - F.col("pad_up"))}).select(*keys, *"abcdef")
+
+
 def landmarks_to_aligned(points: DataFrame, plan: DataFrame, transforms: DataFrame, zoom: float = 1.0, keys=("grp", "layer")) -> DataFrame:
     """Raw landmarks to aligned coordinates: zoom, pad, then all steps of the layer in one matrix, and back to the zoom."""
     scaled = points.withColumns({"x": F.col("x") / zoom, "y": F.col("y") / zoom})

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from . import tiles as T
+from .points import source_matrix
 
 KEYS = ("image_id", "channel")
 
@@ -118,6 +119,14 @@ def warp_affine(pixels: DataFrame, matrices: DataFrame, height: int, width: int,
     return T.to_pixels(T.warp_affine(stored(T.to_tiles(pixels, shape)), matrices, shape, fill=fill), shape)
 
 
+def warp_chain(pixels: DataFrame, plan: DataFrame, transforms: DataFrame, height: int, width: int, target: tuple[int, int], zoom: float = 1.0, fill: float = 0.0, tile: int = T.SIZE) -> DataFrame:
+    """Raw images in the aligned frame: the points' own chain (shrink, pad, all steps), composed and inverted, in a single
+    resampling. plan and transforms are per image_id; height and width are the raw images', target the aligned frame's."""
+    source, aligned = T.Shape(height, width, tile), T.Shape(*target, tile)
+    matrices = source_matrix(plan, transforms, zoom, ("image_id",))
+    return T.to_pixels(T.warp_affine(stored(T.to_tiles(pixels, source)), matrices, source, aligned, fill), aligned)
+
+
 def sampling_positions(field: DataFrame, height: int, width: int, align_corners: bool = False) -> DataFrame:
     """Pixel positions of a sampling grid in [-1, 1]. field: image_id, i, j, gx, gy."""
     at = lambda g, n: (F.col(g) + 1) / 2 * (n - 1) if align_corners else ((F.col(g) + 1) * n - 1) / 2

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics as Q
+from ..operators import points as P
 from ..operators import raster as X
 from ..operators import regions as G
 from ..operators import tiles as T
@@ -12,6 +13,7 @@ from ..operators import windows as N
 from ..session import stored
 from ..sources import tables as S
 from ..sources.views import Book
+from .points import MATRIX
 from .spatial import RING
 
 book = Book()
@@ -126,6 +128,25 @@ def _(v):
     return X.warp_affine(v.pixels, m, 32, 32, tile=16).select(*PX, R("v", 4))
 
 
+CHAIN_PLACES = f"""SELECT i.image_id AS image_id, channel, ty, tx, (e * (tx - c) - b * (ty - f)) / (a * e - b * d) - 4 AS sx, (a * (ty - f) - d * (tx - c)) / (a * e - b * d) - 4 AS sy
+    FROM (SELECT DISTINCT image_id, channel FROM pixels) i JOIN full_m m ON m.layer = i.image_id % 5 AND m.grp = CAST(floor(i.image_id / 5) AS BIGINT) % 5, {grid(40, 40, 'ty', 'tx')} g"""
+
+
+@book.query(
+    "r5_warp_chain",
+    f"""WITH {MATRIX.lstrip().removeprefix(",")}, px AS (SELECT grp, layer, step, a, b, (c - a - b + 1) * 20 AS c, d, e, (f - d - e + 1) * 20 AS f FROM mat),
+        m0 AS (SELECT * FROM px WHERE step = 0), m1 AS (SELECT * FROM px WHERE step = 1),
+        full_m AS (SELECT m0.grp AS grp, m0.layer AS layer, m1.a * m0.a + m1.b * m0.d AS a, m1.a * m0.b + m1.b * m0.e AS b, m1.a * m0.c + m1.b * m0.f + m1.c AS c,
+          m1.d * m0.a + m1.e * m0.d AS d, m1.d * m0.b + m1.e * m0.e AS e, m1.d * m0.c + m1.e * m0.f + m1.f AS f FROM m0 JOIN m1 ON m0.grp = m1.grp AND m0.layer = m1.layer),
+        {sampled(CHAIN_PLACES)} SELECT image_id, channel, y, x, v FROM got""",
+)
+def _(v):
+    slide = {"layer": F.col("image_id") % 5, "grp": F.floor(F.col("image_id") / 5) % 5}
+    images = v.pixels.select("image_id").distinct().withColumns({"height": F.lit(32), "width": F.lit(32)} | slide)
+    steps = v.transforms.join(images.select("image_id", "grp", "layer"), ["grp", "layer"])
+    return X.warp_chain(v.pixels, P.pad_plan(images, "grp", 40), steps, 32, 32, (40, 40), tile=16).select(*PX, R("v", 4))
+
+
 @book.query("r7_grid_sample_blocks", f"WITH {sampled('SELECT c.image_id AS image_id, channel, i AS ty, j AS tx, (gx + 1) / 2 * 31 AS sx, (gy + 1) / 2 * 31 AS sy FROM field f JOIN (SELECT DISTINCT image_id, channel FROM pixels) c ON f.image_id = c.image_id')} SELECT image_id, channel, y, x, v FROM got")
 def _(v):
     return X.grid_sample(v.pixels, v.field, 32, 32, align_corners=True, tile=16).select(*PX, R("v", 4))
