@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_folder, ship_package, stored
 
-__all__ = ["arrow_schema", "key_id", "map_batches", "map_rows", "shared_folder", "slices", "stored", "table", "word_list"]
+__all__ = ["arrow_schema", "discard", "key_id", "map_batches", "map_rows", "shared_folder", "slices", "stored", "table", "word_list"]
 
 #: Rows turned into Python objects at a time, so that a batch of long texts stays small.
 SLICE_ROWS = 256
@@ -28,6 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of shared_folder whose rows have been read for the last time."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def key_id(column: str = "doc_id"):
     """doc_id for equi-joins: a null id takes the smallest long, which no table uses."""
     return F.coalesce(F.col(column).cast("long"), F.lit(-(2**63)))
