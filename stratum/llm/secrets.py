@@ -5,8 +5,10 @@ dropped after matching. The method looks at every part of a run of ``[A-Za-z0-9+
 that has ``MIN_LENGTH`` characters or more: two first-order character models, one trained on labelled random strings and
 one on labelled ordinary identifiers, give a log-likelihood ratio per character. A part above the threshold is added as
 kind ``markov``; of another part, the stretch between separators that exceeds the threshold most in sum is added, and
-what is left on its two sides is searched again. The threshold lies above the best stretches of a share ``QUANTILE`` of
-the held-out ordinary identifiers by ``MARGIN``.
+what is left on its two sides is searched again. Counts are smoothed by back-off, so that few samples do. The threshold
+lies midway between the best stretches of a share ``QUANTILE`` of the held-out ordinary identifiers and the scores that a
+share ``RANDOM_SHARE`` of the held-out random strings reach, at least ``MARGIN`` above the first. Each document's best
+ratio (the highest score of an uncovered part or added stretch) is reported, so that the method shows where it adds none.
 
 Training takes labelled samples from a table (sample, is_random), at most ``SAMPLE_WORDS`` of each label (those that hash
 lowest). Without such a table it reads the whole texts of at most ``SAMPLE_DOCS`` documents (those whose id hashes
@@ -33,7 +35,8 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "markov")
-MIN_LENGTH, MARGIN, QUANTILE, SAMPLE_DOCS, SAMPLE_WORDS, SEED = 16, 0.15, 0.995, 400, 40_000, 7
+MIN_LENGTH, MARGIN, QUANTILE, RANDOM_SHARE, SAMPLE_DOCS, SAMPLE_WORDS, SEED = 16, 0.15, 0.995, 0.99, 400, 40_000, 7
+BACK_OFF, PRIOR = 2.0, 0.5
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 _CODE = np.full(256, -1, dtype=np.int64)
 _CODE[np.frombuffer(ALPHABET.encode(), dtype=np.uint8)] = np.arange(len(ALPHABET))
@@ -41,30 +44,37 @@ _RUNS = bytes(b if _CODE[b] >= 0 else 32 for b in range(256))
 _EDGES = b"+/_.=-"
 _PIECE = re.compile(rb"[^+/_.=-]+")
 
-REPORT = "doc_id long, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string"
+REPORT = "doc_id long, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string, best_ratio double"
 
 
 class MarkovModel:
-    """First-order character model over ALPHABET with add-one counts; log probabilities of transitions."""
+    """First-order character model over ALPHABET: transitions drawn towards the characters' own shares, those towards equal
+    shares. ``BACK_OFF`` and ``PRIOR`` are the counts that the drawing is worth."""
 
     def __init__(self, samples: list[str]):
         size = len(ALPHABET)
-        counts = np.ones((size, size))
+        counts = np.zeros((size, size))
+        single = np.full(size, PRIOR)
         for s in samples:
             codes = _CODE[np.frombuffer(s.encode(), dtype=np.uint8)]
             codes = codes[codes >= 0]
             np.add.at(counts, (codes[:-1], codes[1:]), 1)
-        self.log = np.log(counts / counts.sum(axis=1, keepdims=True))
+            np.add.at(single, codes, 1)
+        self.log = np.log((counts + BACK_OFF * single / single.sum()) / (counts.sum(axis=1, keepdims=True) + BACK_OFF))
 
 
 class RandomnessModel:
-    """Log-likelihood ratio per character of random strings against ordinary identifiers."""
+    """Log-likelihood ratio per character of random strings against ordinary identifiers. Every fifth sample of each label
+    is held out; the threshold is the middle between what almost all held-out ordinary samples stay below and what almost
+    all held-out random ones reach, but never within ``margin`` of the ordinary ones."""
 
     def __init__(self, random_strings: list[str], ordinary: list[str], margin: float = MARGIN):
-        held = [s for i, s in enumerate(ordinary) if i % 5 == 0]
-        self.ratio = MarkovModel(random_strings).log - MarkovModel([s for i, s in enumerate(ordinary) if i % 5]).log
-        best = [self.best_stretch(s.encode()) for s in held if len(s) >= MIN_LENGTH]
-        self.threshold = max(0.25, float(np.quantile(best, QUANTILE)) + margin if best else 0.25)
+        held = [[s for i, s in enumerate(x) if i % 5 == 0 and len(s) >= MIN_LENGTH] for x in (random_strings, ordinary)]
+        self.ratio = MarkovModel([s for i, s in enumerate(random_strings) if i % 5]).log - MarkovModel([s for i, s in enumerate(ordinary) if i % 5]).log
+        high = [self.score(s.encode()) for s in held[0]]
+        low = [x for x in (self.best_stretch(s.encode()) for s in held[1]) if np.isfinite(x)]
+        least, most = float(np.quantile(high, 1 - RANDOM_SHARE)) if high else np.inf, float(np.quantile(low, QUANTILE)) if low else 0.0
+        self.threshold = max(most + margin, (most + least) / 2) if high else most + 2 * margin
 
     def score(self, run: bytes) -> float:
         codes = _CODE[np.frombuffer(run, dtype=np.uint8)]
@@ -172,10 +182,15 @@ def _uncovered(start: int, end: int, base: list[tuple[int, int]]) -> list[tuple[
 
 def find_spans(data: bytes | None, model: RandomnessModel | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all spans in code points, by start, then kind."""
+    return scan_text(data, model)[0]
+
+
+def scan_text(data: bytes | None, model: RandomnessModel | None) -> tuple[list[tuple[int, int, str]], float | None]:
+    """The spans of ``find_spans``, and the best ratio (None if no uncovered part is long enough)."""
     if not data:
-        return []
+        return [], None
     spans: list[tuple[int, int, str]] = []
-    text = data.decode()
+    text, best = data.decode(), None
     if b"=" in data or b":" in data:
         spans += [(*m.span(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     runs: list[tuple[int, bytes]] = []
@@ -194,8 +209,11 @@ def find_spans(data: bytes | None, model: RandomnessModel | None) -> list[tuple[
                 part = run[low - start : high - start]
                 core = part.strip(_EDGES)
                 low += len(part) - len(part.lstrip(_EDGES))
-                spans += [(low + a, low + b, "markov") for a, b in model.stretches(core)]
-    return sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
+                found = model.stretches(core)
+                spans += [(low + a, low + b, "markov") for a, b in found]
+                if len(core) >= MIN_LENGTH:
+                    best = max([*(model.score(core[a:b]) for a, b in found), model.score(core), *([] if best is None else [best])])
+    return sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]), x[1])), best
 
 
 def _joined(spans) -> str:
@@ -211,9 +229,9 @@ def secret_scan(docs: DataFrame, model: RandomnessModel | None = None) -> DataFr
 
         def each(ids, texts):
             for doc_id, text in zip(ids, texts):
-                spans = find_spans(text, known)
+                spans, best = scan_text(text, known)
                 n = [sum(s[2] == kind for s in spans) for kind in KINDS]
-                yield doc_id, *n, hashlib.sha256(_joined(s for s in spans if s[2] != "markov").encode()).hexdigest(), _joined(spans)
+                yield doc_id, *n, hashlib.sha256(_joined(s for s in spans if s[2] != "markov").encode()).hexdigest(), _joined(spans), best
 
         return each
 

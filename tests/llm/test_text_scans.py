@@ -226,3 +226,16 @@ def test_secret_model_of_labelled_samples(spark):
     model = secrets.train(docs_of(spark, []), samples=samples)
     assert sum(model.score(x.encode()) > model.threshold for x in secrets.random_samples(200, seed=99)) >= 190
     assert not model.stretches(b"compute_running_average_values")
+    told = [w for w, random in rows if random is False]
+    assert not any(model.stretches(w.encode()) for w in told)
+    fresh = secrets.ordinary_samples([b"compute", b"running", b"average", b"values", b"source", b"table"], seed=31)
+    assert not any(model.stretches(w.encode()) for w in fresh)
+
+
+def test_best_ratio_shows_the_method(spark):
+    key = secrets.random_samples(1, seed=5)[0]
+    model = secrets.RandomnessModel(secrets.random_samples(800), secrets.ordinary_samples([b"compute", b"running", b"average", b"values"] * 4))
+    rows = {r.doc_id: r for r in secrets.secret_scan(docs_of(spark, [(1, f"see {key} there"), (2, "see compute_running_average_values there"), (3, "short"), (4, None)]), model).collect()}
+    assert rows[1].n_markov == 1 and rows[1].best_ratio > model.threshold
+    assert rows[2].n_markov == 0 and rows[2].best_ratio <= model.threshold
+    assert rows[3].best_ratio is None and rows[4].best_ratio is None
