@@ -194,8 +194,11 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, mode: str = "span
     if _small(benchmark, broadcast_chars):
         index, rows = _broadcast_index(benchmark, window), docs
     else:
-        hits = _shuffled_hits(docs, benchmark, window).select(F.col("key").alias("_hit_key"), F.col("spans").alias("_hit_spans"))
-        index, rows = None, docs.withColumn("_row_key", _row_key()).join(hits, F.col("_row_key") == F.col("_hit_key"), "left").select(*[docs[c] for c in names], "_hit_spans")
+        spans = "spans"  # a name that no column of docs has
+        while spans.lower() in {c.lower() for c in names}:
+            spans += "_"
+        hits = _shuffled_hits(docs, benchmark, window).select("key", F.col("spans").alias(spans))
+        index, rows = None, docs.select(F.struct("*").alias("row"), _row_key().alias("key")).join(hits, "key", "left").select(*[F.col(f"row.`{c}`") for c in names], spans)
 
     def run(batches):
         import pyarrow as pa

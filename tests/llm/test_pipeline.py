@@ -6,6 +6,7 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from test_tokens import check_packing
 
@@ -146,3 +147,18 @@ def test_stages_on_empty_tables_and_clashing_columns(spark, sf_dir):
         out = stage(spark, docs, sf_dir)
         assert out.count() == 0, name
         docs = out if name != "best-fit packing" else docs
+
+
+@pytest.mark.parametrize("broadcast_chars", [0, 1 << 20])
+def test_removal_with_clashing_columns(spark, broadcast_chars):
+    """Both ways of finding hits, on documents whose columns have the names that the operator might use."""
+    passage = " ".join(f"bench{i}" for i in range(12))
+    rows = [(1, f"before {passage} after some more words that stay here and there in the text as it was before it came"), (2, passage), (3, "clean"), (4, None), (None, "clean too")]
+    names = ("key", "spans", "spans_", "row", "_hit_key", "_hit_spans", "_row_key", "item", "h", "k", "i")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit(n) for n in names})
+    benchmark = spark.createDataFrame([(7, passage, "x", 1)], "item_id long, text string, key string, h int")
+    out = decontaminate.remove_contaminated(docs, benchmark, broadcast_chars=broadcast_chars)
+    assert out.columns == docs.columns
+    found = {r.doc_id: r for r in out.collect()}
+    assert set(found) == {1, 3, 4, None} and "bench" not in found[1].text and found[1].text.split()[:2] == ["before", "after"]
+    assert all(found[3][n] == n for n in names)
