@@ -111,12 +111,64 @@ def region_rows(components: DataFrame, least_area: int) -> DataFrame:
     return components.groupBy("image_id", "comp").agg(F.count("*").alias("area"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.avg("x").alias("cx"), F.avg("y").alias("cy")).where(F.col("area") >= least_area)
 
 
+def disc_spans(points: DataFrame, radius: int, keys=("grp",)) -> DataFrame:
+    """Runs of pixels of discs around points: keys, y, x0, x1 (inclusive), order (the id), label."""
+    rows = points.withColumn("dy", F.explode(F.sequence(F.lit(-radius), F.lit(radius))))
+    half = F.floor(F.sqrt(F.lit(radius * radius) - F.col("dy") ** 2)).cast("long")
+    return rows.select(*keys, (F.floor("y") + F.col("dy")).alias("y"), (F.floor("x") - half).alias("x0"), (F.floor("x") + half).alias("x1"), F.col("id").alias("order"), "label")
+
+
+def polygon_spans(shapes: DataFrame, height: int, keys=("grp",), all_touched: bool = False) -> DataFrame:
+    """Runs of pixels inside polygons, by scan lines: keys, y, x0, x1 (inclusive), order, label. shapes: keys, ring, order,
+    label.
+
+    A row's crossings with the sides, at the height of its pixels' centres, are sorted; from each odd one to the next the
+    centres lie inside (the left end counts, the right one does not; rings that cross themselves alternate). all_touched
+    adds the pixels that a side passes through (their squares with the border). Rings need three corners or more; rows
+    outside 0 .. height - 1 are left out."""
+    from .spatial import ring_edges
+
+    ys = F.transform("ring", lambda p: p["y"])
+    first = F.ceil(F.array_min(ys)) - 1 if all_touched else F.floor(F.array_min(ys))
+    reach = F.sequence(F.greatest(first, F.lit(0)), F.least(F.floor(F.array_max(ys)), F.lit(height - 1)))
+    seen = (F.size("ring") >= 3) & (F.array_max(ys) >= 0) & (F.array_min(ys) <= height if all_touched else F.array_min(ys) < height)
+    rows = shapes.where(seen).select(*keys, "order", "label", ring_edges(F.col("ring")).alias("sides"), F.explode(reach).alias("y"))
+    mid, top, low = F.col("y") + 0.5, F.col("y").cast("double"), F.col("y") + 1.0
+    at = lambda e, y: (e["x1"] - e["x0"]) * (y - e["y0"]) / (e["y1"] - e["y0"]) + e["x0"]
+    crossings = F.array_sort(F.transform(F.filter("sides", lambda e: (e["y0"] > mid) != (e["y1"] > mid)), lambda e: at(e, mid)))
+    rows = rows.withColumn("c", crossings)
+    pairs = F.when(F.size("c") >= 2, F.transform(F.sequence(F.lit(1), F.size("c") - 1, F.lit(2)), lambda i: F.struct(F.ceil(F.get("c", i - 1) - 0.5).alias("x0"), (F.ceil(F.get("c", i) - 0.5) - 1).alias("x1")))).otherwise(F.array().cast("array<struct<x0:bigint,x1:bigint>>"))
+    if all_touched:
+        meets = F.filter("sides", lambda e: (F.least(e["y0"], e["y1"]) <= low) & (F.greatest(e["y0"], e["y1"]) >= top))
+        cut = lambda e, y: F.when(e["y0"] == e["y1"], F.lit(None)).otherwise(at(e, F.greatest(F.least(y, F.greatest(e["y0"], e["y1"])), F.least(e["y0"], e["y1"]))))
+        left = lambda e: F.coalesce(F.least(cut(e, top), cut(e, low)), F.least(e["x0"], e["x1"]))
+        right = lambda e: F.coalesce(F.greatest(cut(e, top), cut(e, low)), F.greatest(e["x0"], e["x1"]))
+        pairs = F.concat(pairs, F.transform(meets, lambda e: F.struct((F.ceil(left(e)) - 1).alias("x0"), F.floor(right(e)).alias("x1"))))
+    return rows.select(*keys, "y", "order", "label", F.explode(pairs).alias("s")).where("s.x0 <= s.x1").select(*keys, "y", F.col("s.x0").alias("x0"), F.col("s.x1").alias("x1"), "order", "label")
+
+
+def burnt(spans: DataFrame, width: int, height: int, keys=("grp",)) -> DataFrame:
+    """A label raster (keys, y, x, label; no row is background) of runs of pixels; the highest order wins, of equal ones
+    the greatest label. Only runs are shuffled: a row's pixels are made where its runs meet."""
+    inside = spans.where((F.col("y") >= 0) & (F.col("y") < height) & (F.col("x1") >= 0) & (F.col("x0") < width))
+    rows = inside.repartition(*keys, "y").withColumn("x", F.explode(F.sequence(F.greatest("x0", F.lit(0)).cast("long"), F.least("x1", F.lit(width - 1)).cast("long"))))
+    return rows.groupBy(*keys, "y", "x").agg(F.max(F.struct("order", "label")).alias("m")).select(*keys, "y", "x", F.col("m.label").alias("label"))
+
+
 def rasterize_points(points: DataFrame, radius: int, width: int, height: int, keys=("grp",)) -> DataFrame:
     """Discs around points burnt to a label raster; the later point (by id) wins. points: keys, id, x, y, label."""
-    reach = F.sequence(F.lit(-radius), F.lit(radius))
-    cells = points.withColumn("dy", F.explode(reach)).withColumn("dx", F.explode(reach)).where(F.col("dx") ** 2 + F.col("dy") ** 2 <= radius * radius)
-    placed = cells.select(*keys, (F.floor("x") + F.col("dx")).alias("x"), (F.floor("y") + F.col("dy")).alias("y"), "id", "label").where((F.col("x") >= 0) & (F.col("x") < width) & (F.col("y") >= 0) & (F.col("y") < height))
-    return placed.groupBy(*keys, "y", "x").agg(F.max_by("label", "id").alias("label"))
+    return burnt(disc_spans(points, radius, keys), width, height, keys)
+
+
+def rasterize_shapes(points: DataFrame | None, polygons: DataFrame | None, radius: int, width: int, height: int, keys=("grp",), all_touched: bool = False) -> DataFrame:
+    """Discs (keys, x, y, label) and polygons (keys, ring, label) burnt to one label raster in the order of their column
+    ``order``, whichever kind they are."""
+    parts = []
+    if points is not None:
+        parts.append(disc_spans(points.withColumn("id", F.col("order")), radius, keys))
+    if polygons is not None:
+        parts.append(polygon_spans(polygons, height, keys, all_touched).select(*keys, "y", "x0", "x1", "order", "label"))
+    return burnt(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), width, height, keys)
 
 
 def label_regions(cells: DataFrame, radius: int, scale: float, least_area: int, size: int, key: str = "grp") -> DataFrame:
@@ -124,11 +176,11 @@ def label_regions(cells: DataFrame, radius: int, scale: float, least_area: int,
     from .raster import canvas, morphology
 
     small = cells.select(key, "id", (F.col("x") / scale).alias("x"), (F.col("y") / scale).alias("y"), "label")
-    burnt = rasterize_points(small, radius, size, size, (key,))
-    labels = burnt.select(key, "label").distinct()
+    discs = rasterize_points(small, radius, size, size, (key,))
+    labels = discs.select(key, "label").distinct()
     numbered = labels.withColumn("image_id", F.dense_rank().over(W.orderBy(key, "label")).cast("long"))  # a row per label
     grid = canvas(numbered, size, size, ("image_id",)).select("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"))
-    on = burnt.join(numbered, [key, "label"]).select("image_id", "y", "x", F.lit(1).alias("v"))
+    on = discs.join(numbered, [key, "label"]).select("image_id", "y", "x", F.lit(1).alias("v"))
     mask = morphology(grid.join(on, ["image_id", "y", "x"], "left").na.fill(0, ["v"]), 3, "close")
     return region_rows(raster_components(mask, eight=True), least_area).join(numbered, "image_id").drop("image_id", "comp")
 

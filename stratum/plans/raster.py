@@ -407,6 +407,23 @@ def _(v):
     return G.rasterize_points(ids(v.cells).withColumns({"x": F.col("x") / 10, "y": F.col("y") / 10}), 2, 100, 100).select("grp", "y", "x", "label")
 
 
+@book.query(
+    "k11_rasterize_polygons",
+    f"""WITH {RING},
+       discs AS (SELECT grp, CAST(floor(y / 10) + dy AS BIGINT) AS y, CAST(floor(x / 10) + dx AS BIGINT) AS x, cell_id % 200 AS o, label FROM cells, (SELECT unnest(range(-2, 3)) AS dx), (SELECT unnest(range(-2, 3)) AS dy) WHERE dx * dx + dy * dy <= 4),
+       hit AS (SELECT s.grp AS grp, g.y AS y, g.x AS x, shape_id % 200 AS o, 'shape ' || shape_id AS label FROM {grid(100, 100)} g, sides s GROUP BY s.grp, g.y, g.x, shape_id
+               HAVING count(*) FILTER (WHERE (s.y0 / 10 > g.y + 0.5e0) <> (s.y1 / 10 > g.y + 0.5e0) AND g.x + 0.5e0 < (s.x1 / 10 - s.x0 / 10) * (g.y + 0.5e0 - s.y0 / 10) / (s.y1 / 10 - s.y0 / 10) + s.x0 / 10) % 2 = 1)
+       SELECT grp, y, x, max_by(label, (o, label)) AS label FROM (SELECT * FROM discs UNION ALL SELECT * FROM hit) WHERE y BETWEEN 0 AND 99 AND x BETWEEN 0 AND 99 GROUP BY 1, 2, 3""",
+)
+def _(v):
+    from ..operators.spatial import with_ring
+
+    points = v.cells.select("grp", (F.col("cell_id") % 200).alias("order"), (F.col("x") / 10).alias("x"), (F.col("y") / 10).alias("y"), "label")
+    ring = F.transform("ring", lambda p: F.struct((p["x"] / 10).alias("x"), (p["y"] / 10).alias("y")))
+    polygons = with_ring(v.shapes).select("grp", (F.col("shape_id") % 200).alias("order"), ring.alias("ring"), F.concat(F.lit("shape "), F.col("shape_id").cast("string")).alias("label"))
+    return G.rasterize_shapes(points, polygons, 2, 100, 100).select("grp", "y", "x", "label")
+
+
 @book.query(
     "k10_region_signal",
     f"""WITH {RING},
