@@ -66,21 +66,21 @@ def inverse_grid_lookup(points: DataFrame, field: DataFrame, width: int, height:
     return met.withColumns({"x": F.coalesce((F.col("gx") + 1) / 2 * width, F.lit(-1.0)), "y": F.coalesce((F.col("gy") + 1) / 2 * height, F.lit(-1.0))}).select(*points.columns)
 
 
-def warp_by_grid(landmarks: DataFrame, field: DataFrame, height: int, width: int, keys=("image_id",), cell: float = 0.1) -> DataFrame:
+def warp_by_grid(landmarks: DataFrame, field: DataFrame, height: int, width: int, keys=("image_id",)) -> DataFrame:
     """For a landmark in [0, 1] the centre of the cell whose sampling position is nearest to 2 p - 1; ties: lowest flat
     index. landmarks: keys, id, x, y; field: keys, i, j, gx, gy."""
-    from .spatial import knn_join
+    from .nearest import knn_join
 
     wanted = landmarks.withColumns({"x": 2 * F.col("x") - 1, "y": 2 * F.col("y") - 1})
     flat = field.select(*keys, (F.col("i") * width + F.col("j")).alias("id"), F.col("gx").alias("x"), F.col("gy").alias("y"))
-    near = knn_join(wanted, flat, 1, cell, keys)
+    near = knn_join(wanted, flat, 1, keys)
     return near.select(*keys, F.col("id_a").alias("id"), ((F.col("id_b") % width + 0.5) / width).alias("x"), ((F.floor(F.col("id_b") / width) + 0.5) / height).alias("y"))
 
 
-def knn_mean_lookup(queries: DataFrame, moving: DataFrame, fixed: DataFrame, k: int, cell: float, keys=("grp",)) -> DataFrame:
+def knn_mean_lookup(queries: DataFrame, moving: DataFrame, fixed: DataFrame, k: int, keys=("grp",)) -> DataFrame:
     """Mean position of the k nearest moving points, and of the fixed points with the same ids."""
-    from .spatial import knn_join
+    from .nearest import knn_join
 
-    near = knn_join(queries, moving, k, cell, keys)
+    near = knn_join(queries, moving, k, keys)
     met = near.join(fixed.select(*keys, F.col("id").alias("id_b"), F.col("x").alias("fx"), F.col("y").alias("fy")), [*keys, "id_b"], "left")
     return met.groupBy(*keys, F.col("id_a").alias("id")).agg(F.avg("xb").alias("mx"), F.avg("yb").alias("my"), F.coalesce(F.avg("fx"), F.lit(0.0)).alias("fx"), F.coalesce(F.avg("fy"), F.lit(0.0)).alias("fy"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 
-from .spatial import knn_join
+from .nearest import knn_join
 
 
 def adjacent_layers(points: DataFrame, k: int = 1, keys=("grp",), ident: str = "kpt_id") -> DataFrame:
@@ -111,11 +111,11 @@ def crop_around(rows: DataFrame, size: int, width: int, height: int) -> DataFram
     return rows.withColumns({"x0": at("x", width), "y0": at("y", height)}).withColumns({"x1": F.col("x0") + size, "y1": F.col("y0") + size})
 
 
-def cell_match_candidates(fixed: DataFrame, moving: DataFrame, kpts: DataFrame, k: int = 5, share: float = 0.6, cell: float = 64.0, keys=("grp",)) -> DataFrame:
+def cell_match_candidates(fixed: DataFrame, moving: DataFrame, kpts: DataFrame, k: int = 5, share: float = 0.6, keys=("grp",)) -> DataFrame:
     """Cells of two layers whose k nearest keypoints overlap in share * k or more; score: mean absolute difference of their
     displacements to the shared keypoints. kpts: keys, id, xf, yf, xm, ym. Cells meet through keypoints only."""
-    near_f = knn_join(fixed, kpts.select(*keys, "id", F.col("xf").alias("x"), F.col("yf").alias("y")), k, cell, keys).select(*keys, F.col("id_a").alias("f"), F.col("id_b").alias("kpt"), (F.col("xa") - F.col("xb")).alias("fx"), (F.col("ya") - F.col("yb")).alias("fy"))
-    near_m = knn_join(moving, kpts.select(*keys, "id", F.col("xm").alias("x"), F.col("ym").alias("y")), k, cell, keys).select(*keys, F.col("id_a").alias("m"), F.col("id_b").alias("kpt"), (F.col("xa") - F.col("xb")).alias("mx"), (F.col("ya") - F.col("yb")).alias("my"))
+    near_f = knn_join(fixed, kpts.select(*keys, "id", F.col("xf").alias("x"), F.col("yf").alias("y")), k, keys).select(*keys, F.col("id_a").alias("f"), F.col("id_b").alias("kpt"), (F.col("xa") - F.col("xb")).alias("fx"), (F.col("ya") - F.col("yb")).alias("fy"))
+    near_m = knn_join(moving, kpts.select(*keys, "id", F.col("xm").alias("x"), F.col("ym").alias("y")), k, keys).select(*keys, F.col("id_a").alias("m"), F.col("id_b").alias("kpt"), (F.col("xa") - F.col("xb")).alias("mx"), (F.col("ya") - F.col("yb")).alias("my"))
     met = near_f.join(near_m, [*keys, "kpt"]).groupBy(*keys, "f", "m").agg(F.count("*").alias("shared"), F.avg((F.abs(F.col("fx") - F.col("mx")) + F.abs(F.col("fy") - F.col("my"))) / 2).alias("score"))
     return met.where(F.col("shared") >= share * k)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import stored
+from .nearest import knn_join
 
 
 def distance(x0: str, y0: str, x1: str, y1: str) -> Column:
@@ -43,32 +43,6 @@ def knn_within(left: DataFrame, right: DataFrame, k: int, radius: float, keys=("
     return near.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
 
 
-def knn_join(left: DataFrame, right: DataFrame, k: int, cell: float, keys=("grp",), other: bool = False) -> DataFrame:
-    """The k nearest right points of each left point, any distance. Searches rings of buckets: a point is settled when its
-    k-th distance is within the searched border; the others go on with twice the bucket size until none is open, at the
-    latest when the border spans both sides' extent. Points without finite coordinates have no neighbours."""
-    finite = lambda c: F.abs(F.col(c)) < float("inf")
-    left, right = left.where(finite("x") & finite("y")), right.where(finite("x") & finite("y"))
-    open_points, done = left.select(*keys, "id", "x", "y"), None
-    need = F.least(F.lit(k), F.col("_have") - (1 if other else 0))
-    sizes = right.groupBy(*keys).agg(F.count("*").alias("_have"))
-    open_points = open_points.join(sizes, list(keys)).where(need > 0)
-    reach = [points.agg(F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("m")).first()["m"] or 1.0 for points in (left, right)]
-    size = float(cell)
-    while True:
-        found = stored(knn_within(open_points, right, k, size, keys, other))
-        complete = found.groupBy(*keys, F.col("id_a").alias("id")).agg(F.count("*").alias("_n")).join(open_points, [*keys, "id"]).where(F.col("_n") >= need).select(*keys, "id")
-        part = found.join(complete.withColumnRenamed("id", "id_a"), [*keys, "id_a"], "left_semi")
-        done = part if done is None else done.unionByName(part)
-        if size > 4 * max(reach):
-            break
-        open_points = stored(open_points.join(complete, [*keys, "id"], "left_anti"))
-        if open_points.isEmpty():
-            break
-        size *= 2
-    return done
-
-
 def with_ring(shapes: DataFrame) -> DataFrame:
     """Hexagons around (cx, cy) with half axes rx, ry, as arrays of points."""
     corner = lambda dx, dy: F.struct((F.col("cx") + dx * F.col("rx")).alias("x"), (F.col("cy") + dy * F.col("ry")).alias("y"))
@@ -194,9 +168,9 @@ def box_iou(boxes: DataFrame, cell: float, keys=("grp",)) -> DataFrame:
     return pairs.withColumn("inter", inter).where("inter > 0").select(*keys, F.col("a_box_id").alias("i"), F.col("b_box_id").alias("j"), (F.col("inter") / (area("a") + area("b") - F.col("inter") + 1e-6)).alias("iou"), F.least("a_x0", "b_x0").alias("x0"), F.least("a_y0", "b_y0").alias("y0"), F.greatest("a_x1", "b_x1").alias("x1"), F.greatest("a_y1", "b_y1").alias("y1"))
 
 
-def knn_density(cells: DataFrame, k: int = 10, cell: float = 60.0, cap: float = 60.0, keys=("grp",)) -> DataFrame:
+def knn_density(cells: DataFrame, k: int = 10, cap: float = 60.0, keys=("grp",)) -> DataFrame:
     """Mean distance to the k nearest other points, at most cap."""
-    near = knn_join(cells, cells, k, cell, keys, other=True)
+    near = knn_join(cells, cells, k, keys, other=True)
     return near.groupBy(*keys, F.col("id_a").alias("id")).agg(F.least(F.avg("distance"), F.lit(cap)).alias("density"))
 
 

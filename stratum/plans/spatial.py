@@ -35,7 +35,7 @@ D = "sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2))"
         FROM cells a JOIN targets b ON a.grp = b.grp) SELECT grp, id_a, id_b, round(distance, 5) AS distance, rank FROM d WHERE rank <= 5""",
 )
 def _(v):
-    return K.knn_join(ids(v.cells), ids(v.targets), 5, 60.0).select("grp", "id_a", "id_b", R("distance"), L("rank"))
+    return K.knn_join(ids(v.cells), ids(v.targets), 5).select("grp", "id_a", "id_b", R("distance"), L("rank"))
 
 
 @book.query(
@@ -54,7 +54,7 @@ def _(v):
 )
 def _(v):
     fixed = ids(v.targets).withColumns({"x": F.col("x") + 2, "y": F.col("y") - 1})
-    return A.knn_mean_lookup(ids(v.cells), ids(v.targets), fixed, 5, 60.0).select("grp", "id", *[R(c, 4) for c in ("mx", "my", "fx", "fy")])
+    return A.knn_mean_lookup(ids(v.cells), ids(v.targets), fixed, 5).select("grp", "id", *[R(c, 4) for c in ("mx", "my", "fx", "fy")])
 
 
 @book.query("k15_radius_join", f"SELECT a.grp AS grp, a.cell_id AS id_a, b.cell_id AS id_b, round({D}, 5) AS distance FROM cells a JOIN targets b ON a.grp = b.grp WHERE {D} < 25")

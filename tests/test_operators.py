@@ -29,7 +29,7 @@ def plan(df):
 def test_knn_equals_brute_force(spark):
     a, b = cloud(spark, 60, 1), cloud(spark, 90, 2)
     found = {}
-    for r in spatial.knn_join(a, b, 4, 10.0).collect():
+    for r in spatial.knn_join(a, b, 4).collect():
         found.setdefault(r.id_a, []).append((r.distance, r.id_b))
     right = [(r.id, r.x, r.y) for r in b.collect()]
     for r in a.collect():
@@ -42,14 +42,14 @@ def test_knn_of_far_and_sparse_points(spark):
     right = spark.createDataFrame([(0, i, float(i), 0.0) for i in range(10)], schema)
     left = spark.createDataFrame([(0, 1, 500.0, 0.0), (0, 2, -3e6, 4e6), (0, 3, 4.0, 1.0), (0, 4, None, 1.0), (0, 5, float("nan"), 1.0), (9, 6, 1.0, 1.0)], schema)
     found = {}
-    for r in spatial.knn_join(left, right, 2, 60.0).orderBy("id_a", "rank").collect():
+    for r in spatial.knn_join(left, right, 2).orderBy("id_a", "rank").collect():
         found.setdefault(r.id_a, []).append(r.id_b)
     assert found == {1: [9, 8], 2: [0, 1], 3: [4, 3]}
 
 
 def test_knn_with_fewer_points_than_k_and_empty_side(spark):
     a, b = cloud(spark, 5, 1), cloud(spark, 2, 2)
-    assert spatial.knn_join(a, b, 4, 10.0).count() == 10
+    assert spatial.knn_join(a, b, 4).count() == 10
     assert spatial.radius_join(a, b.where("false"), 50.0).count() == 0
 
 
