@@ -111,8 +111,9 @@ def image_similarity(met: DataFrame) -> DataFrame:
     )
 
 
-def multi_lag_loss(pixels: DataFrame, max_lag: int, n_layers: int) -> float | DataFrame:
-    """L1 of all pairs up to max_lag, summed and divided by the number of layers."""
+def multi_lag_loss(pixels: DataFrame, max_lag: int, n_layers: int | None = None) -> DataFrame:
+    """L1 of all pairs up to max_lag, summed and divided by the number of layers (counted unless given)."""
+    n_layers = n_layers or pixels.select("image_id").distinct().count() or 1
     shifted = pixels.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(max_lag)))).select((F.col("image_id") - F.col("lag")).alias("image_id"), "lag", "channel", "y", "x", F.col("v").alias("b"))
     met = pixels.join(shifted, ["image_id", "channel", "y", "x"])
     per_pair = met.groupBy("lag", "image_id").agg(F.avg(F.abs(F.col("v") - F.col("b"))).alias("l1"))

@@ -105,11 +105,11 @@ def _(v):
 
 @book.query(
     "k18_patch_assignment_join",
-    """WITH p AS (SELECT c_custkey % 3 AS image_id, c_custkey AS id, c_mktsegment AS label, CAST(round_even((c_custkey * 7 % 60) * 0.5e0 + 1, 0) AS BIGINT) AS cx, CAST(round_even((c_custkey * 11 % 60) * 0.5e0 + 1, 0) AS BIGINT) AS cy FROM customer)
+    """WITH p AS (SELECT image_id, c_custkey AS id, c_mktsegment AS label, CAST(round_even((c_custkey * 7 % 60) * 0.5e0 + 1, 0) AS BIGINT) AS cx, CAST(round_even((c_custkey * 11 % 60) * 0.5e0 + 1, 0) AS BIGINT) AS cy FROM visitors)
        SELECT p.image_id AS image_id, id, label, channel, round(avg(v), 5) AS mean FROM p JOIN pixels q ON p.image_id = q.image_id AND abs(q.x - cx) <= 2 AND abs(q.y - cy) <= 2 GROUP BY 1, 2, 3, 4""",
 )
 def _(v):
-    at = v.customer.select((F.col("c_custkey") % 3).alias("image_id"), F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("label"), (F.col("c_custkey") * 7 % 60).alias("x"), (F.col("c_custkey") * 11 % 60).alias("y"))
+    at = v.visitors.select("image_id", F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("label"), (F.col("c_custkey") * 7 % 60).alias("x"), (F.col("c_custkey") * 11 % 60).alias("y"))
     matrix = at.select("image_id").distinct().withColumns({k: F.lit(x) for k, x in zip("abcdef", (0.5, 0.0, 1.0, 0.0, 0.5, 1.0))})
     moved = P.transform_points(at, matrix, ("image_id",))
     return K.patch_mean(moved, v.pixels, 2, 32, 32).join(at.select("image_id", "id", "label"), ["image_id", "id"]).select("image_id", "id", "label", "channel", R("mean"))

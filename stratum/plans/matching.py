@@ -210,7 +210,7 @@ def _(v):
 
 @book.query("k14_greedy_assign", None)
 def _(v):
-    return M.greedy_assign(v.scores.where("score > 0.8").select(F.col("pair").alias("grp"), F.col("i").alias("f"), F.col("j").alias("m"), (1 - F.col("score")).alias("score"))).select("grp", "f", "m", R("score", 6))
+    return M.greedy_assign(v.scores.select(F.col("pair").alias("grp"), F.col("i").alias("f"), F.col("j").alias("m"), (1 - F.col("score")).alias("score"))).select("grp", "f", "m", R("score", 6))
 
 
 def nearest(side: str, cells: str, x: str, y: str) -> str:

@@ -87,9 +87,11 @@ def _(v):  # a flip of x is the same map as a flip of y and half a turn, which c
     return found.select("grp", "layer", "step", R("theta", 6), R("tx", 6), R("ty", 6), R("sx", 6), R("sy", 6), R("fx", 1), R("fy", 1))
 
 
-@book.query("p7_transform_points", f"WITH {MATRIX} SELECT p.grp AS grp, p.layer AS layer, kpt_id, round(a * x + b * y + c, 4) AS x, round(d * x + e * y + f, 4) AS y FROM points p JOIN mat m ON p.grp = m.grp AND p.layer = m.layer WHERE step = 0")
+@book.query("p7_transform_points", f"WITH {MATRIX} SELECT p.grp AS grp, p.layer AS layer, step, kpt_id, round(a * x + b * y + c, 4) AS x, round(d * x + e * y + f, 4) AS y FROM points p JOIN mat m ON p.grp = m.grp AND p.layer = m.layer")
 def _(v):
-    return P.transform_points(v.points, P.params_to_matrix(v.transforms.where("step = 0"))).select("grp", "layer", "kpt_id", R("x", 4), R("y", 4))
+    keys = ("grp", "layer", "step")
+    points = v.points.join(v.transforms.select(*keys), ["grp", "layer"])
+    return P.transform_points(points, P.params_to_matrix(v.transforms), keys).select(*keys, "kpt_id", R("x", 4), R("y", 4))
 
 
 @book.query("p8_landmarks_raw_to_aligned", f"WITH {ALIGNED} SELECT grp, layer, kpt_id, round(x, 3) AS x, round(y, 3) AS y FROM aligned")

@@ -341,9 +341,9 @@ def _(v):
     return X.overlap_average(tiles, 48, 48).select("image_id", "y", "x", R("dx"), R("dy"), "n")
 
 
-@book.query("a37_multi_lag_loss", "WITH l AS (SELECT a.image_id AS i, b.image_id - a.image_id AS lag, avg(abs(a.v - b.v)) AS l1 FROM pixels a JOIN pixels b ON b.image_id BETWEEN a.image_id + 1 AND a.image_id + 3 AND a.channel = b.channel AND a.y = b.y AND a.x = b.x GROUP BY 1, 2) SELECT round(sum(l1) / 14, 4) AS loss FROM l")
+@book.query("a37_multi_lag_loss", "WITH l AS (SELECT a.image_id AS i, b.image_id - a.image_id AS lag, avg(abs(a.v - b.v)) AS l1 FROM pixels a JOIN pixels b ON b.image_id BETWEEN a.image_id + 1 AND a.image_id + 3 AND a.channel = b.channel AND a.y = b.y AND a.x = b.x GROUP BY 1, 2) SELECT round(sum(l1) / (SELECT count(DISTINCT image_id) FROM pixels), 4) AS loss FROM l")
 def _(v):
-    return Q.multi_lag_loss(v.pixels, 3, 14).select(R("loss", 4))
+    return Q.multi_lag_loss(v.pixels, 3).select(R("loss", 4))
 
 
 @book.query("a46_border_background", "SELECT image_id, channel, round((avg(CASE WHEN y = 0 THEN v END) + avg(CASE WHEN y = 31 THEN v END) + avg(CASE WHEN x = 0 THEN v END) + avg(CASE WHEN x = 31 THEN v END)) / 4, 5) AS background FROM pixels GROUP BY 1, 2")
@@ -351,9 +351,9 @@ def _(v):
     return X.border_background(v.pixels, 32, 32).select("image_id", "channel", R("background"))
 
 
-@book.query("a43_coords_pivot", "SELECT x, avg(CASE WHEN y = 0 THEN v END) AS y0, avg(CASE WHEN y = 1 THEN v END) AS y1, avg(CASE WHEN y = 2 THEN v END) AS y2 FROM pixels WHERE channel = 0 GROUP BY x")
+@book.query("a43_coords_pivot", f"SELECT x, {', '.join(f'avg(CASE WHEN y = {y} THEN v END) AS y{y}' for y in range(32))} FROM pixels WHERE channel = 0 GROUP BY x")
 def _(v):
-    return X.coords_pivot(v.pixels.where("channel = 0"), [0, 1, 2])
+    return X.coords_pivot(v.pixels.where("channel = 0"), list(range(32)))
 
 
 @book.query("a15_label_mean_features", "SELECT p.image_id AS image_id, CAST(floor(p.v / 64) AS BIGINT) AS label, round(avg(q.v), 5) AS f1 FROM pixels p JOIN pixels q ON p.image_id = q.image_id AND p.y = q.y AND p.x = q.x AND q.channel = 1 WHERE p.channel = 0 AND floor(p.v / 64) > 0 GROUP BY 1, 2")

@@ -127,11 +127,11 @@ def _(v):
 
 @book.query(
     "k9_patch_mean",
-    """WITH p AS (SELECT c_custkey % 3 AS image_id, c_custkey AS id, CAST(round_even((c_custkey * 7 % 64) / 2.0, 0) AS BIGINT) AS cx, CAST(round_even((c_custkey * 11 % 64) / 2.0, 0) AS BIGINT) AS cy FROM customer)
+    """WITH p AS (SELECT image_id, c_custkey AS id, CAST(round_even((c_custkey * 7 % 64) / 2.0, 0) AS BIGINT) AS cx, CAST(round_even((c_custkey * 11 % 64) / 2.0, 0) AS BIGINT) AS cy FROM visitors)
        SELECT p.image_id AS image_id, id, channel, round(avg(v), 5) AS mean, count(*) AS n FROM p JOIN pixels q ON p.image_id = q.image_id AND abs(q.x - cx) <= 3 AND abs(q.y - cy) <= 3 GROUP BY 1, 2, 3""",
 )
 def _(v):
-    at = v.customer.select((F.col("c_custkey") % 3).alias("image_id"), F.col("c_custkey").alias("id"), (F.col("c_custkey") * 7 % 64 / 2).alias("x"), (F.col("c_custkey") * 11 % 64 / 2).alias("y"))
+    at = v.visitors.select("image_id", F.col("c_custkey").alias("id"), (F.col("c_custkey") * 7 % 64 / 2).alias("x"), (F.col("c_custkey") * 11 % 64 / 2).alias("y"))
     return K.patch_mean(at, v.pixels, 3, 32, 32).select("image_id", "id", "channel", R("mean"), "n")
 
 
@@ -301,20 +301,20 @@ def _(v):
     return Q.stage_quality(both, ["RAW", "HALF"]).select("grp", "layer_f", R("RAW", 4), R("HALF", 4))
 
 
-@book.query("k5_inverse_grid_lookup", "SELECT c_custkey % 3 AS image_id, c_custkey AS id, round(coalesce((gx + 1) / 2 * 32, -1), 5) AS x, round(coalesce((gy + 1) / 2 * 32, -1), 5) AS y FROM customer LEFT JOIN field ON field.image_id = c_custkey % 3 AND i = floor(c_custkey % 41 + 0.5) AND j = floor(c_custkey % 37 + 0.25)")
+@book.query("k5_inverse_grid_lookup", "SELECT visitors.image_id AS image_id, c_custkey AS id, round(coalesce((gx + 1) / 2 * 32, -1), 5) AS x, round(coalesce((gy + 1) / 2 * 32, -1), 5) AS y FROM visitors LEFT JOIN field ON field.image_id = visitors.image_id AND i = floor(c_custkey % 41 + 0.5) AND j = floor(c_custkey % 37 + 0.25)")
 def _(v):
-    at = v.customer.select((F.col("c_custkey") % 3).alias("image_id"), F.col("c_custkey").alias("id"), (F.col("c_custkey") % 37 + 0.25).alias("x"), (F.col("c_custkey") % 41 + 0.5).alias("y"))
+    at = v.visitors.select("image_id", F.col("c_custkey").alias("id"), (F.col("c_custkey") % 37 + 0.25).alias("x"), (F.col("c_custkey") % 41 + 0.5).alias("y"))
     return A.inverse_grid_lookup(at, v.field, 32, 32).select("image_id", "id", R("x"), R("y"))
 
 
 @book.query(
     "k4_warp_points_by_grid",
-    """WITH l AS (SELECT c_custkey % 3 AS image_id, c_custkey AS id, (c_custkey * 7 % 97) / 97e0 AS x, (c_custkey * 11 % 89) / 89e0 AS y FROM customer),
+    """WITH l AS (SELECT image_id, c_custkey AS id, (c_custkey * 7 % 97) / 97e0 AS x, (c_custkey * 11 % 89) / 89e0 AS y FROM visitors),
        g AS (SELECT image_id, i * 32 + j AS flat, (2 * j + 1) / 32e0 - 1 + gx / 16 AS gx, (2 * i + 1) / 32e0 - 1 + gy / 16 AS gy FROM field),
        d AS (SELECT l.image_id AS image_id, id, flat, row_number() OVER (PARTITION BY l.image_id, id ORDER BY sqrt(power(2 * x - 1 - gx, 2) + power(2 * y - 1 - gy, 2)), flat) AS k FROM l JOIN g ON l.image_id = g.image_id)
        SELECT image_id, id, round((flat % 32 + 0.5) / 32, 6) AS x, round((floor(flat / 32) + 0.5) / 32, 6) AS y FROM d WHERE k = 1""",
 )
 def _(v):
-    at = v.customer.select((F.col("c_custkey") % 3).alias("image_id"), F.col("c_custkey").alias("id"), (F.col("c_custkey") * 7 % 97 / 97).alias("x"), (F.col("c_custkey") * 11 % 89 / 89).alias("y"))
+    at = v.visitors.select("image_id", F.col("c_custkey").alias("id"), (F.col("c_custkey") * 7 % 97 / 97).alias("x"), (F.col("c_custkey") * 11 % 89 / 89).alias("y"))
     grid = v.field.withColumns({"gx": (2 * F.col("j") + 1) / 32 - 1 + F.col("gx") / 16, "gy": (2 * F.col("i") + 1) / 32 - 1 + F.col("gy") / 16})
     return A.warp_by_grid(at, grid, 32, 32).select("image_id", "id", R("x", 6), R("y", 6))

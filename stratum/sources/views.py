@@ -83,6 +83,8 @@ VIEWS: dict[str, str] = {
         SELECT image_id, y AS i, x AS j, (v - 128) / 512.0e0 AS gx, (256 - v) / 1024.0e0 AS gy FROM pixels WHERE channel = 1""",
     "masks": """
         SELECT image_id, y, x, CASE WHEN v > 96 THEN 1 ELSE 0 END AS v FROM pixels WHERE channel = 0""",
+    "visitors": """
+        SELECT CAST(c_custkey % (SELECT max(image_id) + 1 FROM pixels) AS BIGINT) AS image_id, c_custkey, c_mktsegment FROM customer""",
     "markers": """
         SELECT p_partkey AS cell_id, (p_partkey * 7919) % 101 / 100.0e0 AS m1, (p_partkey * 104729) % 103 / 102.0e0 AS m2,
                (p_partkey * 1299709) % 107 / 106.0e0 AS m3, p_brand AS label
