@@ -39,11 +39,14 @@ def patchify(pixels: DataFrame, patch: int, height: int, width: int) -> DataFram
     return cut.select(*KEYS, "ty", "tx", F.transform("s", lambda p: p["v"]).alias("data"))
 
 
-def crop_or_pad(pixels: DataFrame, height: int, width: int, target_h: int, target_w: int, fill: float = 0.0) -> DataFrame:
-    """Cut from the origin if either side is larger than the target, else padded right and down."""
+def crop_or_pad(pixels: DataFrame, height: int, width: int, target_h: int, target_w: int, fill: float = 0.0, centred: bool = False) -> DataFrame:
+    """Cut from the origin if either side is larger than the target, else padded right and down; centred pads on all four
+    sides by halves, rounded down, and what remains right and down."""
     cut = pixels.where((F.col("y") < target_h) & (F.col("x") < target_w))
     if height > target_h or width > target_w:
         return cut
+    if centred:
+        pixels = pixels.withColumns({"y": F.col("y") + (target_h - height) // 2, "x": F.col("x") + (target_w - width) // 2})
     line = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
     canvas = pixels.select(*KEYS).distinct().withColumn("y", line(target_h)).withColumn("x", line(target_w))
     return canvas.join(pixels, [*KEYS, "y", "x"], "left").na.fill(fill, ["v"])

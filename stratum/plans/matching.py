@@ -191,6 +191,12 @@ def _(v):
     return S.concat_tables({"a": v.cells.select("cell_id", "x", "y", F.lit(1).alias("only_a")), "b": v.targets.select("cell_id", "y", "x")}, "sample")
 
 
+@book.query("u1_concat_unique_names", "SELECT CASE WHEN k = 0 THEN name ELSE name || '-' || k END AS name, sample, x FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY sample, x) - 1 AS k FROM (SELECT 'c' || cell_id AS name, 'a' AS sample, x FROM cells UNION ALL SELECT 'c' || cell_id, 'b', x FROM targets))")
+def _(v):
+    named = lambda df: df.select(F.concat(F.lit("c"), F.col("cell_id").cast("string")).alias("name"), "x")
+    return S.concat_tables({"a": named(v.cells), "b": named(v.targets)}, "sample", "name").select("name", "sample", "x")
+
+
 @book.query("u2_merge_spatial_datasets", "SELECT 'x' || CAST(cell_id AS VARCHAR) AS element, round(x * 0.25 + 1, 5) AS x FROM cells UNION ALL SELECT 'x' || CAST(cell_id AS VARCHAR), round(x, 5) FROM targets WHERE cell_id NOT IN (SELECT cell_id FROM cells)")
 def _(v):
     name = lambda df: df.select(F.concat(F.lit("x"), F.col("cell_id").cast("string")).alias("element"), "x")

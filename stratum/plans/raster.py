@@ -35,14 +35,13 @@ def _(v):
     return S.gray_to_rgb(v.pixels.where("channel = 1")).select(*PX, "v")
 
 
-@book.query("s12_raster_sink", "SELECT image_id, channel, CAST(floor(y / 2) AS BIGINT) AS y, CAST(floor(x / 2) AS BIGINT) AS x, round(avg(v), 5) AS v FROM pixels WHERE image_id = 1 GROUP BY 1, 2, 3, 4")
+@book.query("s12_raster_sink", "SELECT image_id, channel, CAST(f AS BIGINT) AS level, CAST(floor(y / f) AS BIGINT) AS y, CAST(floor(x / f) AS BIGINT) AS x, round(avg(v), 5) AS v FROM pixels, (SELECT unnest([1, 4, 5, 8]) AS f) WHERE y < floor(32 / f) * f AND x < floor(32 / f) * f GROUP BY 1, 2, 3, 4, 5")
 def _(v):
     from ..session import shared_folder
 
-    levels = v.pixels.withColumn("level", F.lit(0)).unionByName(v.pixels.groupBy("image_id", "channel", F.floor(F.col("y") / 2).alias("y"), F.floor(F.col("x") / 2).alias("x")).agg(F.avg("v").alias("v")).withColumn("level", F.lit(1)))
     folder = shared_folder(v.spark)
-    S.write_raster(levels, folder)
-    return S.read_raster(v.spark, folder, 1, 1).select(L("image_id"), "channel", "y", "x", R("v"))
+    S.write_raster(S.downsampled(v.pixels, 32, 32, (1, 4, 5, 8)), folder)
+    return S.read_raster(v.spark, folder).select(L("image_id"), "channel", L("level"), "y", "x", R("v"))
 
 
 @book.query("s13_spatial_dataset_sink")
@@ -77,6 +76,11 @@ def _(v):
     return X.crop_or_pad(v.pixels, 32, 32, 40, 36).select(*PX, "v")
 
 
+@book.query("r2_crop_or_pad_centred", f"SELECT i.image_id AS image_id, i.channel AS channel, g.y AS y, g.x AS x, coalesce(v, 0) AS v FROM (SELECT DISTINCT image_id, channel FROM pixels) i, {grid(41, 36)} g LEFT JOIN pixels p ON p.image_id = i.image_id AND p.channel = i.channel AND p.y = g.y - 4 AND p.x = g.x - 2")
+def _(v):
+    return X.crop_or_pad(v.pixels, 32, 32, 41, 36, centred=True).select(*PX, "v")
+
+
 SMOOTH = f"""w1 AS (SELECT unnest([-1, 0, 1]) AS d, unnest([exp(-0.5e0), 1e0, exp(-0.5e0)]) / (1 + 2 * exp(-0.5e0)) AS w),
   smooth AS (SELECT p.image_id AS image_id, p.channel AS channel, g.y AS y, g.x AS x, sum(a.w * b.w * p.v) AS v FROM {grid(32, 32)} g, w1 a, w1 b, pixels p WHERE p.y = g.y + a.d AND p.x = g.x + b.d GROUP BY 1, 2, 3, 4)"""
 

@@ -76,13 +76,32 @@ def feature_table(raw: DataFrame) -> DataFrame:
     return raw.select(F.concat(F.lit("cell_"), F.col("id").cast("string")).alias("cell"), F.col("coords")[1].alias("x"), F.col("coords")[0].alias("y"), F.col("coords").alias("spatial"), "features")
 
 
+def downsampled(pixels: DataFrame, height: int, width: int, factors: tuple[int, ...] = (1, 4, 8, 40)) -> DataFrame:
+    """Means of factor x factor blocks for every factor (column level), floor(size / factor) blocks a side. Sums are rolled
+    up from the largest factor before that divides the next one, so pixels are read once per chain of factors."""
+    keys, sums, out = ["image_id", "channel", "y", "x"], {}, []
+    for f in sorted(factors):
+        below = max((g for g in sums if f % g == 0), default=1)
+        source = sums.get(below, pixels.select(*keys, F.col("v").alias("s"), F.lit(1).cast("long").alias("n")))
+        whole = source.where((F.col("y") < height // f * (f // below)) & (F.col("x") < width // f * (f // below)))
+        block = lambda c: F.floor(F.col(c) / (f // below)).alias(c)  # noqa: B023, E731
+        sums[f] = whole if f == below else whole.groupBy("image_id", "channel", block("y"), block("x")).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+        out.append(sums[f].select(*keys, (F.col("s") / F.col("n")).alias("v"), F.lit(f).alias("level")))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
 def write_raster(pixels: DataFrame, folder: str) -> None:
-    """A raster with all its levels, partitioned so that reads of one image and level touch only their files."""
-    pixels.repartition("image_id", "level").sortWithinPartitions("y", "x").write.mode("overwrite").partitionBy("image_id", "level").parquet(folder)
+    """A raster with all its levels, partitioned so that reads of one image and level touch only their files. Writing an
+    image and level again replaces just those; an image's rows go to several files where they are many."""
+    ordered = pixels.repartition("image_id", "level", F.floor(F.col("y") / 4096), F.floor(F.col("x") / 4096)).sortWithinPartitions("image_id", "level", "channel", "y", "x")
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("image_id", "level").parquet(folder)
 
 
-def read_raster(spark: SparkSession, folder: str, image_id: int, level: int, channels: list[int] | None = None) -> DataFrame:
-    rows = spark.read.parquet(folder).where((F.col("image_id") == image_id) & (F.col("level") == level))
+def read_raster(spark: SparkSession, folder: str, image_id: int | None = None, level: int | None = None, channels: list[int] | None = None) -> DataFrame:
+    """The rows of an image, a level and channels, or of all."""
+    rows = spark.read.parquet(folder)
+    for name, value in (("image_id", image_id), ("level", level)):
+        rows = rows if value is None else rows.where(F.col(name) == value)
     return rows.where(F.col("channel").isin(channels)) if channels else rows
 
 
@@ -99,11 +118,16 @@ def write_elements(elements: dict[str, DataFrame], folder: str, overwrite: bool
     return spark.createDataFrame([(n, f"{folder}/{n}") for n in sorted(elements)], "element string, path string")
 
 
-def concat_tables(tables: dict[str, DataFrame], label: str) -> DataFrame:
-    """Tables one below the other with a label column; columns are those that all have."""
+def concat_tables(tables: dict[str, DataFrame], label: str, name: str | None = None) -> DataFrame:
+    """Tables one below the other with a label column; columns are those that all have. Values of the column ``name`` that
+    come again, in the order of the labels, get -1, -2 and so on."""
     first = next(iter(tables.values())).columns
     shared = [c for c in first if all(c in df.columns for df in tables.values())]
-    return functools.reduce(DataFrame.unionByName, [df.select(*shared, F.lit(name).alias(label)) for name, df in tables.items()])
+    both = functools.reduce(DataFrame.unionByName, [df.select(*shared, F.lit(own).alias(label)) for own, df in tables.items()])
+    if name is None:
+        return both
+    again = F.row_number().over(W.partitionBy(name).orderBy(label, *[c for c in shared if c != name])) - 1
+    return both.withColumn(name, F.when((again == 0) | F.col(name).isNull(), F.col(name)).otherwise(F.concat_ws("-", F.col(name), again.cast("string"))))
 
 
 def merge_elements(into: DataFrame, other: DataFrame, key: str = "element") -> DataFrame:
