@@ -59,15 +59,62 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def raster_components(mask: DataFrame, eight: bool = False, width: int = 1 << 20) -> DataFrame:
-    """Components of the set pixels of each image: image_id, y, x, comp (the smallest flat place of the component)."""
-    node = F.col("image_id") * (width * width) + F.col("y") * width + F.col("x")
-    on = mask.where("v = 1").select("image_id", "y", "x", node.alias("node"))
+def tile_components(mask: DataFrame, eight: bool = False, width: int = 1 << 20, tile: int = 128) -> DataFrame:
+    """Components of the set pixels inside each tile of tile x tile pixels: image_id, y, x, local (the smallest flat place
+    of the piece). One group per tile, so a group holds tile * tile pixels at most; a place stands once in an image, and
+    rows with a null place go."""
+    import numpy as np
+    import pandas as pd
+
+    steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if eight else [])
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        ys, xs = pdf["y"].to_numpy(), pdf["x"].to_numpy()
+        order = np.lexsort((xs, ys))
+        ys, xs = ys[order], xs[order]
+        grid = np.full((tile + 2, tile + 2), -1, np.int64)  # a rim, so that steps stay inside
+        ry, rx = ys % tile + 1, xs % tile + 1
+        grid[ry, rx] = np.arange(len(ys))
+        ends = [(np.flatnonzero(grid[ry + dy, rx + dx] >= 0), dy, dx) for dy, dx in steps]
+        a = np.concatenate([e for e, _, _ in ends])
+        b = np.concatenate([grid[ry[e] + dy, rx[e] + dx] for e, dy, dx in ends])
+        root = np.arange(len(ys))
+        while True:  # hook the larger root to the smaller one, then shorten all ways to their roots
+            ra, rb = root[a], root[b]
+            open_ = ra != rb
+            if not open_.any():
+                break
+            np.minimum.at(root, np.maximum(ra[open_], rb[open_]), np.minimum(ra[open_], rb[open_]))
+            while (root[root] != root).any():
+                root = root[root]
+        image = pdf["image_id"].iloc[0]
+        return pd.DataFrame({"image_id": image, "y": ys, "x": xs, "local": image * (width * width) + ys[root] * width + xs[root]})
+
+    on = mask.where("v = 1").select(*[F.col(c).cast("long").alias(c) for c in ("image_id", "y", "x")]).dropna()
+    tiles = on.groupBy("image_id", F.floor(F.col("y") / tile).alias("_ty"), F.floor(F.col("x") / tile).alias("_tx"))
+    return tiles.applyInPandas(label, "image_id long, y long, x long, local long")
+
+
+def border_links(pieces: DataFrame, eight: bool = False, tile: int = 128) -> DataFrame:
+    """Distinct (src, dst) pieces of tile_components that touch across a border of tiles; only border pixels meet."""
+    first, last = lambda c: F.pmod(F.col(c), F.lit(tile)) == 0, lambda c: F.pmod(F.col(c), F.lit(tile)) == tile - 1
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if eight else [])
-    near = on.withColumn("s", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in steps]))).select("image_id", (F.col("y") + F.col("s.a")).alias("y"), (F.col("x") + F.col("s.b")).alias("x"), F.col("node").alias("src"))
-    edges = near.join(on.select("image_id", "y", "x", F.col("node").alias("dst")), ["image_id", "y", "x"]).select("src", "dst")
-    comps = connected_components(edges)
-    return on.join(comps, "node", "left").select("image_id", "y", "x", F.coalesce("comp", "node").alias("comp"))
+    over = lambda dy, dx: (last("y") if dy else F.lit(False)) | (last("x") if dx == 1 else first("x") if dx == -1 else F.lit(False))
+    taken = F.filter(F.array(*[F.when(over(dy, dx), F.struct(F.lit(dy).alias("a"), F.lit(dx).alias("b"))) for dy, dx in steps]), lambda s: s.isNotNull())
+    rim = pieces.where(first("y") | last("y") | first("x") | last("x"))
+    near = rim.withColumn("s", F.explode(taken)).select("image_id", (F.col("y") + F.col("s.a")).alias("y"), (F.col("x") + F.col("s.b")).alias("x"), F.col("local").alias("src"))
+    return near.join(rim.withColumnRenamed("local", "dst"), ["image_id", "y", "x"]).select("src", "dst").where("src <> dst").distinct()
+
+
+def raster_components(mask: DataFrame, eight: bool = False, width: int = 1 << 20, tile: int = 128) -> DataFrame:
+    """Components of the set pixels of each image: image_id, y, x, comp (the smallest flat place of the component).
+
+    Two levels: pieces inside tiles, then components of the pieces that touch across tile borders. Only those pieces are
+    nodes of the second graph, and the last join is on pieces, which have tile * tile pixels at most."""
+    pieces = stored(tile_components(mask, eight, width, tile))
+    links = border_links(pieces, eight, tile)
+    comps = connected_components(links).select(F.col("node").alias("local"), "comp")
+    return pieces.join(comps, "local", "left").select("image_id", "y", "x", F.coalesce("comp", "local").alias("comp"))
 
 
 def component_filter(components: DataFrame, least: int = 0, largest: bool = False) -> DataFrame:
