@@ -31,7 +31,7 @@ def loss(name: str):
 
 @detector("descriptors")
 def _descriptors(a: DataFrame, b: DataFrame, keys, threshold: float = 0.0) -> DataFrame:
-    return matching.mutual_matches(matching.descriptor_scores(a, b, keys), threshold, keys)
+    return matching.descriptor_matches(a, b, threshold, keys)
 
 
 def user_detector(match: Callable, schema: str) -> Callable:

@@ -20,22 +20,102 @@ def adjacent_layers(points: DataFrame, k: int = 1, keys=("grp",), ident: str = "
 
 def mutual_matches(scores: DataFrame, threshold: float, keys=("pair",)) -> DataFrame:
     """Row and column maxima that choose each other, with a score above threshold; unmatched rows get -1 and score 0.
-    scores: keys, i, j, score."""
-    best = lambda by, order: F.row_number().over(W.partitionBy(*keys, by).orderBy(F.desc("score"), order))
-    ranked = scores.withColumns({"_r": best("i", "j"), "_c": best("j", "i")}).where("_r = 1")
-    good = (F.col("_c") == 1) & (F.col("score") > threshold)
-    return ranked.select(*keys, "i", F.when(good, F.col("j")).otherwise(-1).alias("j"), F.when(good, F.col("score")).otherwise(0.0).alias("score"))
-
-
-def descriptor_scores(a: DataFrame, b: DataFrame, keys=("pair",), block: int = 256) -> DataFrame:
-    """Cosine of every descriptor of one image with every one of its partner: blocks of rows meet in an equi-join on
-    (keys, block of a), b is repeated once per block of a. Both: keys, id, features."""
-    unit = lambda f: F.transform(f, lambda v: v.cast("double") / F.sqrt(F.aggregate(f, F.lit(0.0), lambda s, w: s + w.cast("double") * w.cast("double"))))
-    left = a.select(*keys, F.col("id").alias("i"), unit(F.col("features")).alias("fa")).withColumn("_block", F.floor(F.col("i") / block))
-    blocks = left.select(*keys, "_block").distinct()
-    right = b.select(*keys, F.col("id").alias("j"), unit(F.col("features")).alias("fb")).join(blocks, list(keys))
-    dot = F.aggregate(F.zip_with("fa", "fb", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    return left.join(right, [*keys, "_block"]).select(*keys, "i", "j", dot.alias("score"))
+    scores: keys, i, j, score. Both maxima are aggregates, so they combine before they are shuffled."""
+    rows = scores.groupBy(*keys, "i").agg(F.max(F.struct("score", (-F.col("j")).alias("o"))).alias("m")).select(*keys, "i", (-F.col("m.o")).alias("j"), F.col("m.score").alias("score"))
+    columns = scores.groupBy(*keys, "j").agg(F.max(F.struct("score", (-F.col("i")).alias("o"))).alias("m")).select(*keys, "j", (-F.col("m.o")).alias("_i"))
+    return _mutual(rows, columns, threshold, keys)
+
+
+def _mutual(rows: DataFrame, columns: DataFrame, threshold: float, keys) -> DataFrame:
+    met = rows.join(columns, [*keys, "j"], "left")
+    good = (F.col("_i") == F.col("i")) & (F.col("score") > threshold)
+    return met.select(*keys, "i", F.when(good, F.col("j")).otherwise(-1).alias("j"), F.when(good, F.col("score")).otherwise(0.0).alias("score"))
+
+
+def descriptor_blocks(rows: DataFrame, keys, size: int) -> DataFrame:
+    """Rows packed in blocks of about size rows: keys, block, blocks (their number), ids, values (float64 bytes of the unit
+    vectors, row by row, in order of id). rows: keys, id, features; ids are whole numbers, one row each; rows with a null
+    id, a null or no vector, a null component or a length of 0 or none have no direction and go."""
+    import numpy as np
+    import pandas as pd
+
+    length = F.sqrt(F.aggregate("features", F.lit(0.0), lambda t, w: t + w.cast("double") * w.cast("double")))
+    usable = rows.select(*keys, F.col("id").cast("long").alias("id"), "features", length.alias("_l")).where((F.col("_l") > 0) & (F.col("_l") < float("inf")) & F.col("id").isNotNull())
+    blocks = usable.groupBy(*keys).agg(F.ceil(F.count("*") / size).alias("blocks"))
+    placed = usable.join(blocks, list(keys)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    held = [*keys, "block", "blocks"]
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", kind="stable")
+        m = np.array([np.asarray(f, np.float64) for f in pdf["features"]])
+        m /= np.sqrt((m * m).sum(axis=1))[:, None]
+        return pdf[held].iloc[:1].assign(ids=[pdf["id"].to_numpy()], values=[m.tobytes()])
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.select(*held).schema)
+    return placed.select(*held, "id", "features").groupBy(*held).applyInPandas(pack, f"{types}, ids array<bigint>, values binary")
+
+
+def block_best(a: DataFrame, b: DataFrame, keys=("pair",), k: int = 1, both: bool = False, size: int = 2048) -> DataFrame:
+    """The k best partners of every row inside each block of its partners: keys, side ('i' or 'j'), id, other, score.
+
+    Blocks of a meet blocks of b, a pair of blocks in a group, and only size * k rows leave it (twice that for both sides),
+    never a row per pair. Scores are cosines cut to 12 digits, so that equal vectors tie wherever they stand; ties go to
+    the smaller partner. Both: keys, id, features. No row of a group that one side lacks."""
+    import numpy as np
+    import pandas as pd
+
+    left, right = descriptor_blocks(a, keys, size), descriptor_blocks(b, keys, size)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    numbers = [d.select(*keys, F.col("blocks").alias(n)).distinct() for d, n in ((left, "_na"), (right, "_nb"))]
+    l = left.join(numbers[1], list(keys)).select(*keys, F.col("block").alias("_a"), every("_nb").alias("_b"), "ids", "values")  # noqa: E741
+    r = right.join(numbers[0], list(keys)).select(*keys, every("_na").alias("_a"), F.col("block").alias("_b"), F.col("ids").alias("ids_b"), F.col("values").alias("values_b"))
+    out = [*keys, "side", "id", "other", "score"]
+
+    def chosen(scores: np.ndarray, mine: np.ndarray, theirs: np.ndarray, side: str, row) -> pd.DataFrame:
+        n = min(k, len(theirs))
+        if n == 1:
+            top = scores.argmax(axis=1)[:, None]  # the first of equal ones: ids ascend
+        else:
+            edge = -np.partition(-scores, n - 1, axis=1)[:, n - 1 : n]  # all above it stay, and the first of those equal to it
+            above = scores > edge
+            equal = scores == edge
+            stay = above | (equal & (equal.cumsum(axis=1) <= n - above.sum(axis=1)[:, None]))
+            top = np.nonzero(stay)[1].reshape(len(mine), n)
+        found = pd.DataFrame({"side": side, "id": np.repeat(mine, n), "other": theirs[top].ravel(), "score": np.take_along_axis(scores, top, 1).ravel()})
+        return found.assign(**{c: row[c] for c in keys})[out]
+
+    def products(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        if mine.empty or theirs.empty:
+            return pd.DataFrame(columns=out)
+        row, other = mine.iloc[0], theirs.iloc[0]
+        i, j = np.asarray(row["ids"]), np.asarray(other["ids_b"])
+        x, y = np.frombuffer(row["values"]).reshape(len(i), -1), np.frombuffer(other["values_b"]).reshape(len(j), -1)
+        scores = np.round(x @ y.T, 12)
+        found = [chosen(scores, i, j, "i", row)]
+        return pd.concat([*found, chosen(scores.T, j, i, "j", row)]) if both else found[0]
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in l.select(*keys).schema)
+    held = [*keys, "_a", "_b"]  # a group is one pair of blocks, so a task holds two blocks and their scores at a time
+    return l.groupBy(*held).cogroup(r.groupBy(*held)).applyInPandas(products, f"{types}, side string, id bigint, other bigint, score double")
+
+
+def descriptor_matches(a: DataFrame, b: DataFrame, threshold: float, keys=("pair",), size: int = 2048) -> DataFrame:
+    """Mutual nearest neighbours of two images' descriptors by cosine, as mutual_matches tells them, from the best of each
+    row and column per pair of blocks. Rows of a without a direction, or without a partner image, are not told."""
+    best = block_best(a, b, keys, both=True, size=size)
+    one = best.groupBy(*keys, "side", "id").agg(F.max(F.struct("score", (-F.col("other")).alias("o"))).alias("m"))
+    told = stored(one.select(*keys, "side", "id", (-F.col("m.o")).alias("other"), F.col("m.score").alias("score")))  # a row per descriptor
+    rows = told.where("side = 'i'").select(*keys, F.col("id").alias("i"), F.col("other").alias("j"), "score")
+    columns = told.where("side = 'j'").select(*keys, F.col("id").alias("j"), F.col("other").alias("_i"))
+    return _mutual(rows, columns, threshold, keys)
+
+
+def nearest_descriptors(a: DataFrame, b: DataFrame, k: int, keys=("pair",), size: int = 2048) -> DataFrame:
+    """The k most similar rows of b (cosine) of every row of a over all of its keys' groups, itself not counted: i, j,
+    score. A row of a may ask in several groups; a row of b stands in one."""
+    best = block_best(a, b, keys, k=k + 1, size=size).where("id <> other")  # one more, as it may find itself
+    order = F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "other"))
+    return best.withColumn("_r", order).where(F.col("_r") <= k).select(F.col("id").alias("i"), F.col("other").alias("j"), "score")
 
 
 def best_candidate(candidates: DataFrame, keys=("grp", "layer")) -> DataFrame:

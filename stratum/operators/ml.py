@@ -78,7 +78,7 @@ def knn_graph(rows: DataFrame, k: int, features: str = "features", probes: int =
     Rows are clustered into about half the square root of their number of cells; a row is compared, in blocks, with the
     rows of the ``probes`` cells whose centres are nearest to it. With so few rows that there are no more cells than
     probes the graph is exact; else tests hold its recall."""
-    from .matching import descriptor_scores
+    from .matching import nearest_descriptors
 
     norm = F.sqrt(F.aggregate(features, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
     unit = rows.select("id", F.transform(features, lambda v: v.cast("double") / norm).alias("features")).withColumn("_v", array_to_vector("features"))
@@ -88,13 +88,25 @@ def knn_graph(rows: DataFrame, k: int, features: str = "features", probes: int =
     if cells <= probes:
         asked = held.select("id", "features", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
     else:
-        centres = F.array(*[F.struct(F.lit(i).alias("cell"), F.array(*[F.lit(float(x)) for x in c]).alias("c")) for i, c in enumerate(model.clusterCenters())])
-        far = lambda c: F.aggregate(F.zip_with("features", c["c"], lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
-        nearest = F.slice(F.array_sort(F.transform(centres, lambda c: F.struct(far(c).alias("d"), c["cell"].alias("cell")))), 1, probes)
-        asked = held.select("id", "features", F.explode(F.transform(nearest, lambda c: c["cell"])).alias("cell"))
-    scores = descriptor_scores(asked, held, keys=("cell",)).where("i <> j")
-    best = F.row_number().over(W.partitionBy("i").orderBy(F.desc("score"), "j"))
-    return scores.withColumn("_r", best).where(F.col("_r") <= k).select(F.col("i").alias("src"), F.col("j").alias("dst"))
+        asked = nearest_cells(held, model.clusterCenters(), probes).select("id", "features", F.explode("cells").alias("cell"))
+    return nearest_descriptors(asked, held, k, ("cell",)).select(F.col("i").alias("src"), F.col("j").alias("dst"))
+
+
+def nearest_cells(rows: DataFrame, centres: list, probes: int) -> DataFrame:
+    """Rows (id, features) with the numbers of the probes nearest centres. The centres, half the square root of the number
+    of rows, are broadcast and meet a batch of rows in one product."""
+    import numpy as np
+
+    shared = rows.sparkSession.sparkContext.broadcast(np.array(centres))
+
+    def near(frames):
+        c = shared.value
+        for pdf in frames:
+            if len(pdf):
+                far = (c * c).sum(axis=1) - 2 * np.stack(pdf["features"].to_list()) @ c.T
+                yield pdf.assign(cells=list(np.argsort(far, axis=1, kind="stable")[:, :probes]))
+
+    return rows.select("id", "features").mapInPandas(near, f"id {rows.schema['id'].dataType.simpleString()}, features array<double>, cells array<int>")
 
 
 def batch_embed(tiles: DataFrame, model: Callable, schema: str, finished: DataFrame | None = None, keys=("image_id", "ty", "tx")) -> DataFrame:

@@ -11,6 +11,7 @@ from ..operators import ml
 from ..operators import points as P
 from ..operators import spatial as K
 from ..sources.views import Book
+from .matching import DESCRIPTOR_MATCHES
 
 book = Book()
 QUERIES, SQL = book.queries, book.sql
@@ -115,7 +116,7 @@ def _(v):
     return K.patch_mean(moved, v.pixels, 2, 32, 32).join(at.select("image_id", "id", "label"), ["image_id", "id"]).select("image_id", "id", "label", "channel", R("mean"))
 
 
-@book.query("f1_detector_plugin")
+@book.query("f1_detector_plugin", DESCRIPTOR_MATCHES)
 def _(v):
     side = lambda n: v.descriptors.where(F.col("image") == n).select(F.lit(0).cast("long").alias("pair"), "id", "features")
     return plugins.detect("descriptors", side(0), side(1), threshold=0.1).select("pair", "i", L("j"), R("score"))

@@ -79,16 +79,19 @@ def _(v):
     return M.mutual_matches(v.scores, 0.9).select("pair", "i", L("j"), R("score", 6))
 
 
-@book.query(
-    "k12_descriptor_match",
-    """WITH a AS (SELECT id, features FROM descriptors WHERE image = 0), b AS (SELECT id, features FROM descriptors WHERE image = 1),
+DESCRIPTOR_MATCHES = """WITH a AS (SELECT id, features FROM descriptors WHERE image = 0), b AS (SELECT id, features FROM descriptors WHERE image = 1),
        s AS (SELECT a.id AS i, b.id AS j, list_cosine_similarity(CAST(a.features AS DOUBLE[]), CAST(b.features AS DOUBLE[])) AS score FROM a, b),
        r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, j) AS ri, row_number() OVER (PARTITION BY j ORDER BY score DESC, i) AS rj FROM s)
-       SELECT CAST(0 AS BIGINT) AS pair, i, CASE WHEN rj = 1 AND score > 0.1 THEN j ELSE -1 END AS j, round(CASE WHEN rj = 1 AND score > 0.1 THEN score ELSE 0 END, 5) AS score FROM r WHERE ri = 1""",
+       SELECT CAST(0 AS BIGINT) AS pair, i, CASE WHEN rj = 1 AND score > 0.1 THEN j ELSE -1 END AS j, round(CASE WHEN rj = 1 AND score > 0.1 THEN score ELSE 0 END, 5) AS score FROM r WHERE ri = 1"""
+
+
+@book.query(
+    "k12_descriptor_match",
+    DESCRIPTOR_MATCHES,
 )
 def _(v):
     side = lambda n: v.descriptors.where(F.col("image") == n).select(F.lit(0).cast("long").alias("pair"), "id", "features")
-    return M.mutual_matches(M.descriptor_scores(side(0), side(1)), 0.1).select("pair", "i", L("j"), R("score"))
+    return M.descriptor_matches(side(0), side(1), 0.1).select("pair", "i", L("j"), R("score"))
 
 
 @book.query(
