@@ -55,6 +55,23 @@ def standardized(rows: DataFrame, features: str = "features") -> DataFrame:
     return scaler.fit(vectors).transform(vectors).withColumn(features, vector_to_array("_s")).drop("_v", "_s")
 
 
+def propagated_labels(edges: DataFrame, rounds: int = 10) -> DataFrame:
+    """Label propagation over an undirected graph (src, dst): each node takes its neighbours' most common label (smallest
+    on ties), counting its own. It ends when no label changes, or after ``rounds`` rounds, as two labels can change places
+    for ever; rounds are stored."""
+    both = stored(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    labels = both.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
+    for _ in range(rounds):
+        seen = both.join(labels, both["dst"] == labels["node"]).select(F.col("src").alias("node"), "label").unionByName(labels.select("node", "label"))
+        counts = seen.groupBy("node", "label").agg(F.count("*").alias("n"))
+        new = stored(counts.groupBy("node").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("label")))
+        settled = new.join(labels.withColumnRenamed("label", "_old"), "node").where("label <> _old").isEmpty()
+        labels = new
+        if settled:
+            break
+    return labels
+
+
 def _arcs(edges: DataFrame) -> DataFrame:
     """Both directions of an undirected graph: a, b, w. A loop's weight counts twice; repeated edges add up."""
     w = F.col("w").cast("double") if "w" in edges.columns else F.lit(1.0)
@@ -73,57 +90,68 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return inside / weight - resolution * squares / weight**2 if weight else 0.0
 
 
-def graph_communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
+def graph_communities(edges: DataFrame, resolution: float = 1.0, tolerance: float = 0.005) -> DataFrame:
     """Communities of an undirected graph (src, dst, maybe w) by modularity: node, label (the smallest node in it). A
     higher resolution makes more and smaller ones.
 
     Nodes move to the neighbouring community of most gain; settled communities become the nodes of the next, smaller
-    graph, until none moves. A round moves about half of the nodes that would gain; if that does not raise modularity, as
-    moves may thwart each other, it is taken back, and only moves that share no community are made, whose gains add up.
-    So modularity rises in every round that stays, and the rounds end by themselves. Every round is stored."""
+    graph, until no node gains by a move. In a round, half of the communities are left and the other half entered, so that
+    no node moves towards one that leaves; if modularity does not rise all the same, the round is taken back, and only
+    moves that share no community are made, whose gains add up. So it rises in every round that stays. A level also ends
+    when a round raises it by less than tolerance, and the last level is the one that raises it by less; at tolerance 0
+    no move gains at the end. Every round is stored."""
     arcs = stored(_arcs(edges))
     whole = stored(arcs.select(F.col("a").alias("node")).distinct().withColumn("at", F.col("node")))
     while True:
-        labels = _settled(arcs, resolution)
+        labels, gain = _settled(arcs, resolution, tolerance)
         pieces = labels.agg(F.count("*"), F.countDistinct("label")).first()
         if pieces[0] == pieces[1]:
             break
         of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
         whole = stored(whole.join(of("at"), "at").select("node", F.col("lat").alias("at")))
         arcs = stored(arcs.join(of("a"), "a").join(of("b"), "b").groupBy(F.col("la").alias("a"), F.col("lb").alias("b")).agg(F.sum("w").alias("w")))
+        if gain < tolerance:
+            break
     least = whole.groupBy("at").agg(F.min("node").alias("label"))
     return whole.join(least, "at").select("node", "label")
 
 
-def _settled(arcs: DataFrame, resolution: float) -> DataFrame:
-    """Labels (node, k, label) of one level's nodes when no move gains."""
+def _settled(arcs: DataFrame, resolution: float, tolerance: float) -> tuple[DataFrame, float]:
+    """Labels (node, k, label) of one level's nodes when no move gains, or only little, and what modularity rose by."""
     labels = stored(arcs.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k"), F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0.0)).alias("loop")).withColumn("label", F.col("node")))
-    weight, loops = labels.agg(F.sum("k"), F.sum("loop")).first()
-    between, before, tried, sure = arcs.where("a <> b"), None, None, True
+    weight, loops, alone = labels.agg(F.sum("k"), F.sum("loop"), F.sum(F.when(F.col("k") == F.col("loop"), F.col("k") ** 2).otherwise(0.0))).first()
+    if not weight:
+        return labels, 0.0
+    between = arcs.where("a <> b")
     moved = lambda rows, moves: stored(rows.join(moves.select("node", "to"), "node", "left").select("node", "k", F.coalesce("to", "label").alias("label")))
-    turn = 0
+    before, first, quality, sure, turn = None, None, None, True, 0
     while True:
         turn += 1
         totals = labels.groupBy("label").agg(F.sum("k").alias("t"))
         ends = labels.select(F.col("node").alias("b"), "label")
         links = between.join(ends, "b").groupBy(F.col("a").alias("node"), F.col("label").alias("to")).agg(F.sum("w").alias("w"))
         own = labels.select("node", "k", "label").join(totals.withColumnRenamed("t", "own_t"), "label")
-        met = stored(links.join(own, "node").join(totals.select(F.col("label").alias("to"), "t"), "to"))
-        inside = met.where("to = label").agg(F.sum("w")).first()[0] or 0.0
-        squares = totals.agg(F.sum(F.col("t") ** 2)).first()[0] or 0.0
-        quality = (inside + loops) / weight - resolution * squares / weight**2 if weight else 0.0
-        if not sure and quality <= before[2] + 1e-12:
-            labels, sure = moved(before[0], _apart(before[1])), True
+        met = links.join(own, "node").join(totals.select(F.col("label").alias("to"), "t"), "to")
+        share = F.col("k") * (resolution / weight)
+        here = F.max(F.when(F.col("to") == F.col("label"), F.col("w")).otherwise(0.0)).alias("inside")
+        side = lambda c: F.pmod(F.xxhash64(c, F.lit(turn)), F.lit(2))
+        away = lambda when: F.max(F.when(when, F.struct((F.col("w") - share * F.col("t")).alias("gain"), (-F.col("to")).alias("o"))))
+        other = F.col("to") != F.col("label")
+        best = met.groupBy("node", "label", "k", "own_t").agg(away(other).alias("m"), away(other & (side("label") == 0) & (side("to") == 1)).alias("c"), here)
+        home = F.col("inside") - share * (F.col("own_t") - F.col("k"))
+        tried = stored(best.select("node", F.col("label").alias("from"), (F.col("k") * F.col("own_t")).alias("square"), "inside", (-F.col("m.o")).alias("to"), (F.col("m.gain") - home).alias("gain"), F.when(F.col("c.gain") - home > 1e-9, -F.col("c.o")).alias("crossing")))
+        inside, squares, some, crossing = tried.agg(F.sum("inside"), F.sum("square"), F.count_if(F.col("gain") > 1e-9), F.count("crossing")).first()
+        last, quality = quality, ((inside or 0.0) + loops) / weight - resolution * ((squares or 0.0) + alone) / weight**2
+        first = quality if first is None else first
+        if not sure and quality <= last:
+            labels, sure, quality = moved(before[0], _apart(before[1])), True, last
             continue
-        share = F.col("k") * (resolution / weight if weight else 0.0)
-        home = F.max(F.when(F.col("to") == F.col("label"), F.col("w")).otherwise(0.0)) - F.first(share * (F.col("own_t") - F.col("k")))
-        away = F.when(F.col("to") != F.col("label"), F.struct((F.col("w") - share * F.col("t")).alias("gain"), (-F.col("to")).alias("o")))
-        best = met.groupBy("node", "label").agg(F.max(away).alias("m"), home.alias("home")).select("node", F.col("label").alias("from"), (-F.col("m.o")).alias("to"), (F.col("m.gain") - F.col("home")).alias("gain"))
-        tried = stored(best.where("gain > 1e-9"))
-        if tried.isEmpty():
-            return labels
-        before = (labels, tried, quality)
-        labels, sure = moved(labels, tried.where(F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0)), False
+        little = last is not None and quality - last < max(tolerance, 1e-12)
+        if not some or little and (sure or tolerance > 0):
+            return labels, quality - first
+        tried = tried.where("gain > 1e-9")
+        before, sure = (labels, tried), little or not crossing
+        labels = moved(labels, _apart(tried) if sure else tried.where("crossing is not null").select("node", F.col("crossing").alias("to")))
 
 
 def _apart(moves: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from ..operators import metrics as Q
 from ..operators import ml
 from ..operators import points as P
 from ..operators import spatial as K
-from ..session import stored
 from ..sources.views import Book
 from .matching import DESCRIPTOR_MATCHES
 
@@ -85,10 +84,9 @@ def _(v):
 def _(v):
     rows = ml.standardized(v.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("features")))
     reduced = ml.pca_project(rows, 16).select("id", F.col("projection").alias("features"))
-    graph = stored(ml.knn_graph(reduced, 10))
     told = None
-    for resolution in (0.5, 1.0):
-        one = ml.graph_communities(graph, resolution).select("node", "label", F.lit(resolution).alias("resolution"))
+    for k in (5, 10):  # fewer neighbours make more and smaller communities
+        one = ml.propagated_labels(ml.knn_graph(reduced, k)).select("node", "label", F.lit(k).alias("neighbours"))
         told = one if told is None else told.unionByName(one)
     return told
 

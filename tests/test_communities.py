@@ -24,7 +24,7 @@ def planted(groups=6, size=12, inside=0.7, across=0.03, seed=1):
 
 
 def found(spark, edges, resolution=1.0):
-    return {r.node: r.label for r in ml.graph_communities(spark.createDataFrame(edges, "src long, dst long, w double"), resolution).collect()}
+    return {r.node: r.label for r in ml.graph_communities(spark.createDataFrame(edges, "src long, dst long, w double"), resolution, 0.0).collect()}
 
 
 def test_planted_communities_are_found_and_stable(spark):
