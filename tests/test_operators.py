@@ -223,3 +223,41 @@ def test_large_canvas_is_dealt_out_in_tiles(spark):
     big = raster.canvas(one, 600, 300)
     assert big.count() == 180_000 and big.select("ty", "tx").distinct().count() == 180_000
     assert big.rdd.getNumPartitions() > 1
+
+
+def test_shapes_test_points_in_bounded_groups(spark, monkeypatch):
+    """Bands and polygons against all pairs, with portions of a few points, repeated corners and many shapes in one place."""
+    from stratum.operators import spatial
+
+    monkeypatch.setattr(spatial, "PAIRS", 40)
+    rng = np.random.default_rng(3)
+    hexagon = [(4.0, 0.0), (2.0, 3.0), (-2.0, 3.0), (-4.0, 0.0), (-2.0, -3.0), (-2.0, -3.0), (2.0, -3.0)]  # a corner stands twice
+    rings = {i: [(x + float(cx), y + float(cy)) for x, y in hexagon] for i, (cx, cy) in enumerate(rng.uniform(0, 12, (9, 2)))}
+    at = {i: (float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-3, 15, (200, 2)))}
+    points = spark.createDataFrame([(1, i, x, y, "l") for i, (x, y) in at.items()], "grp long, id long, x double, y double, label string")
+    shapes = spark.createDataFrame([(1, i, [{"x": x, "y": y} for x, y in r]) for i, r in rings.items()], "grp long, shape_id long, ring array<struct<x: double, y: double>>")
+    told = {(p, s): spatial.side_tests(np.array([at[p][0]]), np.array([at[p][1]]), np.array([c for k, c in enumerate(rings[s]) if k != 5])) for p in at for s in rings}
+    inside = {k: bool(v[0][0]) for k, v in told.items()}
+    edge = {k: float(v[1][0]) for k, v in told.items()}
+    for predicate in ("within", "intersects"):
+        got = {r.id: r.shape_id for r in spatial.point_in_polygon(points, shapes, 5.0, predicate=predicate).collect()}
+        assert got == {p: max(s for s in rings if inside[p, s]) for p in at if any(inside[p, s] for s in rings)}
+    got = {(r.id, r.shape_id, r.band): r.edge_distance for r in spatial.ring_join(points, shapes, 1.0, 5.0).collect()}
+    want = {(p, s, "inner" if inside[p, s] else "outer"): d for (p, s), d in edge.items() if d <= 1}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    last = spatial.shape_tests(points, shapes, 5.0, ("grp",), 1.0, spatial.bands_of(1.0), last=True).groupBy("id", "test").agg(F.max("shape_id").alias("s"), F.count("*").alias("n")).collect()
+    assert {(r.id, r.test): r.s for r in last} == {(p, b): max(s for q, s, c in want if (q, c) == (p, b)) for p, _, b in want} and all(r.n == 1 for r in last)
+
+
+def test_joins_within_a_radius_and_of_boxes_make_no_row_per_candidate(spark):
+    from stratum.operators import spatial
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    a = spark.createDataFrame([(1, i, float(i % 20), float(i // 20)) for i in range(400)], "grp long, id long, x double, y double")
+    near = spatial.knn_within(a, a, 3, 4.0, other=True)
+    assert "FlatMapCoGroupsInArrow" in plan(near)  # the nearest are chosen inside groups
+    assert near.where("distance > 4 or rank > 3 or id_a = id_b").count() == 0 and near.count() == 1200
+    boxes = a.select("grp", F.col("id").alias("box_id"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 1.5).alias("x1"), (F.col("y") + 1.5).alias("y1"))
+    pairs = spatial.box_iou(boxes, 0.7)
+    assert "Aggregate" not in plan(pairs)  # no pair stands twice, so none is shuffled
+    assert pairs.count() == pairs.select("i", "j").distinct().count() == 2 * 20 * 19 + 2 * 19 * 19
