@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .spatial import spread_out
+
 #: Node, marker or leaf name, node if positive, node if not (leaves have neither).
 MARKER_TREE = (
     (0, "PANK1", 1, 2),
@@ -86,31 +88,45 @@ def vote_matrix(votes: DataFrame, ident: str, labels: list[str] | None = None) -
     return grouped.count().na.fill(0)
 
 
+def counted(cells: DataFrame, markers: list[str], keys: list[str] = ()) -> DataFrame:
+    """Equal rows of keys and markers once, with their number (cells). A table that has that column keeps it as it is."""
+    if "cells" in cells.columns:
+        return cells
+    return cells.groupBy(*keys, *[f"`{m}`" for m in markers]).agg(F.count("*").alias("cells"))
+
+
 def leaf_distances(cells: DataFrame, keys: list[str], markers: list[str], block: int = 256) -> DataFrame:
-    """Mean pairwise distance and number of cells per keys. Cells are cut into blocks; pairs of blocks meet, and only a
-    sum leaves each pair, so no row per pair of cells is made."""
-    size = cells.groupBy(*keys).agg(F.count("*").alias("n"))
-    placed = cells.join(size, keys).withColumn("_blocks", F.ceil(F.col("n") / block)).withColumn("_b", F.pmod(F.xxhash64("cell_id"), F.col("_blocks")))
-    packed = placed.groupBy(*keys, "n", "_blocks", "_b").agg(F.flatten(F.collect_list(F.array(*[F.col(f"`{m}`").cast("double") for m in markers]))).alias("v"))
+    """Mean pairwise distance and number of cells per keys. Equal cells count as one with a weight; these are cut into
+    blocks, pairs of blocks meet, and only a sum leaves each pair, so no row per pair of cells is made."""
+    once = counted(cells, markers, keys)
+    size = once.groupBy(*keys).agg(F.sum("cells").alias("n"), F.count("*").alias("_rows"))
+    placed = once.join(size, keys).withColumn("_blocks", F.ceil(F.col("_rows") / block)).withColumn("_b", F.pmod(F.xxhash64(*[f"`{m}`" for m in markers]), F.col("_blocks")))
+    packed = placed.groupBy(*keys, "n", "_blocks", "_b").agg(F.flatten(F.collect_list(F.array(*[F.col(f"`{m}`").cast("double") for m in markers], F.col("cells").cast("double")))).alias("v"))
     left = packed.withColumn("_o", F.explode(F.sequence("_b", F.col("_blocks") - 1)))
     right = packed.select(*keys, F.col("_b").alias("_o"), F.col("v").alias("w"))
-    width = len(markers)
+    width = len(markers) + 1
 
     @F.pandas_udf("double")
     def total(v: pd.Series, w: pd.Series, same: pd.Series) -> pd.Series:
         out = []
         for a, b, s in zip(v, w, same):
-            x, y = np.reshape(a, (-1, width)), np.reshape(b, (-1, width))
-            d = np.sqrt(np.maximum(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2), 0)).sum()
+            x, y = np.reshape(a, (-1, width)).T.copy(), np.reshape(b, (-1, width)).T.copy()
+            square = np.zeros((x.shape[1], y.shape[1]))
+            for p, q in zip(x[:-1], y[:-1]):  # marker by marker, so that a block pair stays in the cache
+                step = np.subtract.outer(p, q)
+                step *= step
+                square += step
+            d = x[-1] @ np.sqrt(square, out=square) @ y[-1]
             out.append(d / 2 if s else d)
         return pd.Series(out)
 
+    right, left = (spread_out(side, *keys, "_o") for side in (right, left))
     sums = left.join(right, [*keys, "_o"]).select(*keys, "n", total("v", "w", F.col("_b") == F.col("_o")).alias("d"))
     return sums.groupBy(*keys, "n").agg(F.sum("d").alias("d")).select(*keys, "n", F.when(F.col("n") > 1, F.col("d") / (F.col("n") * (F.col("n") - 1) / 2)).alias("mean_distance"))
 
 
 def tree_quality(cells: DataFrame, keys: list[str], markers: list[str], n_leaves: int, penalty: Column, weight_cov: float = 0.5, weight_purity: float = 0.5, alpha: float = 0.1) -> DataFrame:
-    """Coverage, purity and score per keys; cells: keys, cell_id, leaf, markers. penalty: mean squared distance of the
+    """Coverage, purity and score per keys; cells: keys, leaf, markers (and cells, if a row stands for several). penalty: mean squared distance of the
     thresholds from where they began, a Column of keys."""
     leaves = leaf_distances(cells, [*keys, "leaf"], markers).withColumn("p", F.coalesce(1 - F.col("mean_distance") / len(markers) ** 0.5, F.lit(1.0)))
     told = leaves.groupBy(*keys).agg((F.count("*") / n_leaves).alias("coverage"), F.avg("p").alias("purity"))
@@ -124,7 +140,8 @@ def threshold_search(cells: DataFrame, n_trees: int, n_trials: int, seed: int =
     trials = [(t, k, {n: float(x) for n, x in zip(inner, rng.uniform(0, 1, len(inner)))}) for t in range(n_trees) for k in range(n_trials)]
     rows = F.array(*[F.struct(F.lit(t).alias("tree"), F.lit(k).alias("trial"), F.lit(float(np.mean([(v - THRESHOLD) ** 2 for v in p.values()]))).alias("penalty"), *[F.lit(v).alias(f"t_{n}") for n, v in p.items()]) for t, k, p in trials])
     markers = list(dict.fromkeys(tree_markers(tree)))
-    tried = cells.withColumn("_p", F.explode(rows)).withColumn("leaf", tree_column(lambda n: F.col(f"_p.t_{n}"), lambda n, name: F.lit(n), tree))
-    judged = tree_quality(tried.select("cell_id", F.col("_p.tree").alias("tree"), F.col("_p.trial").alias("trial"), F.col("_p.penalty").alias("spent"), "leaf", *[F.col(f"`{m}`") for m in markers]), ["tree", "trial", "spent"], markers, sum(yes is None for _, _, yes, _ in tree), F.col("spent"))
+    tried = counted(cells, markers).withColumn("_p", F.explode(rows))  # equal cells take the same way in every trial
+    tried = tried.withColumn("leaf", tree_column(lambda n: F.col(f"_p.t_{n}"), lambda n, name: F.lit(n), tree))
+    judged = tree_quality(tried.select("cells", F.col("_p.tree").alias("tree"), F.col("_p.trial").alias("trial"), F.col("_p.penalty").alias("spent"), "leaf", *[F.col(f"`{m}`") for m in markers]), ["tree", "trial", "spent"], markers, sum(yes is None for _, _, yes, _ in tree), F.col("spent"))
     best = judged.groupBy("tree").agg(F.max_by(F.struct("trial", "score"), F.struct("score", -F.col("trial"))).alias("b"))
     return best.select("tree", "b.trial", "b.score")

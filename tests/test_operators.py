@@ -261,3 +261,35 @@ def test_joins_within_a_radius_and_of_boxes_make_no_row_per_candidate(spark):
     pairs = spatial.box_iou(boxes, 0.7)
     assert "Aggregate" not in plan(pairs)  # no pair stands twice, so none is shuffled
     assert pairs.count() == pairs.select("i", "j").distinct().count() == 2 * 20 * 19 + 2 * 19 * 19
+
+
+def test_equal_cells_count_once_with_their_number(spark, monkeypatch):
+    """Leaf distances and threshold search see each distinct row of markers once, however often it stands."""
+    rows = [(i, 1, float(i % 3), float(i % 5) / 7) for i in range(90)]
+    df = spark.createDataFrame(rows, "cell_id long, leaf int, p double, q double")
+    assert classify.counted(df, ["p", "q"], ["leaf"]).count() == 15
+    got = classify.leaf_distances(df, ["leaf"], ["p", "q"], block=4).collect()
+    brute = [math.dist(a[2:], b[2:]) for i, a in enumerate(rows) for b in rows[:i]]
+    assert [r.n for r in got] == [90] and got[0].mean_distance == pytest.approx(sum(brute) / len(brute), abs=1e-12)
+    cells = spark.createDataFrame([(i, *[(i % 4 * (j + 3)) % 7 / 7 for j in range(len(set(classify.tree_markers())))]) for i in range(200)], ["cell_id", *dict.fromkeys(classify.tree_markers())])
+    told, whole = [], classify.leaf_distances
+    monkeypatch.setattr(classify, "leaf_distances", lambda df, *rest: told.append(df.count()) or whole(df, *rest))
+    assert classify.threshold_search(cells, 2, 2).count() == 2 and told == [4 * 2 * 2]  # 4 different rows in each trial
+
+
+def test_zscore_does_not_fall_below_a_whole_value(spark):
+    """A layer that is the reference itself keeps its values, whatever the last digits of the sums."""
+    rows = [(im, 0, y, x, float((7 * x + 13 * y) % 251)) for im in (0, 1) for y in range(16) for x in range(16)]
+    df = spark.createDataFrame(rows, "image_id long, channel long, y long, x long, v double")
+    assert {(r.y, r.x): r.v for r in raster.zscore(df, 0).where("image_id = 1").collect()} == {(y, x): v for im, _, y, x, v in rows if im}
+
+
+def test_a_centre_on_the_edge_belongs_to_one_of_two_regions(spark):
+    """As in the SQL of k10: a centre counts where the ray to the right crosses an odd number of sides."""
+    from stratum.operators import regions
+
+    pixels = spark.createDataFrame([(0, 0, y, x, float(10 * y + x)) for y in range(8) for x in range(8)], "grp long, channel long, y long, x long, v double")
+    box = lambda x0, x1: [{"x": x0, "y": 1.0}, {"x": x1, "y": 1.0}, {"x": x1, "y": 4.0}, {"x": x0, "y": 4.0}]
+    shapes = spark.createDataFrame([(0, 1, box(0.0, 2.5)), (0, 2, box(2.5, 5.0))], "grp long, shape_id long, ring array<struct<x: double, y: double>>")
+    means = {r.shape_id: r.mean for r in regions.region_signal(pixels, shapes, 1.0, 8, 8).collect()}
+    assert means == {1: 20.5, 2: 23.0}  # the column x = 2 belongs to the right one
