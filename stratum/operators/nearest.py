@@ -11,6 +11,9 @@ not of the squares. At last the points of the leaves found meet the left leaf's
 k nearest of each; nothing but results leaves it. A leaf of more than ``MOST`` left points (all in one place) is dealt out
 in portions, and of right points in one place only the lowest ids that can count take part.
 
+Tables of squares, leaves and pairs grow with the points but are packed so well in files that Spark would take them for
+small ones and send them whole through the driver; so their joins ask for a merge.
+
 Defined cases: points without finite coordinates have no neighbours and are none; fewer than k right points in a group
 give as many as there are; equal distances go to the lowest id.
 """
@@ -99,7 +102,7 @@ def quadtree(points: DataFrame, keys: list[str], most: int = MOST) -> tuple[Data
         told = stored(_split_cells(cells, keys, base, fine, most))
         nodes.append(told.where("node").drop("node"))
         leaves = told.where("not node").select(*keys, "cx", "cy", "level", F.col("leaf").alias("crowded"))
-        met = stored(open_points.withColumns({"cx": _shift("gx", DEPTH - fine), "cy": _shift("gy", DEPTH - fine)}).join(leaves, [*keys, "cx", "cy"]))
+        met = stored(open_points.withColumns({"cx": _shift("gx", DEPTH - fine), "cy": _shift("gy", DEPTH - fine)}).join(leaves.hint("merge"), [*keys, "cx", "cy"]))
         done.append(met.where("level is not null").withColumns({"cx": F.expr(f"shiftright(cx, {fine} - level)"), "cy": F.expr(f"shiftright(cy, {fine} - level)")}))
         open_points = met.where("level is null").drop("cx", "cy", "level", "crowded")
         if open_points.isEmpty():
@@ -121,7 +124,7 @@ def _found_leaves(nodes: DataFrame, keys: list[str], need: int) -> DataFrame:
     blocks = nodes.where("leaf and nl > 0").select(*keys, block, F.col("nl").alias("n"), *[F.col(f"l_{c}").alias(f"b_{c}") for c in _BOX])
     tree = nodes.where((F.col("nr") > 0) & (F.col("leaf") | (F.col("level") % DOWN == 0))).select(*keys, "level", "cx", "cy", "leaf", "nr", *[f"r_{c}" for c in _BOX])
     parts = tree.where("level > 0").withColumn("up", (F.floor((F.col("level") - 1) / DOWN) * DOWN).cast("int")).withColumns({"px": F.expr("shiftright(cx, level - up)"), "py": F.expr("shiftright(cy, level - up)")})
-    front = blocks.join(tree.where("level = 0"), keys)
+    front = blocks.join(tree.where("level = 0").hint("merge"), keys)
     square = lambda c: c * c
     gap = lambda a: F.greatest(F.lit(0.0), F.col(f"r_{a}0") - F.col(f"b_{a}1"), F.col(f"b_{a}0") - F.col(f"r_{a}1"))
     span = lambda a: F.greatest(F.abs(F.col(f"r_{a}1") - F.col(f"b_{a}0")), F.abs(F.col(f"b_{a}1") - F.col(f"r_{a}0")))
@@ -134,7 +137,7 @@ def _found_leaves(nodes: DataFrame, keys: list[str], need: int) -> DataFrame:
         inner = front.where("not leaf")
         if inner.isEmpty():
             return front.select(*keys, "block", "n", "level", "cx", "cy")
-        down = inner.select(*keys, "block", "n", *[f"b_{c}" for c in _BOX], F.col("level").alias("up"), F.col("cx").alias("px"), F.col("cy").alias("py")).join(parts, [*keys, "up", "px", "py"])
+        down = inner.select(*keys, "block", "n", *[f"b_{c}" for c in _BOX], F.col("level").alias("up"), F.col("cx").alias("px"), F.col("cy").alias("py")).join(parts.hint("merge"), [*keys, "up", "px", "py"])
         front = front.where("leaf").unionByName(down.select(*front.columns))
 
 
@@ -164,9 +167,9 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, keys=("grp",), other: bo
     rights = points.where("is_right")
     few = rights.where(crowded).withColumn("_r", F.row_number().over(W.partitionBy(*keys, "x", "y").orderBy("id"))).where(F.col("_r") <= need).drop("_r")
     rights = rights.where(~crowded).unionByName(few).select(*keys, "level", "cx", "cy", "id", "x", "y")
-    sent = rights.join(pairs.select(*keys, "level", "cx", "cy", "block", "portion"), [*keys, "level", "cx", "cy"]).select(*[F.col(c).alias(f"to_{c}") for c in (*keys, "block", "portion")], "id", "x", "y")  # own names: both sides are of one table
+    sent = rights.join(pairs.select(*keys, "level", "cx", "cy", "block", "portion").hint("merge"), [*keys, "level", "cx", "cy"]).select(*[F.col(c).alias(f"to_{c}") for c in (*keys, "block", "portion")], "id", "x", "y")  # own names: both sides are of one table
     sizes = pairs.select(*keys, "block", "portions").distinct()
-    lefts = points.where("not is_right").withColumn("block", F.struct(F.col("level").alias("level"), F.col("cx").alias("x"), F.col("cy").alias("y"))).join(sizes, [*keys, "block"])
+    lefts = points.where("not is_right").withColumn("block", F.struct(F.col("level").alias("level"), F.col("cx").alias("x"), F.col("cy").alias("y"))).join(sizes.hint("merge"), [*keys, "block"])
     lefts = lefts.select(*keys, "block", F.pmod(F.xxhash64("id"), F.col("portions")).alias("portion"), *[F.col(c).alias(f"a_{c}") for c in ("id", "x", "y")])
     names = [*keys, "id_a", "id_b", "xa", "ya", "xb", "yb", "distance", "rank"]
     kinds = [pa.int64()] * (len(keys) + 2) + [pa.float64()] * 5 + [pa.int64()]

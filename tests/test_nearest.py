@@ -89,3 +89,15 @@ def test_landmarks_on_a_thousand_by_thousand_grid(spark):
     for r in got:
         x, y = np.rint(marks[r.id_a])
         assert r.id_b == int(y) * 1000 + int(x)
+
+
+def test_tables_of_squares_are_not_sent_through_the_driver(spark, monkeypatch):
+    """Joins with tables that grow with the points are merges, though their files look small."""
+    plans, whole = [], N.stored
+    monkeypatch.setattr(N, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or whole(df))
+    points = spark.range(3000).selectExpr("id % 5 AS grp", "id", "CAST(id * 37 % 101 AS DOUBLE) AS x", "CAST(id * 53 % 103 AS DOUBLE) AS y")
+    found = N.knn_join(points, points, 2, most=64)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    met = [p for p in plans if "level" in p and "Join" in p]
+    assert met and not any("BroadcastHashJoin" in p for p in met)
+    assert found.count() == 6000
