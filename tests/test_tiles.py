@@ -199,3 +199,34 @@ def test_bspline_field_by_tiles(spark, kind, tile):
             for b, kb in enumerate(w(x / 1.7 - bx)):
                 want = [s + ka * kb * v for s, v in zip(want, known.get((i, by + a + first, bx + b + first), (0.0, 0.0)))]
         assert np.allclose(d, want, atol=1e-12)
+
+
+@pytest.mark.parametrize("tile", [256, 10])
+def test_ssim_by_tiles(spark, tile):
+    """Against the windows of whole images, also across tiles and with missing pixels; pixels are shuffled once, not once per
+    product and axis."""
+    from stratum.operators import ml
+
+    rng = np.random.default_rng(8)
+    h, w, half = 27, 33, 2
+    made = {(i, c): rng.uniform(0, 1, (2, h, w)) for i in (0, 4) for c in (0, 1)}
+    kept = rng.uniform(size=(h, w)) < 0.9
+    rows = [(i, c, y, x, *p[:, y, x].tolist()) for (i, c), p in made.items() for y in range(h) for x in range(w) if i or kept[y, x]]
+    met = spark.createDataFrame(rows, "image_id long, channel long, y long, x long, a double, b double")
+    found = ml.ssim(met, h, w, 5, 1.5, tile=tile)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2
+    got, kernel = {r.image_id: r.loss for r in found.collect()}, T._kernel(5, 1.5)
+    weights = np.outer(kernel, kernel)
+    for i in (0, 4):
+        values = []
+        for c in (0, 1):
+            a, b = (p * kept if i == 0 else p for p in made[i, c])
+            for y in range(half, h - half):
+                for x in range(half, w - half):
+                    if i or kept[y, x]:
+                        s, t = (p[y - half : y + half + 1, x - half : x + half + 1] for p in (a, b))
+                        ma, mb = (weights * s).sum(), (weights * t).sum()
+                        va, vb, vab = (weights * s * s).sum() - ma**2, (weights * t * t).sum() - mb**2, (weights * s * t).sum() - ma * mb
+                        values.append((2 * ma * mb + 1e-4) * (2 * vab + 9e-4) / ((ma**2 + mb**2 + 1e-4) * (va + vb + 9e-4)))
+        assert abs(got[i] - (1 - np.mean(values))) < 1e-9
+    assert got.keys() == {0, 4}
