@@ -7,8 +7,9 @@ the density, and a far point costs levels, not candidates.
 Each leaf with left points then looks for the leaves that can hold their neighbours, from the root down: of the squares
 it still considers, those whose farthest corner is near enough hold k points together, and that distance bounds the
 search; squares that begin beyond it are dropped, the others are replaced by their parts. Boxes are those of the points,
-not of the squares. At last the points of the leaves found meet the left leaf's points in one group, where NumPy keeps the
-k nearest of each; nothing but results leaves it. A leaf of more than ``MOST`` left points (all in one place) is dealt out
+not of the squares. A leaf found sends a left leaf only the points that can be among the k nearest somewhere in its box:
+not those that k others beat at all four corners, and so everywhere inside. At last they meet the left leaf's points in
+one group, where NumPy keeps the k nearest of each; nothing but results leaves it. A leaf of more than ``MOST`` left points (all in one place) is dealt out
 in portions, and of right points in one place only the lowest ids that can count take part.
 
 Tables of squares, leaves and pairs grow with the points but are packed so well in files that Spark would take them for
@@ -31,6 +32,8 @@ from ..session import ship_package, stored
 MOST, STEP, DEPTH = 512, 6, 42
 #: Levels that the search goes down at once.
 DOWN = 6
+#: Left leaves that a group of one right leaf serves, and points that may beat others there.
+SERVED, BEST = 2048, 64
 _BOX = ("x0", "x1", "y0", "y1")
 
 
@@ -119,7 +122,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def _found_leaves(nodes: DataFrame, keys: list[str], need: int) -> DataFrame:
-    """keys, block (level, x, y of a leaf with left points), n of its left points, and level, cx, cy of the leaves to read."""
+    """keys, block (level, x, y of a leaf with left points), n of its left points and their box b_*, and level, cx, cy of the
+    leaves to read."""
     block = F.struct(F.col("level").alias("level"), F.col("cx").alias("x"), F.col("cy").alias("y")).alias("block")
     blocks = nodes.where("leaf and nl > 0").select(*keys, block, F.col("nl").alias("n"), *[F.col(f"l_{c}").alias(f"b_{c}") for c in _BOX])
     tree = nodes.where((F.col("nr") > 0) & (F.col("leaf") | (F.col("level") % DOWN == 0))).select(*keys, "level", "cx", "cy", "leaf", "nr", *[f"r_{c}" for c in _BOX])
@@ -136,11 +140,60 @@ def _found_leaves(nodes: DataFrame, keys: list[str], need: int) -> DataFrame:
         front = stored(bound.where("bound is null or near <= bound * (1 + 1e-9)").drop("near", "far", "_enough", "bound"))
         inner = front.where("not leaf")
         if inner.isEmpty():
-            return front.select(*keys, "block", "n", "level", "cx", "cy")
+            return front.select(*keys, "block", "n", "level", "cx", "cy", *[f"b_{c}" for c in _BOX])
         down = inner.select(*keys, "block", "n", *[f"b_{c}" for c in _BOX], F.col("level").alias("up"), F.col("cx").alias("px"), F.col("cy").alias("py")).join(parts.hint("merge"), [*keys, "up", "px", "py"])
         front = front.where("leaf").unionByName(down.select(*front.columns))
 
 
+def near_somewhere(x: np.ndarray, y: np.ndarray, x0: float, x1: float, y0: float, y1: float, need: int) -> np.ndarray:
+    """Which points can be among the need nearest of a place in the box. Where one point is nearer than another is a half
+    plane, so a point that is nearer at all corners is nearer everywhere inside; differences that rounding may turn do not count."""
+    if len(x) <= need:
+        return np.ones(len(x), bool)
+    to = np.stack([(x - cx) ** 2 + (y - cy) ** 2 for cx in (x0, x1) for cy in (y0, y1)], axis=1)
+    slack = 1e-9 * to.max()
+    near = np.maximum(0.0, np.maximum(x0 - x, x - x1)) ** 2 + np.maximum(0.0, np.maximum(y0 - y, y - y1)) ** 2
+    kept = ~(near > np.partition(to.max(axis=1), need - 1)[need - 1] + slack)
+    own = to[kept]
+    best = own[np.argsort(own.sum(axis=1), kind="stable")[: max(BEST, 2 * need)]]
+    beaten = np.ones((len(own), len(best)), bool)
+    for corner in range(4):
+        beaten &= best[None, :, corner] < own[:, None, corner] - slack
+    kept[kept] = beaten.sum(axis=1) < need
+    return kept
+
+
+def _sent_points(rights: DataFrame, pairs: DataFrame, keys: list[str], need: int) -> DataFrame:
+    """to_keys, to_block, portions, id, x, y: what each right leaf sends the left leaves that read it. rights: keys, level, cx,
+    cy, id, x, y. A leaf that very many read is dealt out, SERVED of them a group."""
+    leaf = [*keys, "level", "cx", "cy"]
+    deals = stored(pairs.groupBy(*leaf).agg(F.ceil(F.count("*") / SERVED).cast("int").alias("deals")))
+    boxes = [f"b_{c}" for c in _BOX]
+    of = F.col("block")
+    readers = pairs.join(deals.hint("merge"), leaf).select(*[F.col(c).alias(f"of_{c}") for c in leaf], F.pmod(F.xxhash64("block"), F.col("deals")).cast("int").alias("of_deal"), of["level"].alias("to_level"), of["x"].alias("to_x"), of["y"].alias("to_y"), F.col("portions").cast("long").alias("portions"), *boxes)
+    dealt = rights.join(deals.hint("merge"), leaf).withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).select(*leaf, "deal", "id", "x", "y")
+    told = [*[(f"to_{c}", pa.int64()) for c in keys], ("to_level", pa.int32()), ("to_x", pa.int64()), ("to_y", pa.int64()), ("portions", pa.int64()), ("id", pa.int64()), ("x", pa.float64()), ("y", pa.float64())]
+    schema = pa.schema(told)
+
+    def compute(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return schema.empty_table()
+        ids, x, y = (a.column(c).to_numpy() for c in ("id", "x", "y"))
+        box = np.stack([b.column(c).to_numpy() for c in boxes], axis=1)
+        found = [np.flatnonzero(near_somewhere(x, y, *box[i], need)) for i in range(len(box))]
+        which, reader = np.concatenate(found), pa.array(np.repeat(np.arange(len(box)), [len(f) for f in found]))
+        group = [pa.array(np.full(len(which), a.column(c)[0].as_py())) for c in keys]
+        to = [b.column(c).combine_chunks().take(reader) for c in ("to_level", "to_x", "to_y", "portions")]
+        return pa.Table.from_arrays([*group, *to, pa.array(ids[which]), pa.array(x[which]), pa.array(y[which])], schema=schema)
+
+    ship_package(rights.sparkSession)
+    names = {pa.int64(): "long", pa.int32(): "int", pa.float64(): "double"}
+    by = [*leaf, "deal"]
+    sent = dealt.groupBy(*by).cogroup(readers.groupBy(*[f"of_{c}" for c in by])).applyInArrow(compute, ", ".join(f"{n} {names[t]}" for n, t in told))
+    block = F.struct(F.col("to_level").alias("level"), F.col("to_x").alias("x"), F.col("to_y").alias("y"))
+    return sent.select(*[f"to_{c}" for c in keys], block.alias("to_block"), "portions", "id", "x", "y")
+
+
 def nearest_rows(xa: np.ndarray, ya: np.ndarray, xb: np.ndarray, yb: np.ndarray, k: int, same: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of a, row of b, distance) of the k nearest b of each a; b is in order of its id. same marks pairs to leave out."""
     d = np.sqrt((xa[:, None] - xb[None]) ** 2 + (ya[:, None] - yb[None]) ** 2)
@@ -161,13 +214,12 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, keys=("grp",), other: bo
     finite = (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))
     side = lambda df, flag: df.where(finite).select(*[F.col(c).cast("long").alias(c) for c in keys], F.col("id").cast("long").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.lit(flag).alias("is_right"))
     points, nodes = quadtree(side(left, False).unionByName(side(right, True)), keys, most)
-    pairs = _found_leaves(nodes, keys, need).withColumn("portions", F.ceil(F.col("n") / most))
-    pairs = stored(pairs.withColumn("portion", F.explode(F.sequence(F.lit(0), F.col("portions") - 1))))
+    pairs = stored(_found_leaves(nodes, keys, need).withColumn("portions", F.ceil(F.col("n") / most)))
     crowded = F.col("crowded")
     rights = points.where("is_right")
     few = rights.where(crowded).withColumn("_r", F.row_number().over(W.partitionBy(*keys, "x", "y").orderBy("id"))).where(F.col("_r") <= need).drop("_r")
     rights = rights.where(~crowded).unionByName(few).select(*keys, "level", "cx", "cy", "id", "x", "y")
-    sent = rights.join(pairs.select(*keys, "level", "cx", "cy", "block", "portion").hint("merge"), [*keys, "level", "cx", "cy"]).select(*[F.col(c).alias(f"to_{c}") for c in (*keys, "block", "portion")], "id", "x", "y")  # own names: both sides are of one table
+    sent = _sent_points(rights, pairs, keys, need).withColumn("to_portion", F.explode(F.sequence(F.lit(0), F.col("portions") - 1))).drop("portions")
     sizes = pairs.select(*keys, "block", "portions").distinct()
     lefts = points.where("not is_right").withColumn("block", F.struct(F.col("level").alias("level"), F.col("cx").alias("x"), F.col("cy").alias("y"))).join(sizes.hint("merge"), [*keys, "block"])
     lefts = lefts.select(*keys, "block", F.pmod(F.xxhash64("id"), F.col("portions")).alias("portion"), *[F.col(c).alias(f"a_{c}") for c in ("id", "x", "y")])

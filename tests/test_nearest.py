@@ -101,3 +101,45 @@ def test_tables_of_squares_are_not_sent_through_the_driver(spark, monkeypatch):
     met = [p for p in plans if "level" in p and "Join" in p]
     assert met and not any("BroadcastHashJoin" in p for p in met)
     assert found.count() == 6000
+
+
+def places(seed, n, spots):
+    """Points in a few dense places of whole and broken coordinates, far apart."""
+    rng = random.Random(seed)
+    at = [(rng.randrange(200), rng.randrange(200)) for _ in range(spots)]
+    rows = [(1, i, *(a + rng.choice((rng.random(), 0.5, 0.25)) for a in rng.choice(at))) for i in range(n)]
+    return rows + [(2, 9000 + i, i % 4, i // 4) for i in range(40)]
+
+
+def test_a_leaf_sends_only_points_that_can_be_near(spark, monkeypatch):
+    right = places(1, 900, 3)
+    rng = random.Random(2)
+    left = [(1, i, rng.uniform(0, 200), rng.uniform(0, 200)) for i in range(150)] + [(2, 150 + i, i % 3 + 0.5, i % 5) for i in range(30)]
+    sent, whole = [], N._sent_points
+    monkeypatch.setattr(N, "SERVED", 3)
+    monkeypatch.setattr(N, "_sent_points", lambda *a: sent.append(whole(*a).count()) or whole(*a))
+    assert equal(found(N.knn_join(table(spark, left), table(spark, right), 3, most=32)), brute(left, right, 3))
+    assert sent[0] < 0.4 * read_in_all(spark, left, right, 4, 32)
+    assert equal(found(N.knn_join(table(spark, right), table(spark, right), 3, other=True, most=32)), brute(right, right, 3, True))
+
+
+def read_in_all(spark, left, right, need, most):
+    side = lambda rows, flag: table(spark, rows).withColumn("is_right", F.lit(flag))
+    _, nodes = N.quadtree(side(left, False).unionByName(side(right, True)), ["grp"], most)
+    sizes = nodes.where("leaf").select("grp", "level", "cx", "cy", "nr")
+    return N._found_leaves(nodes, ["grp"], need).join(sizes, ["grp", "level", "cx", "cy"]).agg(F.sum("nr")).first()[0]
+
+
+def test_points_that_others_beat_in_the_whole_box():
+    rng = np.random.default_rng(8)
+    for need in (1, 2, 6):
+        for _ in range(60):
+            x, y = np.round(rng.normal(0, 1, (2, 90)), rng.integers(0, 4))
+            x0, y0 = rng.uniform(-4, 4, 2)
+            x1, y1 = x0 + rng.uniform(0, 3) * rng.integers(0, 2), y0 + rng.uniform(0, 3)
+            kept = N.near_somewhere(x, y, x0, x1, y0, y1, need)
+            bx, by = np.append(rng.uniform(x0, x1, 80), [x0, x1]), np.append(rng.uniform(y0, y1, 80), [y1, y0])
+            d = np.hypot(bx[:, None] - x, by[:, None] - y)
+            limit = np.sort(d, axis=1)[:, need - 1 : need]
+            assert not (d[:, ~kept] <= limit).any()  # a tie may be the one that counts
+    assert N.near_somewhere(*np.array([np.arange(90.0), np.zeros(90)]), -2.0, -1.0, 0.0, 1.0, 3).sum() == 3

@@ -303,3 +303,31 @@ def test_descriptors_are_summed_whole(spark):
     assert "posexplode" not in plan(found)
     want = [2.5, 3.5, 3.0]  # the mean of the cells at y and x of 1 and 2
     assert found.collect()[0].features == pytest.approx([w / math.dist(want, [0, 0, 0]) for w in want], abs=1e-12)
+
+
+def test_cells_meet_once_and_their_pairs_are_not_shuffled(spark):
+    rng = random.Random(6)
+    spot = lambda n, at: [(g, at + i, rng.uniform(0, 30), rng.uniform(0, 30)) for g in range(2) for i in range(n)]
+    ddl = "grp long, id long, x double, y double"
+    fixed, moving, keys = spot(40, 0), spot(50, 100), spot(14, 500)[:17]  # the second group has three keypoints only
+    kpts = spark.createDataFrame([(g, i, x, y, x + 1.0, y - 2.0) for g, i, x, y in keys], "grp long, id long, xf double, yf double, xm double, ym double")
+
+    def nearest(cells, dx, dy):
+        out = {}
+        for g, i, x, y in cells:
+            own = sorted((math.hypot(x - p - dx, y - q - dy), j, x - p - dx, y - q - dy) for h, j, p, q in keys if h == g)
+            out[g, i] = {j: (a, b) for _, j, a, b in own[:5]}
+        return out
+
+    want = {}
+    for (g, f), a in nearest(fixed, 0, 0).items():
+        for (h, m), b in nearest(moving, 1.0, -2.0).items():
+            both = a.keys() & b.keys()
+            if g == h and len(both) >= 3:
+                want[g, f, m] = (len(both), sum(abs(a[j][0] - b[j][0]) + abs(a[j][1] - b[j][1]) for j in both) / 2 / len(both))
+    met = matching.cell_match_candidates(spark.createDataFrame(fixed, ddl), spark.createDataFrame(moving, ddl), kpts)
+    rows = met.collect()
+    got = {(r.grp, r.f, r.m): (r.shared, r.score) for r in rows}
+    assert len(got) == len(rows) and got.keys() == want.keys() and {g for g, _, _ in got} == {0, 1}
+    assert all(got[p][0] == want[p][0] and got[p][1] == pytest.approx(want[p][1], abs=1e-9) for p in want)
+    assert "Exchange" not in plan(met).split("SortMergeJoin")[0] and "Aggregate" not in plan(met).split("SortMergeJoin")[0].replace("AdaptiveSparkPlan", "")
