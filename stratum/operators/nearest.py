@@ -31,7 +31,7 @@ from ..session import ship_package, stored
 
 MOST, STEP, DEPTH = 512, 6, 42
 #: Levels that the search goes down at once.
-DOWN = 6
+DOWN = 3
 #: Left leaves that a group of one right leaf serves, and points that may beat others there.
 SERVED, BEST = 2048, 64
 _BOX = ("x0", "x1", "y0", "y1")
