@@ -10,7 +10,8 @@ search; squares that begin beyond it are dropped, the others are replaced by the
 not of the squares. A leaf found sends a left leaf only the points that can be among the k nearest somewhere in its box:
 not those that k others beat at all four corners, and so everywhere inside. At last they meet the left leaf's points in
 one group, where NumPy keeps the k nearest of each; nothing but results leaves it. A leaf of more than ``MOST`` left points (all in one place) is dealt out
-in portions, and of right points in one place only the lowest ids that can count take part.
+in portions. Of right points in one place only the lowest ids that can count take part from the beginning, and groups of
+keys without points of both sides drop out before anything is counted.
 
 Tables of squares, leaves and pairs grow with the points but are packed so well in files that Spark would take them for
 small ones and send them whole through the driver; so their joins ask for a merge.
@@ -27,9 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import ship_package, stored
+from ..session import ship_package, spread_out, stored
 
-MOST, STEP, DEPTH = 512, 6, 42
+MOST, STEP, DEPTH = 512, 7, 42
 #: Levels that the search goes down at once.
 DOWN = 3
 #: Left leaves that a group of one right leaf serves, and points that may beat others there.
@@ -42,8 +43,8 @@ def _shift(c: str, by: int) -> Column:
 
 
 def _placed(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Points with their place (gx, gy) on the finest level of their group's square."""
-    ends = points.groupBy(*keys).agg(F.min("x").alias("_x"), F.min("y").alias("_y"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("_side"))
+    """Points with their place (gx, gy) on the finest level of their group's square; groups without both sides are left out."""
+    ends = points.groupBy(*keys).agg(F.min("x").alias("_x"), F.min("y").alias("_y"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("_side"), (F.bool_or("is_right") & ~F.bool_and("is_right")).alias("_both")).where("_both").drop("_both")
     at = lambda c: F.least(F.floor((F.col(c) - F.col(f"_{c}")) / F.when(F.col("_side") > 0, F.col("_side")).otherwise(1.0) * float(1 << DEPTH)), F.lit((1 << DEPTH) - 1)).cast("long")
     return points.join(ends, keys).withColumns({"gx": at("x"), "gy": at("y")}).drop("_x", "_y", "_side")
 
@@ -53,7 +54,7 @@ _CELL = "node boolean, level int, cx long, cy long, leaf boolean, nl long, nr lo
 
 def _split_cells(cells: DataFrame, keys: list[str], base: int, fine: int, most: int) -> DataFrame:
     """The squares from level base to fine above some finest cells (node), and each cell with its leaf's level (not node;
-    null if it is to be split further) and whether that leaf has more than most right points (leaf). The cells of one square of level base, at most 4 ** STEP, are one group."""
+    null if it is to be split further). The cells of one square of level base, at most 4 ** STEP, are one group."""
     names, sums = [*keys, *(part.split()[0] for part in _CELL.split(", "))], ("nl", "nr")
     bounds = [f"{s}_{c}" for s in "lr" for c in _BOX]
     kinds = {"boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
@@ -62,29 +63,26 @@ def _split_cells(cells: DataFrame, keys: list[str], base: int, fine: int, most:
     def compute(group: pa.Table) -> pa.Table:
         at = {c: group.column(c).to_numpy() for c in ("cx", "cy", *sums)} | {c: group.column(c).to_numpy(zero_copy_only=False).astype(float) for c in bounds}
         n = group.num_rows
+        inner = [at[c] & ((1 << (fine - base)) - 1) for c in ("cx", "cy")]
         open_cells, leaf_level, out = np.ones(n, bool), np.full(n, -1), []
-        crowded = np.zeros(n, bool)
         for level in range(base, fine + 1):
-            _, first, own = np.unique(np.stack([at["cx"] >> (fine - level), at["cy"] >> (fine - level)]), axis=1, return_index=True, return_inverse=True)
-            own = own.ravel()
-            total = {c: np.bincount(own, weights=at[c], minlength=len(first)).astype(np.int64) for c in sums}
-            box = {}
-            for c in bounds:
-                box[c] = np.full(len(first), np.inf if c[-1] == "0" else -np.inf)
-                (np.fmin if c[-1] == "0" else np.fmax).at(box[c], own, at[c])
-                box[c][~np.isfinite(box[c])] = np.nan
+            square = ((inner[0] >> (fine - level)) << STEP) | (inner[1] >> (fine - level))
+            _, first, own, size = np.unique(square, return_index=True, return_inverse=True, return_counts=True)
+            order, starts = np.argsort(own, kind="stable"), np.cumsum(size) - size
+            total = {c: np.add.reduceat(at[c][order], starts) for c in sums}
+            box = {c: (np.fmin if c[-1] == "0" else np.fmax).reduceat(at[c][order], starts) for c in bounds}  # NaN: no points
             apart = [np.fmax(box[f"l_{c}1"], box[f"r_{c}1"]) > np.fmin(box[f"l_{c}0"], box[f"r_{c}0"]) for c in "xy"]
             split = ((total["nl"] > most) | (total["nr"] > most)) & (level < DEPTH) & (apart[0] | apart[1])
-            seen = open_cells[first] & (level > base or base == 0)  # a square exists if all above it are split
-            for i in np.flatnonzero(seen):
-                out.append((True, level, at["cx"][first[i]] >> (fine - level), at["cy"][first[i]] >> (fine - level), not split[i], total["nl"][i], total["nr"][i], *(box[c][i] for c in bounds)))
-            settled = open_cells & ~split[own]
-            leaf_level[settled] = level
-            crowded[settled] = total["nr"][own][settled] > most
+            seen = np.flatnonzero(open_cells[first] & (level > base or base == 0))  # a square exists if all above it are split
+            out.append({"node": np.ones(len(seen), bool), "level": np.full(len(seen), level), "cx": at["cx"][first[seen]] >> (fine - level), "cy": at["cy"][first[seen]] >> (fine - level), "leaf": ~split[seen]} | {c: v[seen] for c, v in (total | box).items()})
+            leaf_level[open_cells & ~split[own]] = level
             open_cells &= split[own]
-        out += [(False, level if level >= 0 else None, x, y, many, None, None, *[None] * len(bounds)) for level, x, y, many in zip(leaf_level.tolist(), at["cx"].tolist(), at["cy"].tolist(), crowded.tolist())]
-        columns = [pa.array([None if isinstance(v, float) and np.isnan(v) else v for v in c], f.type) for c, f in zip(zip(*out), list(schema)[len(keys) :])]
-        return pa.Table.from_arrays([*(pa.array([group.column(k)[0].as_py()] * len(out), pa.int64()) for k in keys), *columns], names=names)
+        nodes = {c: np.concatenate([o[c] for o in out]) for c in out[0]}
+        told = {"node": np.zeros(n, bool), "level": leaf_level, "cx": at["cx"], "cy": at["cy"]}
+        columns = [np.full(n + len(nodes["node"]), group.column(k)[0].as_py()) for k in keys]
+        columns += [np.concatenate([nodes[c], told.get(c, np.full(n, np.nan) if c in bounds else np.zeros(n, nodes[c].dtype))]) for c in names[len(keys) :]]
+        blank = {"level": columns[names.index("level")] < 0} | {c: np.isnan(columns[names.index(c)]) for c in bounds}
+        return pa.Table.from_arrays([pa.array(c, f.type, mask=blank.get(f.name)) for c, f in zip(columns, schema)], names=names)
 
     ship_package(cells.sparkSession)
     square = [_shift(c, fine - base).alias(f"base_{c}") for c in ("cx", "cy")]
@@ -92,7 +90,7 @@ def _split_cells(cells: DataFrame, keys: list[str], base: int, fine: int, most:
 
 
 def quadtree(points: DataFrame, keys: list[str], most: int = MOST) -> tuple[DataFrame, DataFrame]:
-    """(points with their leaf: level, cx, cy, crowded; nodes: keys, level, cx, cy, leaf, nl, nr, and the boxes l_* and r_* of both
+    """(points with their leaf: level, cx, cy; nodes: keys, level, cx, cy, leaf, nl, nr, and the boxes l_* and r_* of both
     sides). points: keys, is_right, id, x, y."""
     open_points, base = stored(_placed(points, keys)), 0
     done, nodes = [], []
@@ -104,10 +102,10 @@ def quadtree(points: DataFrame, keys: list[str], most: int = MOST) -> tuple[Data
         cells = open_points.groupBy(*keys, _shift("gx", DEPTH - fine).alias("cx"), _shift("gy", DEPTH - fine).alias("cy")).agg(*counts, *boxes)
         told = stored(_split_cells(cells, keys, base, fine, most))
         nodes.append(told.where("node").drop("node"))
-        leaves = told.where("not node").select(*keys, "cx", "cy", "level", F.col("leaf").alias("crowded"))
+        leaves = told.where("not node").select(*keys, "cx", "cy", "level")
         met = stored(open_points.withColumns({"cx": _shift("gx", DEPTH - fine), "cy": _shift("gy", DEPTH - fine)}).join(leaves.hint("merge"), [*keys, "cx", "cy"]))
         done.append(met.where("level is not null").withColumns({"cx": F.expr(f"shiftright(cx, {fine} - level)"), "cy": F.expr(f"shiftright(cy, {fine} - level)")}))
-        open_points = met.where("level is null").drop("cx", "cy", "level", "crowded")
+        open_points = met.where("level is null").drop("cx", "cy", "level")
         if open_points.isEmpty():
             break
         base = fine
@@ -145,22 +143,43 @@ def _found_leaves(nodes: DataFrame, keys: list[str], need: int) -> DataFrame:
         front = front.where("leaf").unionByName(down.select(*front.columns))
 
 
-def near_somewhere(x: np.ndarray, y: np.ndarray, x0: float, x1: float, y0: float, y1: float, need: int) -> np.ndarray:
-    """Which points can be among the need nearest of a place in the box. Where one point is nearer than another is a half
-    plane, so a point that is nearer at all corners is nearer everywhere inside; differences that rounding may turn do not count."""
-    if len(x) <= need:
-        return np.ones(len(x), bool)
-    to = np.stack([(x - cx) ** 2 + (y - cy) ** 2 for cx in (x0, x1) for cy in (y0, y1)], axis=1)
-    slack = 1e-9 * to.max()
-    near = np.maximum(0.0, np.maximum(x0 - x, x - x1)) ** 2 + np.maximum(0.0, np.maximum(y0 - y, y - y1)) ** 2
-    kept = ~(near > np.partition(to.max(axis=1), need - 1)[need - 1] + slack)
-    own = to[kept]
-    best = own[np.argsort(own.sum(axis=1), kind="stable")[: max(BEST, 2 * need)]]
-    beaten = np.ones((len(own), len(best)), bool)
-    for corner in range(4):
-        beaten &= best[None, :, corner] < own[:, None, corner] - slack
-    kept[kept] = beaten.sum(axis=1) < need
-    return kept
+def _beaten(to: np.ndarray, less: np.ndarray, by: int) -> np.ndarray:
+    """How many of the by points nearest to each box are nearer at all its corners: to (corner, box, point) below less."""
+    best = np.argpartition(to.sum(axis=0), by - 1, axis=1)[:, :by]
+    than, count = np.take_along_axis(to, best[None], axis=2), np.zeros(to.shape[1:], np.int16)
+    for t in range(by):
+        nearer = than[0, :, t, None] < less[0]
+        for corner in range(1, 4):
+            nearer &= than[corner, :, t, None] < less[corner]
+        count += nearer
+    return count
+
+
+def near_somewhere(x: np.ndarray, y: np.ndarray, x0, x1, y0, y1, need: int) -> np.ndarray:
+    """Which points can be among the need nearest of a place in the box; a row per box, if these are arrays. Where one point
+    is nearer than another is a half plane, so a point that is nearer at all corners is nearer everywhere inside; differences
+    that rounding may turn do not count."""
+    left, right, low, high = (np.reshape(c, (-1, 1)) for c in (x0, x1, y0, y1))
+    kept = np.ones((len(left), len(x)), bool)
+    rows = max(1, (1 << 17) // max(1, len(x)))
+    for at in range(0, len(left) if len(x) > need else 0, rows):
+        s = slice(at, at + rows)
+        to = np.stack([dx + dy for dx in ((x - left[s]) ** 2, (x - right[s]) ** 2) for dy in ((y - low[s]) ** 2, (y - high[s]) ** 2)])
+        less = to - 1e-9 * to.max(axis=(0, 2))[:, None]
+        own = _beaten(to, less, min(2 * need, len(x))) < need  # a few beat most of the points already
+        count = own.sum(axis=1)
+        alike = np.ceil(np.log2(np.maximum(count, 1))).astype(int)
+        for size in np.unique(alike[count > need]):
+            of = np.flatnonzero(alike == size)
+            most = int(count[of].max())
+            place = np.argsort(~own[of], axis=1, kind="stable")[:, :most]
+            held = np.arange(most) < count[of, None]
+            rest, below = (np.where(held, np.take_along_axis(c[:, of], place[None], axis=2), np.inf) for c in (to, less))
+            again = np.zeros((len(of), len(x)), bool)
+            np.put_along_axis(again, place, held & (_beaten(rest, below, min(max(BEST, 2 * need), most)) < need), axis=1)
+            own[of] = again
+        kept[s] = own
+    return kept if np.ndim(x0) else kept[0]
 
 
 def _sent_points(rights: DataFrame, pairs: DataFrame, keys: list[str], need: int) -> DataFrame:
@@ -180,16 +199,16 @@ def _sent_points(rights: DataFrame, pairs: DataFrame, keys: list[str], need: int
             return schema.empty_table()
         ids, x, y = (a.column(c).to_numpy() for c in ("id", "x", "y"))
         box = np.stack([b.column(c).to_numpy() for c in boxes], axis=1)
-        found = [np.flatnonzero(near_somewhere(x, y, *box[i], need)) for i in range(len(box))]
-        which, reader = np.concatenate(found), pa.array(np.repeat(np.arange(len(box)), [len(f) for f in found]))
+        reader, which = np.nonzero(near_somewhere(x, y, *box.T, need))
+        reader = pa.array(reader)
         group = [pa.array(np.full(len(which), a.column(c)[0].as_py())) for c in keys]
         to = [b.column(c).combine_chunks().take(reader) for c in ("to_level", "to_x", "to_y", "portions")]
         return pa.Table.from_arrays([*group, *to, pa.array(ids[which]), pa.array(x[which]), pa.array(y[which])], schema=schema)
 
     ship_package(rights.sparkSession)
     names = {pa.int64(): "long", pa.int32(): "int", pa.float64(): "double"}
-    by = [*leaf, "deal"]
-    sent = dealt.groupBy(*by).cogroup(readers.groupBy(*[f"of_{c}" for c in by])).applyInArrow(compute, ", ".join(f"{n} {names[t]}" for n, t in told))
+    by, of_by = [*leaf, "deal"], [f"of_{c}" for c in (*leaf, "deal")]
+    sent = spread_out(dealt, *by).groupBy(*by).cogroup(spread_out(readers, *of_by).groupBy(*of_by)).applyInArrow(compute, ", ".join(f"{n} {names[t]}" for n, t in told))
     block = F.struct(F.col("to_level").alias("level"), F.col("to_x").alias("x"), F.col("to_y").alias("y"))
     return sent.select(*[f"to_{c}" for c in keys], block.alias("to_block"), "portions", "id", "x", "y")
 
@@ -213,12 +232,11 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, keys=("grp",), other: bo
     keys, need = list(keys), k + (1 if other else 0)
     finite = (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))
     side = lambda df, flag: df.where(finite).select(*[F.col(c).cast("long").alias(c) for c in keys], F.col("id").cast("long").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.lit(flag).alias("is_right"))
-    points, nodes = quadtree(side(left, False).unionByName(side(right, True)), keys, most)
+    lowest = (F.dense_rank if other else F.row_number)().over(W.partitionBy(*keys, "x", "y").orderBy("id"))  # of a place
+    rights = side(right, True).withColumn("_r", lowest).where(F.col("_r") <= need).drop("_r")
+    points, nodes = quadtree(side(left, False).unionByName(rights), keys, most)
     pairs = stored(_found_leaves(nodes, keys, need).withColumn("portions", F.ceil(F.col("n") / most)))
-    crowded = F.col("crowded")
-    rights = points.where("is_right")
-    few = rights.where(crowded).withColumn("_r", F.row_number().over(W.partitionBy(*keys, "x", "y").orderBy("id"))).where(F.col("_r") <= need).drop("_r")
-    rights = rights.where(~crowded).unionByName(few).select(*keys, "level", "cx", "cy", "id", "x", "y")
+    rights = points.where("is_right").select(*keys, "level", "cx", "cy", "id", "x", "y")
     sent = _sent_points(rights, pairs, keys, need).withColumn("to_portion", F.explode(F.sequence(F.lit(0), F.col("portions") - 1))).drop("portions")
     sizes = pairs.select(*keys, "block", "portions").distinct()
     lefts = points.where("not is_right").withColumn("block", F.struct(F.col("level").alias("level"), F.col("cx").alias("x"), F.col("cy").alias("y"))).join(sizes.hint("merge"), [*keys, "block"])
@@ -248,5 +266,5 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, keys=("grp",), other: bo
 
     ship_package(left.sparkSession)
     ddl = ", ".join(f"{n} {'double' if t == pa.float64() else 'long'}" for n, t in zip(names, kinds))
-    by = [*keys, "block", "portion"]
-    return lefts.groupBy(*by).cogroup(sent.groupBy(*[f"to_{c}" for c in by])).applyInArrow(compute, ddl)
+    by, to_by = [*keys, "block", "portion"], [f"to_{c}" for c in (*keys, "block", "portion")]
+    return spread_out(lefts, *by).groupBy(*by).cogroup(spread_out(sent, *to_by).groupBy(*to_by)).applyInArrow(compute, ddl)

@@ -143,3 +143,31 @@ def test_points_that_others_beat_in_the_whole_box():
             limit = np.sort(d, axis=1)[:, need - 1 : need]
             assert not (d[:, ~kept] <= limit).any()  # a tie may be the one that counts
     assert N.near_somewhere(*np.array([np.arange(90.0), np.zeros(90)]), -2.0, -1.0, 0.0, 1.0, 3).sum() == 3
+
+
+def test_points_that_cannot_count_are_not_counted(spark, monkeypatch):
+    """Of points in one place only the lowest ids are counted, and nothing of groups without both sides."""
+    rng = random.Random(6)
+    right = [(1, i, 3.0, 3.0) for i in rng.sample(range(500), 120)] + [(1, 600 + i, i / 7, i % 5) for i in range(30)] + [(5, 800 + i, i, i) for i in range(60)]
+    left = [(1, i, 2.5, rng.uniform(0, 6)) for i in range(20)] + [(6, 900 + i, i, i) for i in range(50)]
+    seen, whole = [], N.quadtree
+
+    def counted(points, keys, most):
+        told = whole(points, keys, most)
+        seen.append((points.where("is_right and grp = 1").count(), {r.grp for r in told[1].select("grp").distinct().collect()}))
+        return told
+
+    monkeypatch.setattr(N, "quadtree", counted)
+    assert equal(found(N.knn_join(table(spark, left), table(spark, right), 4, most=16)), brute(left, right, 4))
+    assert seen == [(34, {1})]
+
+
+def test_many_boxes_at_once():
+    rng = np.random.default_rng(5)
+    x, y = np.round(rng.normal(0, 1, (2, 400)), 2)
+    low = rng.uniform(-5, 5, (700, 2))
+    high = low + rng.uniform(0, 2, (700, 2))
+    for need in (1, 5):
+        kept = N.near_somewhere(x, y, low[:, 0], high[:, 0], low[:, 1], high[:, 1], need)
+        each = [N.near_somewhere(x, y, a, b, c, d, need) for a, b, c, d in zip(low[:, 0], high[:, 0], low[:, 1], high[:, 1])]
+        assert (kept == np.stack(each)).all() and kept.mean() < 0.4

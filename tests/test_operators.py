@@ -331,3 +331,22 @@ def test_cells_meet_once_and_their_pairs_are_not_shuffled(spark):
     assert len(got) == len(rows) and got.keys() == want.keys() and {g for g, _, _ in got} == {0, 1}
     assert all(got[p][0] == want[p][0] and got[p][1] == pytest.approx(want[p][1], abs=1e-9) for p in want)
     assert "Exchange" not in plan(met).split("SortMergeJoin")[0] and "Aggregate" not in plan(met).split("SortMergeJoin")[0].replace("AdaptiveSparkPlan", "")
+
+
+def test_cells_with_equal_lists_meet_once(spark):
+    """A hundred cells whose nearest keypoints are the same are a few rows until their pairs are made."""
+    rng = random.Random(11)
+    kpts = [(0, 10 * p + i, 100.0 * p + rng.random(), rng.random()) for p in range(3) for i in range(5)]
+    cells = lambda shift: [(0, i + shift, 100.0 * (i % 3) + rng.uniform(-20, 20), rng.uniform(5, 20)) for i in range(300)]
+    fixed, moving = cells(0), cells(1000)
+    ddl = "grp long, id long, x double, y double"
+    marks = spark.createDataFrame([(*r, r[2] + 0.5, r[3] - 0.25) for r in kpts], "grp long, id long, xf double, yf double, xm double, ym double")
+    sides = spark.createDataFrame(fixed, ddl), spark.createDataFrame(moving, ddl)
+    assert matching._lists_met(*sides, marks, 5, 3, ["grp"]).count() == 3 * 2 * 2  # portions of 64 and 36 cells
+    rows = {(r.f, r.m): r for r in matching.cell_match_candidates(*sides, marks).collect()}
+    assert rows.keys() == {(i, j + 1000) for i in range(300) for j in range(300) if i % 3 == j % 3}
+    for (f, m), r in list(rows.items())[::997]:
+        (_, _, xf, yf), (_, _, xm, ym) = fixed[f], moving[m - 1000]
+        own = [(x, y) for _, i, x, y in kpts if i // 10 == f % 3]
+        want = sum((abs((xf - x) - (xm - x - 0.5)) + abs((yf - y) - (ym - y + 0.25))) / 2 for x, y in own) / 5
+        assert r.shared == 5 and r.score == pytest.approx(want, abs=1e-9)
