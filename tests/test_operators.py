@@ -350,3 +350,28 @@ def test_cells_with_equal_lists_meet_once(spark):
         own = [(x, y) for _, i, x, y in kpts if i // 10 == f % 3]
         want = sum((abs((xf - x) - (xm - x - 0.5)) + abs((yf - y) - (ym - y + 0.25))) / 2 for x, y in own) / 5
         assert r.shared == 5 and r.score == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize("inclusive", [True, False])
+def test_radius_join_shuffles_no_row_per_bucket(spark, monkeypatch, inclusive):
+    """Pairs as by brute force (on borders of squares, below zero, in full blocks); a left point goes to 2.25 squares, not 9 buckets."""
+    rng = random.Random(12)
+    spot = lambda n, at: [(g, at + i, 5.0 * rng.randint(-20, 20), 5.0 * rng.randint(-20, 20)) if i % 3 else (g, at + i, rng.uniform(-100, 100), rng.uniform(-100, 100)) for g in range(2) for i in range(n)]
+    left, right = spot(300, 0), spot(200, 1000) + [(0, 2000 + i, 4.0, 4.0 + i / 100) for i in range(40)]
+    ddl = "grp long, id long, x double, y double"
+    odd = [(0, 3000, math.nan, 1.0), (0, 3001, math.inf, 1.0), (0, 3002, None, 1.0)]
+    sent, whole = [], spatial.spread_out
+    monkeypatch.setattr(spatial, "HELD", 16, raising=False)
+    monkeypatch.setattr(spatial, "spread_out", lambda df, *by, **how: sent.append(df.count()) or whole(df, *by, **how))
+    met = spatial.radius_join(spark.createDataFrame(left + odd, ddl), spark.createDataFrame(right + odd, ddl), 10.0, inclusive=inclusive)
+    shuffles = plan(met).count("Exchange hashpartitioning")
+    near = lambda d: d <= 10.0 if inclusive else d < 10.0
+    want = {(g, i, j): d for g, i, x, y in left for h, j, p, q in right if g == h and near(d := math.sqrt((x - p) ** 2 + (y - q) ** 2))}
+    rows = met.collect()
+    assert {(r.grp, r.id_a, r.id_b): r.distance for r in rows} == want and len(rows) == len(want)
+    assert max(sent) < 2.6 * len(left) and shuffles == 2
+
+
+def test_radius_join_of_equal_places(spark):
+    a = spark.createDataFrame([(0, 1, 2.5, 3.0), (0, 2, -1.0, 0.0)], "grp long, id long, x double, y double")
+    assert [(r.id_a, r.id_b) for r in spatial.radius_join(a, a, 0.0, inclusive=True).orderBy("id_a").collect()] == [(1, 1), (2, 2)]
